@@ -4,10 +4,13 @@ from __future__ import annotations
 
 from collections.abc import Callable
 
-from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from . import common
+from .pii import find_personal_data
+from .quality_rules import quality_rules
+from .secret_scan import scan_secrets
 from .token_counts import count_tokens
 
 VOCABULARY = "byte_bpe_50k.json"
@@ -19,9 +22,32 @@ def op1_token_counts(spark: SparkSession, sf_dir: str) -> DataFrame:
     return counted.withColumn("over_limit", F.col("n_tokens") > 1024)
 
 
+def _spans(found: str) -> Column:
+    return F.array_join(F.transform(found, lambda c: F.concat_ws(":", c["kind"], c["start"].cast("string"), c["end"].cast("string"))), ",")
+
+
+def op4_pii(spark: SparkSession, sf_dir: str) -> DataFrame:
+    found = find_personal_data(common.table(spark, sf_dir, "documents"))
+    return found.select("doc_id", "n_email", "n_ip", "n_card", "n_phone", "base_sha256", _spans("found").alias("spans"))
+
+
+def op6_quality_rules(spark: SparkSession, sf_dir: str) -> DataFrame:
+    judged = quality_rules(common.table(spark, sf_dir, "documents"), common.table(spark, sf_dir, "labels"))
+    return judged.select("doc_id", "n_words", "word_chars", "n_symbols", "n_dup_lines", "n_repeat_words", "base_failed", "kept")
+
+
+def op8_secret_scan(spark: SparkSession, sf_dir: str) -> DataFrame:
+    found = scan_secrets(common.table(spark, sf_dir, "documents"))
+    verdicts = lambda verdict: F.size(F.filter("found", lambda c: c["verdict"] == verdict)).cast("long")
+    return found.select("doc_id", "n_assign", "n_access", "n_hex", "base_sha256", _spans("found").alias("spans"), verdicts("live").alias("n_live"), verdicts("example").alias("n_example"))
+
+
 def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
     return {
         "op1_token_counts": op1_token_counts,
+        "op4_pii": op4_pii,
+        "op6_quality_rules": op6_quality_rules,
+        "op8_secret_scan": op8_secret_scan,
     }
 
 
