@@ -11,6 +11,7 @@ from . import common
 from .pii import find_personal_data
 from .quality_rules import quality_rules
 from .secret_scan import scan_secrets
+from .simhash import simhash_components
 from .token_counts import count_tokens
 
 VOCABULARY = "byte_bpe_50k.json"
@@ -42,12 +43,17 @@ def op8_secret_scan(spark: SparkSession, sf_dir: str) -> DataFrame:
     return found.select("doc_id", "n_assign", "n_access", "n_hex", "base_sha256", _spans("found").alias("spans"), verdicts("live").alias("n_live"), verdicts("example").alias("n_example"))
 
 
+def op9_simhash(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return simhash_components(common.table(spark, sf_dir, "documents"))
+
+
 def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
     return {
         "op1_token_counts": op1_token_counts,
         "op4_pii": op4_pii,
         "op6_quality_rules": op6_quality_rules,
         "op8_secret_scan": op8_secret_scan,
+        "op9_simhash": op9_simhash,
     }
 
 
