@@ -13,6 +13,7 @@ from .quality_rules import quality_rules
 from .secret_scan import scan_secrets
 from .simhash import simhash_components
 from .token_counts import count_tokens
+from .warc import archive_folder, read_warc, write_warc
 
 VOCABULARY = "byte_bpe_50k.json"
 
@@ -37,6 +38,15 @@ def op6_quality_rules(spark: SparkSession, sf_dir: str) -> DataFrame:
     return judged.select("doc_id", "n_words", "word_chars", "n_symbols", "n_dup_lines", "n_repeat_words", "base_failed", "kept")
 
 
+def op7_warc(spark: SparkSession, sf_dir: str) -> DataFrame:
+    pages = common.table(spark, sf_dir, "pages")
+    folder = archive_folder(spark)
+    write_warc(pages, folder)
+    kind = pages.schema["page_id"].dataType
+    records = read_warc(spark, folder)
+    return records.select(F.col("record_id").cast(kind).alias("page_id"), "payload_bytes", "payload_digest", "record_type", F.col("refers_to").cast(kind).alias("refers_to"))
+
+
 def op8_secret_scan(spark: SparkSession, sf_dir: str) -> DataFrame:
     found = scan_secrets(common.table(spark, sf_dir, "documents"))
     verdicts = lambda verdict: F.size(F.filter("found", lambda c: c["verdict"] == verdict)).cast("long")
@@ -52,6 +62,7 @@ def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
         "op1_token_counts": op1_token_counts,
         "op4_pii": op4_pii,
         "op6_quality_rules": op6_quality_rules,
+        "op7_warc": op7_warc,
         "op8_secret_scan": op8_secret_scan,
         "op9_simhash": op9_simhash,
     }
