@@ -10,6 +10,7 @@ from pyspark.sql import functions as F
 from . import common
 from .pii import find_personal_data
 from .quality_rules import quality_rules
+from .repeats import remove_repeats
 from .secret_scan import scan_secrets
 from .simhash import simhash_components
 from .token_counts import count_tokens
@@ -33,6 +34,10 @@ def op4_pii(spark: SparkSession, sf_dir: str) -> DataFrame:
     return found.select("doc_id", "n_email", "n_ip", "n_card", "n_phone", "base_sha256", _spans("found").alias("spans"))
 
 
+def op5_repeats(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return remove_repeats(common.table(spark, sf_dir, "documents"), texts=False).drop("kept")
+
+
 def op6_quality_rules(spark: SparkSession, sf_dir: str) -> DataFrame:
     judged = quality_rules(common.table(spark, sf_dir, "documents"), common.table(spark, sf_dir, "labels"))
     return judged.select("doc_id", "n_words", "word_chars", "n_symbols", "n_dup_lines", "n_repeat_words", "base_failed", "kept")
@@ -61,6 +66,7 @@ def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
     return {
         "op1_token_counts": op1_token_counts,
         "op4_pii": op4_pii,
+        "op5_repeats": op5_repeats,
         "op6_quality_rules": op6_quality_rules,
         "op7_warc": op7_warc,
         "op8_secret_scan": op8_secret_scan,
