@@ -8,6 +8,7 @@ from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from . import common
+from .decontaminate import contamination
 from .pii import find_personal_data
 from .quality_rules import quality_rules
 from .repeats import remove_repeats
@@ -15,6 +16,7 @@ from .secret_scan import scan_secrets
 from .simhash import simhash_components
 from .token_counts import count_tokens
 from .warc import archive_folder, read_warc, write_warc
+from .word_bpe import encode_and_decode
 
 VOCABULARY = "byte_bpe_50k.json"
 
@@ -29,6 +31,11 @@ def _spans(found: str) -> Column:
     return F.array_join(F.transform(found, lambda c: F.concat_ws(":", c["kind"], c["start"].cast("string"), c["end"].cast("string"))), ",")
 
 
+def op3_decontamination(spark: SparkSession, sf_dir: str) -> DataFrame:
+    found = contamination(common.table(spark, sf_dir, "documents"), common.table(spark, sf_dir, "benchmark"))
+    return found.drop("sig")
+
+
 def op4_pii(spark: SparkSession, sf_dir: str) -> DataFrame:
     found = find_personal_data(common.table(spark, sf_dir, "documents"))
     return found.select("doc_id", "n_email", "n_ip", "n_card", "n_phone", "base_sha256", _spans("found").alias("spans"))
@@ -62,15 +69,21 @@ def op9_simhash(spark: SparkSession, sf_dir: str) -> DataFrame:
     return simhash_components(common.table(spark, sf_dir, "documents"))
 
 
+def op10_word_bpe(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return encode_and_decode(common.table(spark, sf_dir, "documents"), common.vocabulary_path(VOCABULARY))
+
+
 def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
     return {
         "op1_token_counts": op1_token_counts,
+        "op3_decontamination": op3_decontamination,
         "op4_pii": op4_pii,
         "op5_repeats": op5_repeats,
         "op6_quality_rules": op6_quality_rules,
         "op7_warc": op7_warc,
         "op8_secret_scan": op8_secret_scan,
         "op9_simhash": op9_simhash,
+        "op10_word_bpe": op10_word_bpe,
     }
 
 
