@@ -8,6 +8,7 @@ from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from . import common
+from .chat import render, repair_roles
 from .decontaminate import contamination
 from .pii import find_personal_data
 from .quality_rules import quality_rules
@@ -31,6 +32,10 @@ def _spans(found: str) -> Column:
     return F.array_join(F.transform(found, lambda c: F.concat_ws(":", c["kind"], c["start"].cast("string"), c["end"].cast("string"))), ",")
 
 
+def op2_chat(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return render(repair_roles(common.table(spark, sf_dir, "conversations")))
+
+
 def op3_decontamination(spark: SparkSession, sf_dir: str) -> DataFrame:
     found = contamination(common.table(spark, sf_dir, "documents"), common.table(spark, sf_dir, "benchmark"))
     return found.drop("sig")
@@ -76,6 +81,7 @@ def op10_word_bpe(spark: SparkSession, sf_dir: str) -> DataFrame:
 def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
     return {
         "op1_token_counts": op1_token_counts,
+        "op2_chat": op2_chat,
         "op3_decontamination": op3_decontamination,
         "op4_pii": op4_pii,
         "op5_repeats": op5_repeats,
