@@ -10,6 +10,7 @@ from pyspark.sql import functions as F
 from . import common
 from .chat import render, repair_roles
 from .decontaminate import contamination
+from .oracles import oracle_sql
 from .pii import find_personal_data
 from .quality_rules import quality_rules
 from .repeats import remove_repeats
@@ -21,6 +22,8 @@ from .word_bpe import encode_and_decode
 
 VOCABULARY = "byte_bpe_50k.json"
 
+__all__ = ["oracle_sql", "queries"]
+
 
 def op1_token_counts(spark: SparkSession, sf_dir: str) -> DataFrame:
     docs = common.table(spark, sf_dir, "documents")
@@ -91,7 +94,3 @@ def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
         "op9_simhash": op9_simhash,
         "op10_word_bpe": op10_word_bpe,
     }
-
-
-def oracle_sql() -> dict[str, str]:
-    return {}
