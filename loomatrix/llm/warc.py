@@ -24,8 +24,6 @@ MAGIC = "WARC/1.1\r\n"
 END = "\r\n\r\n"
 #: Payloads of fewer bytes are never replaced by a revisit.
 LEAST_BYTES = 100
-#: About so many bytes of payload go to one archive.
-ARCHIVE_BYTES = 32_000_000
 
 
 def _clean(column: Column) -> Column:
@@ -44,11 +42,10 @@ def write_warc(pages: DataFrame, folder: str, *, id_col: str = "page_id", url_co
     """
     rows = pages.select(pages[id_col].alias("id"), pages[url_col].alias("url"), F.coalesce(pages[payload_col], F.lit("")).alias("payload"))
     rows = rows.withColumn("bytes", F.octet_length("payload").cast("long")).withColumn("digest", F.sha2("payload", 256))
-    # digests alone are dealt by digest; payloads move once, to spread over the archives
+    # digests alone are dealt by digest; payloads move once at most, and a partition is an archive
     light = rows.select("id", "bytes", "digest")
     first = light.where(F.col("bytes") >= LEAST_BYTES).groupBy("digest").agg(F.min("id").alias("first"), F.count("*").alias("n")).where((F.col("n") > 1) & F.col("first").isNotNull())
     copies = light.where(F.col("bytes") >= LEAST_BYTES).join(first, "digest").where("id is null or id <> first").select("id", "digest", "first").distinct()
-    total = light.agg(F.coalesce(F.sum("bytes"), F.lit(0))).first()[0]
     marked = null_safe(rows, copies, ["id", "digest"], "left")
     revisit = F.col("first").isNotNull()
     header = F.concat(
@@ -63,7 +60,7 @@ def write_warc(pages: DataFrame, folder: str, *, id_col: str = "page_id", url_co
         F.lit(END),
     )
     records = marked.select(F.concat(header, F.when(revisit, "").otherwise(F.col("payload"))).alias("value"))
-    records.repartition(max(1, -(-total // ARCHIVE_BYTES))).write.option("lineSep", END).option("compression", "gzip").text(folder)
+    records.write.option("lineSep", END).option("compression", "gzip").text(folder)
 
 
 def _field(name: str) -> Column:
@@ -83,9 +80,7 @@ def candidates(spark: SparkSession, folder: str) -> DataFrame:
     the record's successor by its Content-Length (null without one). digest and bytes are
     those of the payload if the piece holds all of it.
     """
-    head = F.instr(F.col("value"), END)
     parts = _pieces(spark, folder).withColumn("size", F.octet_length("value").cast("long")).withColumn("head", F.expr(f"instr(cast(decode(value, 'ISO-8859-1') as string), '{END}')").cast("long"))
-    del head
     parts = parts.withColumn("header", F.expr("decode(substring(value, 1, cast(head as int) - 1), 'UTF-8')"))
     parts = parts.withColumn("length", F.expr("try_cast(regexp_extract(header, '(?i)(?:^|\\r\\n)Content-Length: *([0-9]{1,18})', 1) as bigint)"))
     whole = (F.col("head") > 0) & (F.col("size") == F.col("head") + 3 + F.col("length") + 4)
