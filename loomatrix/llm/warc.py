@@ -68,9 +68,13 @@ def _field(name: str) -> Column:
 
 
 def _pieces(spark: SparkSession, folder: str) -> DataFrame:
-    """(file, block, k, value, bytes): what stands between magic lines, k in order within a block."""
+    """(file, block, k, value): what stands between magic lines, k in order within a block.
+
+    file is a hash of the path: a long path in each row would pack well in a shuffle and
+    so let Spark take tables for small that are large in memory.
+    """
     text = spark.read.option("lineSep", MAGIC).text(folder)
-    return text.select(F.col("_metadata.file_path").alias("file"), F.col("_metadata.file_block_start").alias("block"), F.monotonically_increasing_id().alias("k"), F.col("value").cast("binary").alias("value"))
+    return text.select(F.xxhash64("_metadata.file_path").alias("file"), F.col("_metadata.file_block_start").alias("block"), F.monotonically_increasing_id().alias("k"), F.col("value").cast("binary").alias("value"))
 
 
 def candidates(spark: SparkSession, folder: str) -> DataFrame:
