@@ -3,6 +3,7 @@
 from __future__ import annotations
 
 import math
+import re
 import tempfile
 import uuid
 
@@ -11,9 +12,11 @@ from pyspark.sql import functions as F
 
 
 def shared_folder(spark: SparkSession) -> str:
-    """The folder in spark.checkpoint.dir; a temporary one, for tests, only where that is unset."""
+    """The folder in spark.checkpoint.dir; where that is unset, a temporary one in local mode only."""
     found = spark.sparkContext.getConf().get("spark.checkpoint.dir")
     if not found:
+        if not re.fullmatch(r"local(\[[^-]*\])?", spark.sparkContext.master):
+            raise ValueError("set spark.checkpoint.dir to a folder that the driver and all executors share")
         found = getattr(spark.sparkContext, "_loomatrix_scratch", None) or tempfile.mkdtemp(prefix="loomatrix-")
         spark.sparkContext._loomatrix_scratch = found
     return found
