@@ -36,6 +36,7 @@ class SpmvConfig:
     random_x: str = "0"
     validate: bool = True
     seed: int = 42
+    output: str = ""
 
     def __post_init__(self):
         def need(ok: bool, what: str) -> None:
@@ -76,6 +77,7 @@ def parse(argv: list[str]) -> SpmvConfig:
     p.add_argument("--parts", type=int)
     p.add_argument("--random-x", choices=("0", "1", "m"))
     p.add_argument("--seed", type=int)
+    p.add_argument("--output", help="a folder to which figures or comparisons are appended")
     given = {k: v for k, v in vars(p.parse_args(argv)).items() if v is not None}
     if "dropout_threshold" in given:
         given["dropout"] = True

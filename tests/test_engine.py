@@ -345,3 +345,13 @@ def test_configuration():
     for bad in ({"format": "x"}, {"chunk": 2}, {"precision": "ap[dp_sp_hp]", "threshold_1": 0.1, "threshold_2": 1.0}, {"parts": 0}, {"bench_seconds": 0}):
         with pytest.raises(ValueError):
             SpmvConfig(**bad)
+
+
+def test_command_line(spark, tmp_path):
+    from loomatrix.__main__ import run
+
+    r = run(spark, parse(["stencil:4", "scs", "-c", "4", "-s", "8", "--mode", "solve", "--repetitions", "3", "--random-x", "1", "--output", str(tmp_path / "c")])).first()
+    assert (r.n, r.errors, r.warnings) == (16, 0, 0) and spark.read.parquet(str(tmp_path / "c")).count() == 16
+    assert run(spark, parse(["band:8:1:1", "coo", "--bench-seconds", "0.01", "--warm-ups", "0", "--output", str(tmp_path / "f")])).first().nnz == 22
+    low = run(spark, parse(["random:20:3", "crs", "--precision", "ap[dp_sp]", "--mode", "solve", "--repetitions", "2"])).first()
+    assert low.errors == 0
