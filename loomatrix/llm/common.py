@@ -20,9 +20,11 @@ SLICE_CHARS = 4_000_000
 
 
 def shared_folder(spark: SparkSession) -> str:
-    """The folder in spark.checkpoint.dir; a temporary one, for tests, only where that is unset."""
+    """The folder in spark.checkpoint.dir; where that is unset, a temporary one in local mode only."""
     found = spark.sparkContext.getConf().get("spark.checkpoint.dir")
     if not found:
+        if not re.fullmatch(r"local(\[[^-]*\])?", spark.sparkContext.master):
+            raise ValueError("set spark.checkpoint.dir to a folder that the driver and all executors share")
         found = getattr(spark.sparkContext, "_loomatrix_folder", None) or tempfile.mkdtemp(prefix="loomatrix-")
         spark.sparkContext._loomatrix_folder = found
     return found
@@ -74,7 +76,7 @@ def words_of(texts: pa.Array) -> tuple[np.ndarray, list[str], np.ndarray]:
     coded = flat.filter(pa.array(full)).dictionary_encode()
     if isinstance(coded, pa.ChunkedArray):
         coded = coded.combine_chunks()
-    return coded.indices.to_numpy().astype(np.int64), coded.dictionary.to_pylist(), kept[bounds]
+    return coded.indices.to_numpy().astype(np.int64), coded.dictionary.to_numpy(zero_copy_only=False).tolist(), kept[bounds]
 
 
 def unsigned(values: np.ndarray) -> np.ndarray:

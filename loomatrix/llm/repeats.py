@@ -1,17 +1,14 @@
 """Substring dedup of word windows by level-wise doubling.
 
-A window of 20 words can repeat only if all its windows of 10 and of 5 words do. So
-windows of 5 are counted over the corpus first; those that repeat are extended to 10,
-those that still repeat to 20, and what is left after that is removed where the same
-words started earlier.
+A window of 20 words can repeat only if its windows of 10 words do. So windows of 10 are
+counted over the corpus first; those that repeat are extended to twice that length, and
+what still repeats there is removed where the same words started earlier.
 
-The first level needn't look at every window of 5: each window of 20 is represented by
-the smallest hash among its 16 windows of 5 (its anchor). Equal windows have equal
+The first level needn't look at every window of 10: each window of 20 is represented by
+the smallest hash among its 11 windows of 10 (its anchor). Equal windows have equal
 anchors in the same place, so this loses none, and neighbours mostly share an anchor.
-An anchor is extended to the 10 words from its start, or to the 10 around its start
-where the former would leave the window of 20: one of the two lies inside.
 
-At the last level, neighbouring windows with one anchor form a run. Runs of equal words
+At the second level, neighbouring windows with one anchor form a run. Runs of equal words
 are settled as a whole: all but the earliest go. The windows of earliest runs are then
 compared one by one. So a passage with thousands of copies costs a row a copy and run,
 and the aggregation takes those together before it shuffles.
@@ -42,16 +39,17 @@ class _Coded:
     def __init__(self, batch: pa.RecordBatch):
         import xxhash
 
-        codes, self.words, self.offsets = words_of(batch.column("text"))
-        each = np.array([xxhash.xxh64_intdigest(w.encode(), 7) for w in self.words] or [0], np.uint64)
-        self.codes = codes
-        self.values = each[codes]
+        codes, words, self.offsets = words_of(batch.column("text"))
+        digests = b"".join([xxhash.xxh3_128_digest(w) for w in words or [""]])
+        each = np.frombuffer(digests, "<u8").reshape(-1, 2)
+        #: two independent hashes of each word
+        self.values, self.values_b = each[codes, 0], each[codes, 1]
         self.owner = np.repeat(np.arange(batch.num_rows), np.diff(self.offsets))
 
     def hashes(self, length: int, base: int = BASE_A) -> np.ndarray:
         """Padded to the number of words; meaningless where within() is false."""
         out = np.zeros(len(self.values), np.uint64)
-        got = window_hashes(self.values, length, base)
+        got = window_hashes(self.values if base == BASE_A else self.values_b, length, base)
         out[: len(got)] = got
         return out
 
@@ -61,7 +59,7 @@ class _Coded:
 
     def anchors(self, window: int) -> tuple[np.ndarray, np.ndarray]:
         """(starts, anchor): all windows' starts and the place of each one's anchor."""
-        base = window // 4
+        base = window // 2
         low = self.hashes(base)
         at = np.arange(len(low))
         span, reach = 1, window - base + 1
@@ -97,7 +95,7 @@ def _anchor_counts(window: int):
             coded = _Coded(batch)
             _, at = coded.anchors(window)
             at = at[np.r_[True, at[1:] != at[:-1]]] if len(at) else at
-            found, n = np.unique(coded.hashes(window // 4)[at], return_counts=True)
+            found, n = np.unique(coded.hashes(window // 2)[at], return_counts=True)
             yield from _batches([pa.array(unsigned(found)), pa.array(n)], ["h", "n"])
 
     return run
@@ -109,7 +107,7 @@ def _anchor_rows(window: int, keys: list[str]):
             coded = _Coded(batch)
             _, at = coded.anchors(window)
             at = at[np.r_[True, at[1:] != at[:-1]]] if len(at) else at
-            yield from _batches([pa.array(unsigned(coded.hashes(window // 4)[at])), *_keys(batch, keys, coded.owner[at]), pa.array(coded.place(at).astype(np.int32))], ["h", *keys, "at"])
+            yield from _batches([pa.array(unsigned(coded.hashes(window // 2)[at])), *_keys(batch, keys, coded.owner[at]), pa.array(coded.place(at).astype(np.int32))], ["h", *keys, "at"])
 
     return run
 
@@ -121,31 +119,12 @@ def _listed(batch: pa.RecordBatch, column: str, coded: _Coded, factor: int = 1)
     return lists.flatten().to_numpy(zero_copy_only=False).astype(np.int64) + np.repeat(coded.offsets[:-1] * factor, sizes)
 
 
-def _doubled_rows(window: int, keys: list[str]):
-    """Windows of twice the first length at candidate anchors; code is 2 * place, plus 1 for those around it."""
-    base = window // 4
-
-    def run(batches):
-        for batch in slices(batches, "text"):
-            coded = _Coded(batch)
-            at = _listed(batch, "ats", coded)
-            h = coded.hashes(2 * base)
-            ahead = at[coded.within(at, 2 * base)]
-            around = at[coded.place(at) >= base]
-            rows, index, way = np.r_[ahead, around], np.r_[ahead, around - base], np.r_[np.zeros_like(ahead), np.ones_like(around)]
-            yield from _batches([pa.array(unsigned(h[index] ^ (way.astype(np.uint64)))), *_keys(batch, keys, coded.owner[rows]), pa.array((2 * coded.place(rows) + way).astype(np.int64))], ["h", *keys, "at"])
-
-    return run
-
-
-def _runs(coded: _Coded, codes: np.ndarray, window: int) -> tuple[np.ndarray, np.ndarray]:
-    """(first, last) starts of the runs of windows whose doubled anchors are among codes."""
-    base = window // 4
-    flags = np.zeros((2, len(coded.values) + 1), bool)
-    flags[codes % 2, codes // 2] = True
+def _runs(coded: _Coded, anchors: np.ndarray, window: int) -> tuple[np.ndarray, np.ndarray]:
+    """(first, last) starts of the runs of windows whose anchors are among these."""
+    flags = np.zeros(len(coded.values) + 1, bool)
+    flags[anchors] = True
     starts, at = coded.anchors(window)
-    ahead = at - starts <= window - 2 * base
-    live = np.where(ahead, flags[0][at], flags[1][at])
+    live = flags[at]
     starts, at = starts[live], at[live]
     if not len(starts):
         return starts, starts
@@ -157,7 +136,7 @@ def _run_rows(window: int, keys: list[str]):
     def run(batches):
         for batch in slices(batches, "text"):
             coded = _Coded(batch)
-            first, last = _runs(coded, _listed(batch, "ats", coded, 2), window)
+            first, last = _runs(coded, _listed(batch, "ats", coded), window)
             sides = []
             for base in (BASE_A, BASE_B):
                 h = coded.hashes(window, base)
@@ -221,15 +200,15 @@ def remove_repeats(docs: DataFrame, *, id_col: str = "doc_id", text_col: str = "
     """One row (id, n_words, n_removed, kept_sha256, kept) for each row of docs.
 
     Words are maximal runs of characters other than space and 9 to 13. A word goes if a
-    window of `window` words (a multiple of 4) covers it that also starts earlier: in a
+    window of `window` words (an even number) covers it that also starts earlier: in a
     text of a smaller id, or in the same text before. kept has the words left, joined by
     one space (null unless texts). Null ids come before all others. Texts of one id with
     different words come in the order of their hashes; repeated rows are one document
     and get the same result. A null text has no words. Other columns are ignored; an
     empty table gives an empty result.
     """
-    if window % 4 or window < 8 or window > 60_000:
-        raise ValueError("window must be a multiple of 4 from 8 to 60000")
+    if window % 2 or window < 4 or window > 60_000:
+        raise ValueError("window must be an even number from 4 to 60000")
     base = docs.select(docs[id_col].alias("id"), F.coalesce(docs[text_col], F.lit("")).alias("text"))
     keys = ["id"]
     if not base.groupBy("id").count().where("count > 1").isEmpty():
@@ -239,15 +218,15 @@ def remove_repeats(docs: DataFrame, *, id_col: str = "doc_id", text_col: str = "
     listed = lambda rows, value="at": rows.groupBy(*keys).agg(F.collect_set(value).alias("ats"))
     at_docs = lambda lists, source, how="inner": null_safe(source, lists.hint("shuffle_hash"), keys, how)
 
-    # 5 words
+    # half the length
     anchors = base.mapInArrow(_anchor_rows(window, keys), f"h bigint, {key_schema}, at int")
     counted = base.mapInArrow(_anchor_counts(window), "h bigint, n bigint")
-    fives = written(listed(_repeated(anchors, counted)))
+    halves = written(listed(_repeated(anchors, counted)))
 
     # texts without a candidate need no more than a filter of fixed size to be told; the others move once
     slot = F.pmod(F.xxhash64(*[F.coalesce(F.col(k).cast("string"), F.lit("(null)")) for k in keys]), F.lit(SLOTS))
     bits = np.zeros(SLOTS // 64, np.int64)
-    for word, some in fives.select(slot.alias("slot")).groupBy(F.expr("slot div 64").alias("word")).agg(F.bit_or(F.expr("shiftleft(1L, cast(slot % 64 as int))"))).collect():
+    for word, some in halves.select(slot.alias("slot")).groupBy(F.expr("slot div 64").alias("word")).agg(F.bit_or(F.expr("shiftleft(1L, cast(slot % 64 as int))"))).collect():
         bits[word] = some
     some = docs.sparkSession.sparkContext.broadcast(np.unpackbits(bits.view(np.uint8), bitorder="little").astype(bool))
 
@@ -258,13 +237,9 @@ def remove_repeats(docs: DataFrame, *, id_col: str = "doc_id", text_col: str = "
     tagged = base.withColumn("maybe", candidate(slot))
     moved, still = tagged.where("maybe").drop("maybe"), tagged.where("not maybe").drop("maybe")
 
-    # 10 words
-    doubled = at_docs(fives, moved).mapInArrow(_doubled_rows(window, keys), f"h bigint, {key_schema}, at bigint")
-    tens = listed(_repeated(doubled))
-
-    # 20 words: runs first
+    # the whole length: runs first
     order = F.struct(*keys, "at")
-    runs = at_docs(tens, moved).mapInArrow(_run_rows(window, keys), f"h bigint, h2 bigint, {key_schema}, at int, n int")
+    runs = at_docs(halves, moved).mapInArrow(_run_rows(window, keys), f"h bigint, h2 bigint, {key_schema}, at int, n int")
     earliest = runs.groupBy("h", "h2").agg(F.min(order).alias("first"))
     packed = F.col("at").cast("long") * (1 << 16) + F.col("n")
     settled = runs.join(earliest, ["h", "h2"]).select(*keys, packed.alias("at"), (F.col("first") == order).alias("is_first"))
