@@ -4,13 +4,15 @@ Texts are split where pieces() proves that a byte-level pre-tokenizer splits too
 block of texts (about 16 MB that stand together in the input) lists its distinct words
 and keeps, for each text, the words' numbers by position. Spark deals the lists by the
 words' hashes; each bucket has a table in which every distinct word of the corpus is
-encoded once, decoded by joining its ids to the vocabulary's pieces, and handed back to
-the blocks that asked for it. A second exchange, by block, joins ids and pieces to the
-positions. Texts themselves are never shuffled, and what is travels packed.
+encoded once, and hands the ids back to the blocks that asked for them. A second
+exchange, by block, joins ids to positions; for decoding, the ids of each of the block's
+words are joined to the vocabulary's pieces. Texts are never shuffled, and what is
+travels packed.
 """
 
 from __future__ import annotations
 
+import functools
 import hashlib
 import json
 import struct
@@ -135,6 +137,7 @@ def _place_rows(path: str, id_type: pa.DataType):
     return run
 
 
+@functools.cache
 def piece_table(path: str) -> list[bytes]:
     """The bytes of each id; the vocabulary bounds its size."""
     tokenizer = tokenizer_of(path)
@@ -146,10 +149,10 @@ def piece_table(path: str) -> list[bytes]:
 
 
 def _encode_words(path: str):
-    """For each list of words their ids and what the ids decode to; rows come bucket by bucket."""
+    """For each list of words their ids; rows come bucket by bucket."""
 
     def run(batches):
-        tokenizer, table = tokenizer_of(path), piece_table(path)
+        tokenizer = tokenizer_of(path)
         bucket, known = None, {}
         for batch in batches:
             for row in batch.to_pylist():
@@ -161,30 +164,28 @@ def _encode_words(path: str):
                 for k in range(0, len(new), 4096):
                     some = new[k : k + 4096]
                     for word, got in zip(some, tokenizer.encode_batch_fast([w.decode() for w in some], add_special_tokens=False), strict=True):
-                        ids = got.ids
-                        known[word] = ids, b"".join([table[i] for i in ids])
+                        known[word] = got.ids
                 found = [known[w] for w in words]
-                ids = [i for x, _ in found for i in x]
-                decoded = [d for _, d in found]
-                size, blob = _pack(steps, np.array([len(x) for x, _ in found]), np.array(ids), np.array([len(d) for d in decoded]), data=b"".join(decoded))
+                size, blob = _pack(steps, np.array([len(x) for x in found]), np.array([i for x in found for i in x]))
                 yield pa.RecordBatch.from_arrays([pa.array([row["block"]], pa.int64()), pa.array([size], pa.int32()), pa.array([blob], pa.binary())], ["block", "size", "coded"])
 
     return run
 
 
-def _assemble(names: list[str], kinds: list[pa.DataType], with_ids: bool):
+def _assemble(path: str, names: list[str], kinds: list[pa.DataType], with_ids: bool):
     import xxhash
 
     def run(places: pa.Table, coded: pa.Table) -> pa.Table:
+        table = piece_table(path)
         numbers, said, sizes, decoded, lists = [], [], [], [], []
         for size, blob in zip(coded.column("size").to_pylist(), coded.column("coded").to_pylist(), strict=True):
-            (steps, counts, ids, lengths), data = _unpack(size, blob)
+            (steps, counts, ids), _ = _unpack(size, blob)
             numbers.append(np.cumsum(steps.astype(np.int64)))
             sizes.append(counts)
-            decoded += _cut(data, lengths)
-            shown = [str(i) for i in ids.tolist()]
+            shown, joined = [str(i) for i in ids.tolist()], [table[i] for i in ids.tolist()]
             ends = np.cumsum(counts.astype(np.int64)).tolist()
             starts = [0, *ends[:-1]] if ends else []
+            decoded += [b"".join(joined[a:b]) for a, b in zip(starts, ends, strict=True)]
             said += [",".join(shown[a:b]) for a, b in zip(starts, ends, strict=True)]
             if with_ids:
                 lists += [ids[a:b] for a, b in zip(starts, ends, strict=True)]
@@ -239,7 +240,7 @@ def encode_and_decode(docs: DataFrame, tokenizer_path: str, *, id_col: str = "do
     names, kinds, schema = [id_col, "n_tokens", "ids_sha256", "decoded_sha256"], [arrow, pa.int64(), pa.string(), pa.string()], f"`{id_col}` {sql}, n_tokens bigint, ids_sha256 string, decoded_sha256 string"
     if with_ids:
         names, kinds, schema = [*names, "ids", "decoded"], [*kinds, pa.list_(pa.int32()), pa.string()], f"{schema}, ids array<int>, decoded string"
-    return places.groupBy("block").cogroup(coded.groupBy("block")).applyInArrow(_assemble(names, kinds, with_ids), schema)
+    return places.groupBy("block").cogroup(coded.groupBy("block")).applyInArrow(_assemble(tokenizer_path, names, kinds, with_ids), schema)
 
 
 def decode(rows: DataFrame, tokenizer_path: str, *, id_col: str = "doc_id", ids_col: str = "ids") -> DataFrame:
