@@ -20,7 +20,7 @@ from pyspark.sql import functions as F
 from pyspark.sql.pandas.types import to_arrow_type
 
 from .common import null_safe, slices, words_of, written
-from .spans import digest, passes, slot_filter, text_rows
+from .spans import Cover, digest, passes, slot_filter, text_rows
 
 # fixed values: the base patterns
 EMAIL = re.compile(r"[A-Za-z0-9._%+-]+@[A-Za-z0-9-]+(\.[A-Za-z0-9-]+)+")
@@ -66,7 +66,7 @@ def _near(text: str, spans: list[tuple[str, int, int]], reach: int) -> list[dict
     """Distinct (entity, term) of terms at most `reach` words from an entity, outside all base spans."""
     words = [(m.start(), m.end()) for m in WORD.finditer(text)]
     starts = np.array([s for s, _ in words])
-    covered = lambda s, e: any(s < y and x < e for _, x, y in spans)
+    covered = Cover([x[1:] for x in spans]).touches
     pairs = set()
     for kind, start, end in spans:
         value = text[start:end].lower() if kind == "email" else re.sub("[^0-9.]" if kind == "ip" else "[^0-9]", "", text[start:end])
@@ -121,8 +121,8 @@ def _occurrences(filled, id_type: pa.DataType):
             ids, sigs, spots = [], [], []
             for k in np.flatnonzero(total[offsets[1:]] > total[offsets[:-1]]):
                 text = batch.column("text")[int(k)].as_py()
-                spans = base_spans(text)
-                found = [{"term": t, "start": m.start(), "end": m.end()} for m in WORD.finditer(text) if (t := term_of(m[0])) and passes(filled.value, t) and not any(m.start() < y and x < m.end() for _, x, y in spans)]
+                covered = Cover([x[1:] for x in base_spans(text)]).touches
+                found = [{"term": t, "start": m.start(), "end": m.end()} for m in WORD.finditer(text) if (t := term_of(m[0])) and passes(filled.value, t) and not covered(*m.span())]
                 ids.append(batch.column("id")[int(k)].as_py())
                 sigs.append(batch.column("sig")[int(k)].as_py())
                 spots.append(found)

@@ -17,7 +17,7 @@ from pyspark.sql import functions as F
 from pyspark.sql.pandas.types import to_arrow_type
 
 from .common import written
-from .spans import digest, text_rows
+from .spans import Cover, digest, text_rows
 
 # fixed values: the base patterns
 ASSIGN = re.compile(r"""(password|passwd|secret|token|api_?key)["']?\x20*[:=]\x20*["']?([A-Za-z0-9+/_.=-]+)""", re.IGNORECASE | re.ASCII)
@@ -40,9 +40,9 @@ def candidates(text: str) -> list[tuple[str, int, int, str]]:
     if "AKIA" in text:
         out += [("access", *m.span(), m[0]) for m in ACCESS.finditer(text) if len(m[0]) >= 16]
     out += [("hex", *m.span(), m[0]) for m in HEX.finditer(text)]
-    base = list(out)
+    covered = Cover([x[1:3] for x in out]).touches
     for m in OPAQUE.finditer(text):
-        if re.search("[0-9]", m[0]) and re.search("[a-z]", m[0]) and re.search("[A-Z]", m[0]) and all(m.end() <= s or e <= m.start() for _, s, e, _ in base):
+        if re.search("[0-9]", m[0]) and re.search("[a-z]", m[0]) and re.search("[A-Z]", m[0]) and not covered(*m.span()):
             out.append(("opaque", *m.span(), m[0]))
     return sorted(out, key=lambda x: (x[1], KINDS.index(x[0])))
 

@@ -3,7 +3,9 @@
 from __future__ import annotations
 
 import hashlib
+from bisect import bisect_left
 from collections.abc import Iterator
+from itertools import accumulate
 
 import numpy as np
 import pyarrow as pa
@@ -20,6 +22,18 @@ def digest(spans: list[tuple[str, int, int]]) -> str:
     return hashlib.sha256(",".join(f"{k}:{s}:{e}" for k, s, e in spans).encode()).hexdigest()
 
 
+class Cover:
+    """Whether a range touches any of a list of spans, in a time that grows with the list's logarithm."""
+
+    def __init__(self, spans: list[tuple[int, int]]):
+        self.starts = [s for s, _ in sorted(spans)]
+        self.ends = list(accumulate((e for _, e in sorted(spans)), max))
+
+    def touches(self, start: int, end: int) -> bool:
+        k = bisect_left(self.starts, end)
+        return k > 0 and self.ends[k - 1] > start
+
+
 def slot_filter(keys: DataFrame, column: str) -> np.ndarray:
     """Which of SLOTS slots the hashes of a column's strings fall into.
 
