@@ -62,6 +62,7 @@ def slices(batches: Iterator[pa.RecordBatch], text: str, chars: int = SLICE_CHAR
             stop = max(start + 1, int(np.searchsorted(ends, before + chars, side="right")))
             yield batch.slice(start, stop - start)
             start = stop
+        pa.default_memory_pool().release_unused()
 
 
 def words_of(texts: pa.Array) -> tuple[np.ndarray, list[str], np.ndarray]:

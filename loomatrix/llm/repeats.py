@@ -160,9 +160,13 @@ def _window_rows(window: int, keys: list[str]):
     return run
 
 
-def _kept(window: int, keys: list[str], names: list[str], kinds: list[pa.DataType], spans: bool, texts: bool):
+def _kept(window: int, keys: list[str], names: list[str], kinds: list[pa.DataType], spans: bool, texts: bool, moved=None):
+    """What is left of each text; without spans, of the texts whose slot isn't among the moved ones."""
+
     def run(batches):
         for batch in slices(batches, "text"):
+            if moved is not None:
+                batch = batch.filter(pa.array(~moved.value[batch.column("slot").to_numpy()]))
             codes, words, offsets = words_of(batch.column("text"))
             gone = np.zeros(len(codes) + 1, np.int64)
             if spans:
@@ -234,8 +238,7 @@ def remove_repeats(docs: DataFrame, *, id_col: str = "doc_id", text_col: str = "
     def candidate(slots):
         return _series(some.value[slots.to_numpy()])
 
-    tagged = base.withColumn("maybe", candidate(slot))
-    moved, still = tagged.where("maybe").drop("maybe"), tagged.where("not maybe").drop("maybe")
+    moved = base.withColumn("slot", slot).where(candidate("slot")).drop("slot")
 
     # the whole length: runs first
     order = F.struct(*keys, "at")
@@ -253,7 +256,7 @@ def remove_repeats(docs: DataFrame, *, id_col: str = "doc_id", text_col: str = "
     kinds = [pa.int64(), pa.int64(), pa.string(), pa.string()]
     schema = f"{key_schema}, n_words bigint, n_removed bigint, kept_sha256 string, kept string"
     with_spans = at_docs(spans, moved, "left")
-    out = with_spans.mapInArrow(_kept(window, keys, names, kinds, True, texts), schema).unionByName(still.mapInArrow(_kept(window, keys, names, kinds, False, texts), schema))
+    out = with_spans.mapInArrow(_kept(window, keys, names, kinds, True, texts), schema).unionByName(base.withColumn("slot", slot).mapInArrow(_kept(window, keys, names, kinds, False, texts, some), schema))
     return out.select(F.col("id").alias(id_col), "n_words", "n_removed", "kept_sha256", "kept")
 
 
