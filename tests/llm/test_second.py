@@ -95,6 +95,26 @@ def test_contamination(spark, docs, empty):
     assert decontaminate.contamination(docs, bench).count() == 0
 
 
+TOM = "Tom has 5 apples. Tom buys 3 more. Tom eats 2. How many apples does Tom have?"
+
+
+def test_contamination_opening_names(spark):
+    """Names that open sentences and spelled-out numbers may change; other openings stay literal."""
+    spelled = "In the morning three boys from town carried five heavy crates to the old barn and twenty-five more to the mill"
+    lead = "some other words stand here, and then: "
+    rows = [(1, TOM.replace("Tom", "Ann")), (2, lead + TOM.replace("Tom", "Ann").replace("5", "8") + " And more."), (3, TOM), (4, lead + spelled.replace("three", "nine").replace("five", "seven")), (5, lead + spelled.replace("three", "3"))]
+    rows += [(6, "Ann. Ben. Carl. Dora. Emil. Fred. Gus. Hal. Ida. " * 3), (7, TOM.replace("Tom has", "Ann has").replace("Tom buys", "Ben buys").replace("Tom eats", "Carl eats").replace("does Tom", "does Dora"))]
+    df = spark.createDataFrame(rows, "doc_id bigint, text string")
+    bench = spark.createDataFrame([(20, TOM), (21, spelled)], "item_id bigint, text string")
+    got = {(r.doc_id, r.item_id): r.verdict for r in decontaminate.contamination(df, bench).collect()}
+    assert got == {(1, 20): "reparameterised", (2, 20): "reparameterised", (3, 20): "verbatim", (4, 21): "reparameterised", (5, 21): "verbatim"}
+
+
+def test_spelled_numbers():
+    said = {"five": "5", "twenty-five": "25", "three-hundred-two": "302", "hundred": "100", "two-thousand-six": "2006", "twenty-foo": None, "-": None, "": None}
+    assert {w: decontaminate._spelled(w) for w in said} == said
+
+
 # ---- 5: repeats
 
 
