@@ -110,6 +110,20 @@ def test_contamination_opening_names(spark):
     assert got == {(1, 20): "reparameterised", (2, 20): "reparameterised", (3, 20): "verbatim", (4, 21): "reparameterised", (5, 21): "verbatim"}
 
 
+def test_contamination_without_plain_words(spark):
+    """Title case, capitals, arithmetic, lists and short items are found as they stand."""
+    title = "Annual Report Of Green Valley Water Board Lists Seven Broken Pumps Near Harbour Road Bridge"
+    sums = "12, 7, 19, 30, 4, 26, 8, 9, 72, 5, 55, 10"
+    items = [(30, title), (31, title.upper().replace("PUMPS", "WELLS")), (32, sums), (33, "Who wrote Hamlet?"), (34, "Anna Bert Cora Dora Emil Fritz Gerda Hans")]
+    lead, end = "some other words stand here and ", " and more words follow."
+    rows = [(k, lead + t + end) for k, t in items] + [(40, lead + title.lower() + end), (41, lead + sums.replace("30", "31") + end), (42, "who wrote the letter to hamlet"), (43, lead + "Anna Bert Cora Dora Emil Fritz Gerda Hugo" + end)]
+    df = spark.createDataFrame(rows, "doc_id bigint, text string")
+    bench = spark.createDataFrame(items, "item_id bigint, text string")
+    got = {(r.doc_id, r.item_id): r for r in decontaminate.contamination(df, bench).collect()}
+    assert set(got) == {(k, k) for k, _ in items} | {(40, 30)} and {r.verdict for r in got.values()} == {"verbatim"}
+    assert all(got[k, k].n_matched == got[k, k].n_windows == max(1, len(t.split()) - 7) for k, t in items)
+
+
 def test_spelled_numbers():
     said = {"five": "5", "twenty-five": "25", "three-hundred-two": "302", "hundred": "100", "two-thousand-six": "2006", "twenty-foo": None, "-": None, "": None}
     assert {w: decontaminate._spelled(w) for w in said} == said
