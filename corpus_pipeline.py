@@ -24,7 +24,7 @@ def near_duplicates(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFr
 
 def benchmark_leaks(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """Documents that hold a benchmark item go."""
-    return decontaminate.drop_contaminated(docs, decontaminate.contamination(docs, common.table(spark, sf_dir, "benchmark")))
+    return decontaminate.drop_contaminated(docs, decontaminate.contamination(docs, common.table(spark, sf_dir, "benchmark"), any_case=True))
 
 
 def secrets(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:

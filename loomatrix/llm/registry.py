@@ -40,7 +40,7 @@ def op2_chat(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def op3_decontamination(spark: SparkSession, sf_dir: str) -> DataFrame:
-    found = contamination(common.table(spark, sf_dir, "documents"), common.table(spark, sf_dir, "benchmark"))
+    found = contamination(common.table(spark, sf_dir, "documents"), common.table(spark, sf_dir, "benchmark"), any_case=True)
     return found.drop("sig")
 
 

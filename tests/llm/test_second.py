@@ -124,6 +124,18 @@ def test_contamination_without_plain_words(spark):
     assert all(got[k, k].n_matched == got[k, k].n_windows == max(1, len(t.split()) - 7) for k, t in items)
 
 
+def test_contamination_any_case(spark, tmp_path):
+    """Copies in lower case and capitals, by the registered query and the pipeline's stage."""
+    short = "Where did Ada and Bob leave the blue box yesterday evening"
+    rows = [(1, "Some words. " + ITEM.lower()), (2, ITEM.upper() + " AND MORE"), (3, "they asked: " + short + " before"), (4, short.lower()), (5, "Some other words stand here. " * 5)]
+    spark.createDataFrame(rows, "doc_id bigint, text string").write.parquet(f"{tmp_path}/documents.parquet")
+    spark.createDataFrame([(10, ITEM), (11, short)], "item_id bigint, text string").write.parquet(f"{tmp_path}/benchmark.parquet")
+    got = {(r.doc_id, r.item_id): r.verdict for r in registry.op3_decontamination(spark, str(tmp_path)).collect()}
+    assert got == dict.fromkeys([(1, 10), (2, 10), (3, 11), (4, 11)], "verbatim")
+    docs = common.table(spark, str(tmp_path), "documents")
+    assert [r.doc_id for r in corpus_pipeline.benchmark_leaks(spark, docs, str(tmp_path)).collect()] == [5]
+
+
 def test_spelled_numbers():
     said = {"five": "5", "twenty-five": "25", "three-hundred-two": "302", "hundred": "100", "two-thousand-six": "2006", "twenty-foo": None, "-": None, "": None}
     assert {w: decontaminate._spelled(w) for w in said} == said
