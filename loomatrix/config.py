@@ -51,6 +51,8 @@ class SpmvConfig:
         need(self.random_x in ("0", "1", "m"), "random_x must be 0, 1 or m")
         need(min(self.chunk, self.sigma, self.block_width, self.parts, self.repetitions) >= 1, "chunk, sigma, block_width, parts and repetitions must be positive")
         need(self.format == "scs" or (self.chunk == 1 and self.sigma == 1), "chunk and sigma belong to scs")
+        need(self.block_width == 1 or self.mode == "bench", "block_width belongs to bench mode")
+        need(self.block_width == 1 or not self.precision.startswith("ap["), "adaptive precision has no products with a block of vectors")
         need(self.bench_seconds > 0 and self.warm_ups >= 0, "bench_seconds must be positive")
         need(self.threshold_1 >= self.threshold_2 or self.precision != "ap[dp_sp_hp]", "threshold_1 must not be below threshold_2")
 

@@ -12,8 +12,8 @@ from ..plans.matrix import SparseMatrix, Vector, constant
 from ..plans.tables import written
 from .precision import BUCKETS, partition_precisions, spmv_adaptive
 from .scale import dropout, equilibrate
-from .sell import pack_rows, spmv_sell, to_sell, unpack_rows
-from .spmv import spmv
+from .sell import from_sell, pack_rows, spmv_sell, to_sell, unpack_rows
+from .spmv import CASTS, spmmv_rowwise, spmv
 
 
 def power(a: SparseMatrix, x: Vector, times: int, cut_every: int = 4) -> DataFrame:
@@ -48,6 +48,27 @@ def execute(a: SparseMatrix, config: SpmvConfig, x: Vector | None = None) -> Dat
     return spmv(a, x, config.precision)
 
 
+def execute_block(a: SparseMatrix, config: SpmvConfig, xs: DataFrame | None = None) -> DataFrame:
+    """One product with block_width vectors, X as (i, xs array), as the configuration says: (i, ys)."""
+    if config.precision in BUCKETS:
+        raise ValueError("adaptive precision has no products with a block of vectors")
+    if xs is None:
+        # vectors that differ, so that no vector's work is folded into another's
+        xs = a.spark.range(a.n_cols).select(F.col("id").alias("i"), F.array(*[((F.col("id") + k) % 7 + 1).cast("double") for k in range(config.block_width)]).alias("xs"))
+    if config.dropout:
+        a = dropout(a, config.dropout_threshold)
+    if config.equilibrate:
+        a = equilibrate(a)[0]
+    cast = CASTS[config.precision]
+    a = a.with_entries(a.entries.withColumn("v", cast(F.col("v"))))
+    xs = xs.select("i", F.transform("xs", cast).alias("xs"))
+    if config.format == "scs" and (config.chunk > 1 or config.sigma > 1):
+        a = from_sell(to_sell(a, config.chunk, config.sigma))
+    elif config.format in ("crs", "csr", "scs"):
+        a = unpack_rows(pack_rows(a), a.n_rows, a.n_cols)
+    return spmmv_rowwise(a, xs, config.block_width)
+
+
 def gflops(nnz: int, width: int, seconds: float) -> float:
     """Two operations for each entry and vector; padding doesn't count."""
     return 2.0 * nnz * width / seconds / 1e9
@@ -55,9 +76,10 @@ def gflops(nnz: int, width: int, seconds: float) -> float:
 
 def benchmark(a: SparseMatrix, config: SpmvConfig) -> DataFrame:
     """Times products without keeping them, twice as many each round until bench_seconds are
-    reached; one row of figures."""
+    reached; one row of figures. With block_width above 1 each product has so many vectors."""
+    product = execute_block if config.block_width > 1 else execute
     nnz = a.entries.count()
-    once = lambda: execute(a, config).write.format("noop").mode("overwrite").save()
+    once = lambda: product(a, config).write.format("noop").mode("overwrite").save()
     for _ in range(config.warm_ups):
         once()
     n = 1

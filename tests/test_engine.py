@@ -255,6 +255,25 @@ def test_power_and_modes(spark):
     assert figures.products >= 2 and figures.gflops == pytest.approx(2 * 64 / figures.seconds / 1e9)
 
 
+def test_benchmark_block(spark, monkeypatch):
+    """A block's figure counts vectors that are really multiplied, in every layout; else it is refused."""
+    a = generate.stencil_2d(spark, 4)
+    d = dense([(r.i, r.j, r.v) for r in a.entries.collect()], 16, 16)
+    x = np.array([[(i + k) % 7 + 1 for k in range(3)] for i in range(16)], float)
+    made = []
+    kept = iterate.execute_block
+    monkeypatch.setattr(iterate, "execute_block", lambda *args: made.append(kept(*args)) or made[-1])
+    for config in (SpmvConfig(block_width=3), SpmvConfig(block_width=3, format="scs", chunk=4, sigma=8, precision="sp"), SpmvConfig(block_width=3, format="coo", precision="hp")):
+        got = {r.i: r.ys for r in kept(a, config).collect()}
+        assert np.allclose([got[i] for i in range(16)], d @ x)
+    figures = iterate.benchmark(a, SpmvConfig(block_width=3, bench_seconds=0.01, format="coo", warm_ups=0)).first()
+    assert len(made) == figures.products and len(made[0].first().ys) == 3
+    assert figures.gflops == pytest.approx(2 * 64 * 3 / figures.seconds / 1e9)
+    for more in ({"mode": "solve"}, {"precision": "ap[dp_sp]"}):
+        with pytest.raises(ValueError, match="block"):
+            SpmvConfig(block_width=3, **more)
+
+
 def test_generators(spark):
     b = {(r.i, r.j): r.v for r in generate.band(spark, 4, 1, 2).entries.collect()}
     assert b == {(i, j): 1 / (1 + abs(i - j)) for i in range(4) for j in range(4) if -1 <= j - i <= 2}
