@@ -30,8 +30,24 @@ def power(a: SparseMatrix, x: Vector, times: int, cut_every: int = 4) -> DataFra
     return x.withColumnRenamed("x", "y")
 
 
+def _whole(config: SpmvConfig) -> None:
+    """Refuses what no product does."""
+    if config.parts > 1 or config.segmentation != "rows":
+        raise ValueError("products by row parts aren't built: leave segmentation at rows and parts at 1")
+
+
+def _laid_out(a: SparseMatrix, config: SpmvConfig) -> SparseMatrix:
+    """The entries as they come out of the configured format."""
+    if config.format == "scs" and (config.chunk > 1 or config.sigma > 1):
+        return from_sell(to_sell(a, config.chunk, config.sigma))
+    if config.format in ("crs", "csr", "scs"):
+        return unpack_rows(pack_rows(a), a.n_rows, a.n_cols)
+    return a
+
+
 def execute(a: SparseMatrix, config: SpmvConfig, x: Vector | None = None) -> DataFrame:
     """One product as the configuration says: (i, y)."""
+    _whole(config)
     x = x if x is not None else constant()
     if config.dropout:
         a = dropout(a, config.dropout_threshold)
@@ -39,17 +55,21 @@ def execute(a: SparseMatrix, config: SpmvConfig, x: Vector | None = None) -> Dat
     if config.equilibrate:
         a, rows, cols = equilibrate(a)
     if config.precision in BUCKETS:
-        split = partition_precisions(a, config.precision, config.threshold_1, config.threshold_2, rows, cols)
-        return spmv_adaptive(a, split, x, config.precision, config.x_precision).select("i", "y")
+        laid = _laid_out(a, config)
+        split = partition_precisions(laid, config.precision, config.threshold_1, config.threshold_2, rows, cols)
+        return spmv_adaptive(laid, split, x, config.precision, config.x_precision).select("i", "y")
+    cast = CASTS[config.precision]
+    a = a.with_entries(a.entries.withColumn("v", cast(F.col("v"))))
+    given = x
+    x = given.withColumn("x", cast(F.col("x"))) if isinstance(given, DataFrame) else lambda j: cast(given(j))
     if config.format == "scs" and (config.chunk > 1 or config.sigma > 1):
         return spmv_sell(to_sell(a, config.chunk, config.sigma), x)
-    if config.format in ("crs", "csr", "scs") and config.precision == "dp":
-        return spmv(unpack_rows(pack_rows(a), a.n_rows, a.n_cols), x)
-    return spmv(a, x, config.precision)
+    return spmv(_laid_out(a, config), x)
 
 
 def execute_block(a: SparseMatrix, config: SpmvConfig, xs: DataFrame | None = None) -> DataFrame:
     """One product with block_width vectors, X as (i, xs array), as the configuration says: (i, ys)."""
+    _whole(config)
     if config.precision in BUCKETS:
         raise ValueError("adaptive precision has no products with a block of vectors")
     if xs is None:
@@ -62,11 +82,7 @@ def execute_block(a: SparseMatrix, config: SpmvConfig, xs: DataFrame | None = No
     cast = CASTS[config.precision]
     a = a.with_entries(a.entries.withColumn("v", cast(F.col("v"))))
     xs = xs.select("i", F.transform("xs", cast).alias("xs"))
-    if config.format == "scs" and (config.chunk > 1 or config.sigma > 1):
-        a = from_sell(to_sell(a, config.chunk, config.sigma))
-    elif config.format in ("crs", "csr", "scs"):
-        a = unpack_rows(pack_rows(a), a.n_rows, a.n_cols)
-    return spmmv_rowwise(a, xs, config.block_width)
+    return spmmv_rowwise(_laid_out(a, config), xs, config.block_width)
 
 
 def gflops(nnz: int, width: int, seconds: float) -> float:

@@ -255,6 +255,26 @@ def test_power_and_modes(spark):
     assert figures.products >= 2 and figures.gflops == pytest.approx(2 * 64 / figures.seconds / 1e9)
 
 
+def test_execute_keeps_options(spark, monkeypatch):
+    """Every format rounds as the precision says and comes out of its layout; parts are refused."""
+    a = matrix(spark, [(0, 0, 1 / 3), (0, 1, 2.1), (1, 1, 1 / 7)], 2, 2)
+    x = lambda j: 1.0 / (j + 3)
+    layouts = [{"format": "coo"}, {"format": "crs"}, {"format": "scs", "chunk": 2, "sigma": 2}]
+    for kind, real in (("sp", np.float32), ("hp", np.float16)):
+        v, w = [float(real(t)) for t in (1 / 3, 2.1, 1 / 7)], [float(real(1 / (j + 3))) for j in range(2)]
+        want = [v[0] * w[0] + v[1] * w[1], v[2] * w[1]]
+        for layout in layouts:
+            assert np.allclose(vector(iterate.execute(a, SpmvConfig(precision=kind, **layout), x), 2), want, rtol=1e-14, atol=0)
+    made = []
+    for name in ("to_sell", "pack_rows"):
+        monkeypatch.setattr(iterate, name, lambda *args, kept=getattr(iterate, name), name=name: made.append(name) or kept(*args))
+    adaptive = [vector(iterate.execute(a, SpmvConfig(precision="ap[dp_sp]", **layout), x), 2) for layout in layouts]
+    assert made == ["pack_rows", "to_sell"] and np.allclose(adaptive[1], adaptive[0]) and np.allclose(adaptive[2], adaptive[0])
+    for more in ({"parts": 2}, {"segmentation": "nnz"}):
+        with pytest.raises(ValueError, match="parts"):
+            iterate.execute(a, SpmvConfig(**more))
+
+
 def test_benchmark_block(spark, monkeypatch):
     """A block's figure counts vectors that are really multiplied, in every layout; else it is refused."""
     a = generate.stencil_2d(spark, 4)
