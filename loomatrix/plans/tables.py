@@ -12,20 +12,41 @@ from pyspark.sql import functions as F
 
 
 def shared_folder(spark: SparkSession) -> str:
-    """The folder in spark.checkpoint.dir; where that is unset, a temporary one in local mode only."""
-    found = spark.sparkContext.getConf().get("spark.checkpoint.dir")
-    if not found:
-        if not re.fullmatch(r"local(\[[^-]*\])?", spark.sparkContext.master):
-            raise ValueError("set spark.checkpoint.dir to a folder that the driver and all executors share")
-        found = getattr(spark.sparkContext, "_loomatrix_scratch", None) or tempfile.mkdtemp(prefix="loomatrix-")
-        spark.sparkContext._loomatrix_scratch = found
+    """This application's own folder in spark.checkpoint.dir, which the driver and all executors see.
+
+    It goes when the driver's JVM ends, also after the session was stopped. Where the
+    setting is missing, local mode takes a temporary folder of this machine; a cluster
+    is refused.
+    """
+    context = spark.sparkContext
+    found = getattr(context, "_loomatrix_folder", None)
+    if found is None:
+        top = context.getConf().get("spark.checkpoint.dir")
+        if not top:
+            if not re.fullmatch(r"local(\[[^-]*\])?", context.master):
+                raise ValueError("set spark.checkpoint.dir to a folder that the driver and all executors share")
+            top = tempfile.mkdtemp(prefix="loomatrix-")
+        found = context._loomatrix_folder = f"{top.rstrip('/')}/loomatrix-{uuid.uuid4().hex}"
+        where = context._jvm.org.apache.hadoop.fs.Path(found)
+        files = where.getFileSystem(context._jsc.hadoopConfiguration())
+        files.mkdirs(where)
+        files.deleteOnExit(where)
     return found
 
 
+def new_path(spark: SparkSession, kind: str) -> str:
+    """A path in the shared folder that nothing stands at yet."""
+    return f"{shared_folder(spark)}/{kind}-{uuid.uuid4().hex}"
+
+
 def written(df: DataFrame) -> DataFrame:
-    """Writes df to the shared folder and reads it back, which cuts its lineage."""
-    path = f"{shared_folder(df.sparkSession)}/step-{uuid.uuid4().hex}"
-    df.write.parquet(path)
+    """Writes df once to the shared folder and reads it back.
+
+    This cuts the lineage: a lost executor costs no recomputation of what stands in the
+    table. The table goes with the shared folder.
+    """
+    path = new_path(df.sparkSession, "step")
+    df.write.option("compression", "zstd").parquet(path)
     return df.sparkSession.read.schema(df.schema).parquet(path)
 
 

@@ -12,7 +12,7 @@ from .operators import partition, precision, scale, sell, spmv, stats, validate
 from .operators.iterate import execute, power
 from .config import SpmvConfig
 from .plans.matrix import SparseMatrix, constant
-from .plans.tables import shared_folder
+from .plans.tables import new_path
 from .sources import generate, matrix_market, tables
 from .streaming import deltas
 
@@ -181,9 +181,7 @@ def spmv_stencil(spark, sf_dir):
 
 @query(product(SEVEN))
 def matrix_market_round_trip(spark, sf_dir):
-    import uuid
-
-    a, folder = _ps(spark, sf_dir), f"{shared_folder(spark)}/mtx-{uuid.uuid4().hex}"
+    a, folder = _ps(spark, sf_dir), new_path(spark, "mtx")
     matrix_market.write_matrix(a, folder)
     return spmv.spmv(matrix_market.read_matrix(spark, folder, square=False), seven)
 
@@ -191,9 +189,7 @@ def matrix_market_round_trip(spark, sf_dir):
 @query("WITH A AS (SELECT l_partkey AS i, l_suppkey AS j, l_quantity AS v FROM lineitem) SELECT i, sum(v * 5.0) AS y FROM A GROUP BY 1")
 def streaming_product(spark, sf_dir):
     """The whole table as a stream of entries; what the last batch leaves."""
-    import uuid
-
-    folder = f"{shared_folder(spark)}/stream-{uuid.uuid4().hex}"
+    folder = new_path(spark, "stream")
     schema = spark.read.parquet(f"{sf_dir}/lineitem.parquet").schema
     lines = spark.readStream.schema(schema).option("pathGlobFilter", "lineitem.parquet").parquet(sf_dir)
     entries = lines.select(F.col("l_partkey").alias("i"), F.col("l_suppkey").alias("j"), F.col("l_quantity").alias("v"))
