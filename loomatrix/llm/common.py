@@ -2,11 +2,8 @@
 
 from __future__ import annotations
 
-import atexit
 import os
 import re
-import tempfile
-import uuid
 from collections.abc import Iterator
 
 import numpy as np
@@ -15,41 +12,12 @@ import pyarrow.compute as pc
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-#: Texts are worked on in slices of about so many characters, which bounds a task's memory.
-SLICE_CHARS = 4_000_000
-
-
-def shared_folder(spark: SparkSession) -> str:
-    """The folder in spark.checkpoint.dir; where that is unset, a temporary one in local mode only."""
-    found = spark.sparkContext.getConf().get("spark.checkpoint.dir")
-    if not found:
-        if not re.fullmatch(r"local(\[[^-]*\])?", spark.sparkContext.master):
-            raise ValueError("set spark.checkpoint.dir to a folder that the driver and all executors share")
-        found = getattr(spark.sparkContext, "_loomatrix_folder", None) or tempfile.mkdtemp(prefix="loomatrix-")
-        spark.sparkContext._loomatrix_folder = found
-    return found
-
-
-def written(df: DataFrame) -> DataFrame:
-    """Writes df once to the shared folder and reads it back.
-
-    This cuts the lineage, and a lost executor costs no recomputation of what stands
-    in the table. The table goes when the session's application ends.
-    """
-    spark = df.sparkSession
-    path = f"{shared_folder(spark)}/written-{uuid.uuid4().hex}"
-    df.write.option("compression", "zstd").parquet(path)
-    atexit.register(_remove, spark, path)
-    return spark.read.schema(df.schema).parquet(path)
+from ..plans.tables import new_path, written
 
+__all__ = ["new_path", "written"]
 
-def _remove(spark: SparkSession, path: str) -> None:
-    try:
-        jvm = spark.sparkContext._jvm
-        where = jvm.org.apache.hadoop.fs.Path(path)
-        where.getFileSystem(spark.sparkContext._jsc.hadoopConfiguration()).delete(where, True)
-    except Exception:  # the application has ended before
-        return
+#: Texts are worked on in slices of about so many characters, which bounds a task's memory.
+SLICE_CHARS = 4_000_000
 
 
 def slices(batches: Iterator[pa.RecordBatch], text: str, chars: int = SLICE_CHARS) -> Iterator[pa.RecordBatch]:
@@ -94,14 +62,24 @@ def mixed(values: np.ndarray) -> np.ndarray:
 
 
 def window_hashes(values: np.ndarray, length: int, base: int) -> np.ndarray:
-    """For each window of `length` values an order-sensitive 64-bit hash."""
+    """For each window of `length` values an order-sensitive 64-bit hash.
+
+    Sums of values times powers of base, put together from windows of 1, 2, 4, ... values.
+    """
     n = len(values) - length + 1
     if n <= 0:
         return np.zeros(0, np.uint64)
-    total = np.zeros(n, np.uint64)
-    for k in range(length):
-        total = total * np.uint64(base) + values[k : k + n]
-    return mixed(total)
+    total, done = np.zeros(len(values) + 1, np.uint64), 0
+    part, power, size = values, base % (1 << 64), 1
+    while True:
+        if length & size:
+            count = len(values) - done - size + 1
+            total = total[:count] * np.uint64(power) + part[done : done + count]
+            done += size
+        if done == length:
+            return mixed(total[:n])
+        part = part[: len(part) - size] * np.uint64(power) + part[size:]
+        power, size = power * power % (1 << 64), size * 2
 
 
 def table(spark: SparkSession, folder: str, name: str) -> DataFrame:
@@ -171,8 +149,17 @@ def separable(tokenizer) -> bool:
     )
 
 
+def unused(name: str, *frames: DataFrame) -> str:
+    """A column name like this one that none of the tables has."""
+    taken = {c.lower() for f in frames for c in f.columns}
+    while name.lower() in taken:
+        name += "_"
+    return name
+
+
 def null_safe(left: DataFrame, right: DataFrame, keys: list[str], how: str = "inner") -> DataFrame:
     """An equi-join in which null keys meet; the right side's keys go."""
-    renamed = right.select([F.col(c).alias(f"__r_{c}" if c in keys else c) for c in right.columns])
-    on = [left[c].eqNullSafe(renamed[f"__r_{c}"]) for c in keys]
-    return left.join(renamed, on, how).drop(*[f"__r_{c}" for c in keys])
+    own = {c: unused(f"__r_{c}", left, right) for c in keys}
+    renamed = right.select([F.col(f"`{c}`").alias(own.get(c, c)) for c in right.columns])
+    on = [left[f"`{c}`"].eqNullSafe(renamed[f"`{own[c]}`"]) for c in keys]
+    return left.join(renamed, on, how).drop(*own.values())

@@ -16,7 +16,7 @@ import math
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from .common import null_safe, written
+from .common import null_safe, unused, written
 
 SPACE = r"[\x20\x09-\x0D]+"
 SPACES = " \t\n\x0b\x0c\r"
@@ -104,7 +104,7 @@ def controlled_cutoffs(measured: DataFrame, labels: DataFrame, *, id_col: str =
     counts = held.groupBy("stratum").agg(F.count("*").alias("n_good"), *[F.count_if(value[rule] > c).alias(f"{rule}_{i}") for rule, grid in RULES.items() for i, c in enumerate(grid)])
     tests = F.array(*[F.struct(F.lit(rule).alias("rule"), F.lit(c).alias("cutoff"), F.col(f"{rule}_{i}").alias("k")) for rule, grid in RULES.items() for i, c in enumerate(grid)])
     each = counts.select("stratum", "n_good", F.explode(tests).alias("t")).select("stratum", "n_good", "t.*")
-    n_strata = each.select(F.count_distinct("stratum").alias("n_strata"))
+    n_strata = each.select(F.count_distinct(F.struct("stratum")).alias("n_strata"))
     n_tests = F.col("n_strata") * sum(map(len, RULES.values()))
     passing = each.crossJoin(F.broadcast(n_strata)).withColumn("ok", binomial_cdf(F.col("k"), F.col("n_good"), risk / len(RULES)) <= F.lit(alpha) / n_tests)
     return passing.groupBy("stratum").agg(F.first("n_good").alias("n_good"), *[F.min(F.when(F.col("ok") & (F.col("rule") == rule), F.col("cutoff"))).alias(f"cut_{rule}") for rule in RULES])
@@ -121,7 +121,7 @@ def quality_rules(docs: DataFrame, labels: DataFrame, *, id_col: str = "doc_id",
     other columns are ignored; without labels only the base rules reject; an empty table
     gives an empty result.
     """
-    base = docs.select(docs[id_col].alias("id"), F.coalesce(docs[stratum_col].cast("string"), F.lit("(null)")).alias("stratum"), F.xxhash64(docs[text_col]).alias("sig"), F.coalesce(docs[text_col], F.lit("")).alias("text"))
+    base = docs.select(docs[id_col].alias("id"), docs[stratum_col].cast("string").alias("stratum"), F.xxhash64(docs[text_col]).alias("sig"), F.coalesce(docs[text_col], F.lit("")).alias("text"))
     failed = (F.col("n_words") < min_words) | (100 * F.col("n_repeat_words") > max_repeat_percent * F.col("n_words"))
     measured = written(_measured(base).withColumn("base_failed", failed).withColumnRenamed("id", id_col))
     cutoffs = written(controlled_cutoffs(measured, labels, id_col=id_col, good_col=good_col, risk=risk, alpha=alpha))
@@ -129,11 +129,15 @@ def quality_rules(docs: DataFrame, labels: DataFrame, *, id_col: str = "doc_id",
         cutoffs = F.broadcast(cutoffs)
     value = _rule_values()
     hits = F.array_compact(F.array(*[F.when(value[rule] > F.col(f"cut_{rule}"), F.lit(rule)) for rule in RULES]))
-    judged = measured.join(cutoffs, "stratum", "left").withColumn("failed_rules", hits)
+    judged = null_safe(measured, cutoffs, ["stratum"], "left").withColumn("failed_rules", hits)
     return judged.select(id_col, "sig", "n_words", "word_chars", "n_symbols", "n_dup_lines", "n_repeat_words", "base_failed", (~F.col("base_failed") & (F.size("failed_rules") == 0)).alias("kept"), "failed_rules")
 
 
 def keep_good(docs: DataFrame, judged: DataFrame, *, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
-    """The rows of docs that quality_rules kept, with all their columns."""
-    kept = judged.where("kept").select(id_col, F.col("sig").alias("__sig"))
-    return null_safe(docs.withColumn("__sig", F.xxhash64(text_col)), kept, [id_col, "__sig"], "left_semi").drop("__sig")
+    """The rows of docs that quality_rules kept, with all their columns, whatever their names.
+
+    Rows meet their verdict by id and text, nulls included, so repeated ids don't mix.
+    """
+    sig = unused("__sig", docs)
+    kept = judged.where("kept").select(id_col, F.col("sig").alias(sig))
+    return null_safe(docs.withColumn(sig, F.xxhash64(text_col)), kept, [id_col, sig], "left_semi").drop(sig)

@@ -9,13 +9,16 @@ from itertools import accumulate
 
 import numpy as np
 import pyarrow as pa
-from pyspark.sql import DataFrame
+from pyspark.core.broadcast import Broadcast
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from .common import null_safe, slices
+from .common import mixed, null_safe, slices, unused
 
-#: Slots of a filter; it is sent to each task and has this size for any input.
+#: Slots of a filter for each key, and at most: 16 MB of bits, whatever the input.
+#: Slots of slot_filter.
 SLOTS = 1 << 22
+SLOTS_A_KEY, LEAST_SLOTS, MOST_SLOTS = 16, 1 << 16, 1 << 27
 
 
 def digest(spans: list[tuple[str, int, int]]) -> str:
@@ -34,6 +37,57 @@ class Cover:
         return k > 0 and self.ends[k - 1] > start
 
 
+class HashFilter:
+    """Which slots the 64-bit hashes of some keys fall into; sent to all tasks.
+
+    A hash that isn't among them may pass, so exact steps follow; one that is always
+    passes. With more keys than MOST_SLOTS / SLOTS_A_KEY it gets fuller and passes more.
+    """
+
+    def __init__(self, words: np.ndarray, slots: int):
+        self.bits, self.slots = words.view(np.uint8), slots
+
+    @property
+    def fill(self) -> float:
+        return float(np.bitwise_count(self.bits).sum()) / self.slots
+
+    def __call__(self, hashes: np.ndarray) -> np.ndarray:
+        at = mixed(hashes) & np.uint64(self.slots - 1)
+        return (self.bits[at >> np.uint64(3)] >> (at & np.uint64(7)).astype(np.uint8) & np.uint8(1)).astype(bool)
+
+    def of_texts(self, texts: list[str]) -> np.ndarray:
+        """Which strings may be among the keys, where those are hashed by xxhash64."""
+        import xxhash
+
+        return self(np.fromiter((xxhash.xxh64_intdigest(t.encode(), 42) for t in texts), np.uint64, len(texts)))
+
+
+def hash_filter(keys: DataFrame, hashed: Column, each: int = SLOTS_A_KEY, most: int = MOST_SLOTS) -> HashFilter:
+    """A filter over a column of 64-bit hashes, such as xxhash64 gives them, with `each` slots a key.
+
+    Tasks set the bits of their rows, and words of equal place are put together by OR:
+    one word for 64 slots reaches the driver at most, which `most` bounds.
+    """
+    rows = keys.count()
+    slots = min(most, max(LEAST_SLOTS, 1 << (each * max(1, rows) - 1).bit_length()))
+
+    def words(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            at = np.unique(mixed(batch.column("h").to_numpy(zero_copy_only=False).view(np.uint64)) & np.uint64(slots - 1))
+            place, start = np.unique(at >> np.uint64(6), return_index=True)
+            bits = np.bitwise_or.reduceat(np.uint64(1) << (at & np.uint64(63)), start) if len(at) else at
+            yield pa.RecordBatch.from_arrays([pa.array(place.astype(np.int64)), pa.array(bits.view(np.int64))], ["word", "bits"])
+
+    found = keys.select(hashed.alias("h")).where("h is not null").mapInArrow(words, "word bigint, bits bigint").groupBy("word").agg(F.bit_or("bits").alias("bits")).toArrow()
+    out = np.zeros(slots // 64, np.int64)
+    out[found.column("word").to_numpy()] = found.column("bits").to_numpy()
+    return HashFilter(out, slots)
+
+
+def hash_filter_for_tasks(keys: DataFrame, hashed: Column, each: int = SLOTS_A_KEY) -> Broadcast[HashFilter]:
+    return keys.sparkSession.sparkContext.broadcast(hash_filter(keys, hashed, each))
+
+
 def slot_filter(keys: DataFrame, column: str) -> np.ndarray:
     """Which of SLOTS slots the hashes of a column's strings fall into.
 
@@ -61,9 +115,9 @@ def rewrite(docs: DataFrame, spans: DataFrame, *, id_col: str, text_col: str) ->
     structs (start, end, put) in code points. Of overlapping cuts the first stays and
     covers the rest. Texts without a row of spans stay as they are; null stays null.
     """
-    named = docs.withColumn("__sig", F.xxhash64(text_col))
-    joined = null_safe(named, spans.select(F.col(id_col), F.col("sig").alias("__sig"), F.col("cuts").alias("__cuts")), [id_col, "__sig"], "left")
-    kept = [c for c in docs.columns]
+    sig, cuts = unused("__sig", docs, spans), unused("__cuts", docs, spans)
+    named = docs.withColumn(sig, F.xxhash64(text_col))
+    joined = null_safe(named, spans.select(F.col(id_col), F.col("sig").alias(sig), F.col("cuts").alias(cuts)), [id_col, sig], "left")
 
     @F.pandas_udf("string")
     def cut(texts, cuts):
@@ -77,9 +131,9 @@ def rewrite(docs: DataFrame, spans: DataFrame, *, id_col: str, text_col: str) ->
 
         return texts.combine(cuts, lambda t, c: t if t is None or c is None or not len(c) else one(t, c))
 
-    changed = joined.where(F.col("__cuts").isNotNull()).withColumn(text_col, cut(text_col, "__cuts"))
-    same = joined.where(F.col("__cuts").isNull())
-    return changed.select(*kept).unionByName(same.select(*kept))
+    changed = joined.where(F.col(cuts).isNotNull()).withColumn(text_col, cut(text_col, cuts))
+    same = joined.where(F.col(cuts).isNull())
+    return changed.select(*docs.columns).unionByName(same.select(*docs.columns))
 
 
 def text_rows(work, names: list[str], kinds: list[pa.DataType], text: str = "text"):
