@@ -5,7 +5,9 @@ does a term stand near an entity (an e-mail address, a number), in how many does
 stand at all, in how many the entity? A term reveals an entity as far as the share of
 its documents that hold the entity, P(e|t), exceeds the entity's own share, P(e).
 Terms above the thresholds are spans too: removed when they all but name the entity,
-generalised otherwise.
+generalised to their class otherwise. Most entities stand in one or two documents, so
+the estimate of P(e|t) is smoothed: `smoothing` documents are added in which the term
+stands without the entity.
 """
 
 from __future__ import annotations
@@ -20,7 +22,7 @@ from pyspark.sql import functions as F
 from pyspark.sql.pandas.types import to_arrow_type
 
 from .common import null_safe, slices, words_of, written
-from .spans import Cover, digest, passes, slot_filter, text_rows
+from .spans import Cover, digest, hash_filter_for_tasks, text_rows
 
 # fixed values: the base patterns
 EMAIL = re.compile(r"[A-Za-z0-9._%+-]+@[A-Za-z0-9-]+(\.[A-Za-z0-9-]+)+")
@@ -62,6 +64,14 @@ def term_of(word: str) -> str:
     return term if len(term) >= 3 else ""
 
 
+def class_of(word: str) -> str:
+    """What a generalised word is replaced by: a number, a code (letters and digits), a name, a term."""
+    bare = word.strip(EDGES)
+    if re.search("[0-9]", bare):
+        return "code" if re.search("[^\\W\\d_]", bare) else "number"
+    return "name" if bare[:1].isupper() else "term"
+
+
 def _near(text: str, spans: list[tuple[str, int, int]], reach: int) -> list[dict]:
     """Distinct (entity, term) of terms at most `reach` words from an entity, outside all base spans."""
     words = [(m.start(), m.end()) for m in WORD.finditer(text)]
@@ -97,9 +107,10 @@ def _document_counts(filled):
             codes, distinct, offsets = words_of(batch.column("text"))
             terms: dict[str, int] = {}
             lookup = np.full(len(distinct) + 1, -1, np.int64)
-            for k, word in enumerate(distinct):
-                if (term := term_of(word)) and passes(filled.value, term):
-                    lookup[k] = terms.setdefault(term, len(terms))
+            said = [term_of(word) for word in distinct]
+            for k in np.flatnonzero(filled.value.of_texts(said)).tolist():
+                if said[k]:
+                    lookup[k] = terms.setdefault(said[k], len(terms))
             owner = np.repeat(np.arange(batch.num_rows), np.diff(offsets))
             which = lookup[codes]
             seen = np.unique(owner[which >= 0] * max(1, len(terms)) + which[which >= 0])
@@ -111,18 +122,20 @@ def _document_counts(filled):
 
 def _occurrences(filled, id_type: pa.DataType):
     """Rows (id, sig, spots) of texts that hold a term which passes the filter, outside base spans."""
-    spot = pa.struct([("term", pa.string()), ("start", pa.int64()), ("end", pa.int64())])
+    spot = pa.struct([("term", pa.string()), ("start", pa.int64()), ("end", pa.int64()), ("class", pa.string())])
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in slices(batches, "text"):
             codes, distinct, offsets = words_of(batch.column("text"))
-            hit = np.array([bool((t := term_of(w)) and passes(filled.value, t)) for w in distinct] + [False])
+            said = [term_of(word) for word in distinct]
+            hit = np.append(filled.value.of_texts(said) & np.array([t != "" for t in said], bool), False)
             total = np.concatenate([[0], np.cumsum(hit[codes])])
             ids, sigs, spots = [], [], []
             for k in np.flatnonzero(total[offsets[1:]] > total[offsets[:-1]]):
                 text = batch.column("text")[int(k)].as_py()
                 covered = Cover([x[1:] for x in base_spans(text)]).touches
-                found = [{"term": t, "start": m.start(), "end": m.end()} for m in WORD.finditer(text) if (t := term_of(m[0])) and passes(filled.value, t) and not covered(*m.span())]
+                wanted = {distinct[j] for j in set(codes[offsets[k] : offsets[k + 1]].tolist()) if hit[j]}
+                found = [{"term": term_of(m[0]), "start": m.start(), "end": m.end(), "class": class_of(m[0])} for m in WORD.finditer(text) if m[0] in wanted and not covered(*m.span())]
                 ids.append(batch.column("id")[int(k)].as_py())
                 sigs.append(batch.column("sig")[int(k)].as_py())
                 spots.append(found)
@@ -131,19 +144,20 @@ def _occurrences(filled, id_type: pa.DataType):
     return run
 
 
-def find_personal_data(docs: DataFrame, *, id_col: str = "doc_id", text_col: str = "text", reach: int = 8, min_docs: int = 3, min_posterior: float = 0.5, remove_posterior: float = 0.9, min_bits: float = 4.0) -> DataFrame:
+def find_personal_data(docs: DataFrame, *, id_col: str = "doc_id", text_col: str = "text", reach: int = 8, min_docs: int = 3, min_posterior: float = 0.5, remove_posterior: float = 0.9, min_bits: float = 4.0, smoothing: float = 0.0) -> DataFrame:
     """One row for each row of docs: (id, sig, n_email, n_ip, n_card, n_phone, base_sha256, found).
 
-    found: array of (kind, start, end, action), by kind as in KINDS, then start; code
-    points, end exclusive; action is `mask` for base spans, `generalise` or `remove` for
-    terms. A term is disclosing if it stands within `reach` words of one entity in
-    min_docs documents or more, P(e|t) >= min_posterior and log2(P(e|t) / P(e)) >=
-    min_bits; from remove_posterior on it is removed. All its occurrences outside base
-    spans are reported. Document counts cover all rows, a repeated row each time.
-    A null text is empty; null ids stay null; repeated rows each give a row; other
+    found: array of (kind, start, end, action, class), by kind as in KINDS, then start;
+    code points, end exclusive; action is `mask` for base spans, `generalise` or `remove`
+    for terms, class what a term is generalised to. A term is disclosing if it stands
+    within `reach` words of one entity in min_docs documents or more, P(e|t) = n(e, t) /
+    (n(t) + smoothing) >= min_posterior and log2(P(e|t) / P(e)) >= min_bits; from
+    remove_posterior on it is removed. With min_docs = 1, smoothing keeps what stands in
+    one document only from being taken as certain. All occurrences of a disclosing term
+    outside base spans are reported. Document counts cover all rows, a repeated row each
+    time. A null text is empty; null ids stay null; repeated rows each give a row; other
     columns are ignored; an empty table gives an empty result.
     """
-    spark = docs.sparkSession
     kind = docs.schema[id_col].dataType
     arrow, sql = to_arrow_type(kind), kind.simpleString()
     rows = docs.select(docs[id_col].alias("id"), docs[text_col].alias("text"), F.xxhash64(docs[text_col]).alias("sig"))
@@ -152,30 +166,34 @@ def find_personal_data(docs: DataFrame, *, id_col: str = "doc_id", text_col: str
     scan = text_rows(_scan(reach), ["id", "sig", "n_email", "n_ip", "n_card", "n_phone", "base_sha256", "base", "near"], [arrow, *[pa.int64()] * 5, pa.string(), pa.list_(span), pa.list_(pair)])
     scanned = written(rows.mapInArrow(scan, f"id {sql}, sig bigint, n_email bigint, n_ip bigint, n_card bigint, n_phone bigint, base_sha256 string, base array<struct<kind:string,start:bigint,end:bigint>>, near array<struct<entity:string,term:string>>"))
 
-    pairs = scanned.where(F.size("near") > 0).select(F.explode("near").alias("p")).groupBy("p.entity", "p.term").agg(F.count("*").alias("n_both"))
+    some = scanned.where(F.size("near") > 0)
+    pairs = some.select(F.explode("near").alias("p")).groupBy("p.entity", "p.term").agg(F.count("*").alias("n_both"))
     pairs = written(pairs.where(F.col("n_both") >= min_docs))
-    terms = pairs.where("term <> ''").select("term").distinct()
-    some = spark.sparkContext.broadcast(slot_filter(terms, "term"))
-    counts = rows.select("text").mapInArrow(_document_counts(some), "term string, n bigint").groupBy("term").agg(F.sum("n").alias("n_term"))
+    # a term stands in n_near documents at least; where even that is too many for the posterior, it needn't be counted
+    near = some.select(F.explode(F.array_distinct(F.transform("near", lambda p: p["term"]))).alias("term")).where("term <> ''").groupBy("term").agg(F.count("*").alias("n_near"))
+    most = pairs.where("term <> ''").groupBy("term").agg(F.max("n_both").alias("most"))
+    terms = written(most.join(near, "term").where(F.col("most") >= min_posterior * (F.col("n_near") + smoothing)).select("term"))
+    counts = rows.select("text").mapInArrow(_document_counts(hash_filter_for_tasks(terms, F.xxhash64("term"), 256)), "term string, n bigint").groupBy("term").agg(F.sum("n").alias("n_term"))
     entities = pairs.where("term = ''").select("entity", F.col("n_both").alias("n_entity"))
     all_docs = F.lit(float(max(1, scanned.count())))
-    scored = pairs.where("term <> ''").join(counts, "term").join(entities, "entity")
-    scored = scored.withColumn("posterior", F.col("n_both") / F.col("n_term")).withColumn("bits", F.log2(F.col("posterior") * all_docs / F.col("n_entity")))
+    scored = pairs.where("term <> ''").join(terms, "term", "left_semi").join(counts, "term").join(entities, "entity")
+    scored = scored.withColumn("posterior", F.col("n_both") / (F.col("n_term") + F.lit(float(smoothing)))).withColumn("bits", F.log2(F.col("posterior") * all_docs / F.col("n_entity")))
     disclosing = written(scored.where((F.col("posterior") >= min_posterior) & (F.col("bits") >= min_bits)).groupBy("term").agg(F.max("posterior").alias("posterior")))
 
-    few = spark.sparkContext.broadcast(slot_filter(disclosing, "term"))
-    spots = rows.mapInArrow(_occurrences(few, arrow), f"id {sql}, sig bigint, spots array<struct<term:string,start:bigint,end:bigint>>")
+    few = hash_filter_for_tasks(disclosing, F.xxhash64("term"), 4096)
+    spots = rows.mapInArrow(_occurrences(few, arrow), f"id {sql}, sig bigint, spots array<struct<term:string,start:bigint,end:bigint,class:string>>")
     spots = spots.select("id", "sig", F.explode("spots").alias("s")).select("id", "sig", "s.*").join(disclosing, "term")
     action = F.when(F.col("posterior") >= remove_posterior, "remove").otherwise("generalise")
-    lists = spots.groupBy("id", "sig").agg(F.array_sort(F.collect_set(F.struct("start", "end", action.alias("action")))).alias("terms"))
+    lists = spots.groupBy("id", "sig").agg(F.array_sort(F.collect_set(F.struct("start", "end", action.alias("action"), "class"))).alias("terms"))
     out = null_safe(scanned.drop("near"), lists, ["id", "sig"], "left")
-    base = F.transform("base", lambda b: F.struct(b["kind"].alias("kind"), b["start"].alias("start"), b["end"].alias("end"), F.lit("mask").alias("action")))
-    more = F.transform("terms", lambda t: F.struct(F.lit("term").alias("kind"), t["start"].alias("start"), t["end"].alias("end"), t["action"].alias("action")))
+    base = F.transform("base", lambda b: F.struct(b["kind"].alias("kind"), b["start"].alias("start"), b["end"].alias("end"), F.lit("mask").alias("action"), b["kind"].alias("class")))
+    more = F.transform("terms", lambda t: F.struct(F.lit("term").alias("kind"), t["start"].alias("start"), t["end"].alias("end"), t["action"].alias("action"), t["class"].alias("class")))
     return out.select(F.col("id").alias(id_col), "sig", "n_email", "n_ip", "n_card", "n_phone", "base_sha256", F.when(F.col("terms").isNull(), base).otherwise(F.concat(base, more)).alias("found"))
 
 
 def sanitising_cuts(found: DataFrame, *, id_col: str = "doc_id") -> DataFrame:
-    """What spans.rewrite() needs: base spans become [EMAIL] and so on, terms [TERM] or nothing."""
-    put = lambda c: F.when(c["action"] == "mask", F.concat(F.lit("["), F.upper(c["kind"]), F.lit("]"))).when(c["action"] == "generalise", "[TERM]").otherwise("")
+    """What spans.rewrite() needs: base spans become [EMAIL] and so on, generalised terms their
+    class ([NAME], [NUMBER], [CODE], [TERM]), removed ones nothing."""
+    put = lambda c: F.when(c["action"] == "remove", "").otherwise(F.concat(F.lit("["), F.upper(c["class"]), F.lit("]")))
     cuts = F.transform("found", lambda c: F.struct(c["start"].alias("start"), c["end"].alias("end"), put(c).alias("put")))
     return found.select(id_col, "sig", cuts.alias("cuts")).where(F.size("cuts") > 0).distinct()

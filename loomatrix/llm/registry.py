@@ -45,8 +45,15 @@ def op3_decontamination(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def op4_pii(spark: SparkSession, sf_dir: str) -> DataFrame:
-    found = find_personal_data(common.table(spark, sf_dir, "documents"))
-    return found.select("doc_id", "n_email", "n_ip", "n_card", "n_phone", "base_sha256", _spans("found").alias("spans"))
+    """Also the terms found: how many are generalised and removed, and their actions."""
+    # nearly all entities of a web corpus stand in one document, so one is enough, smoothed by half a document
+    found = find_personal_data(common.table(spark, sf_dir, "documents"), min_docs=1, smoothing=0.5)
+    terms = lambda action: F.filter("found", lambda c: c["action"] == action)
+    actions = F.array_join(F.transform(F.filter("found", lambda c: c["kind"] == "term"), lambda c: F.concat_ws(":", c["start"].cast("string"), c["end"].cast("string"), c["action"], c["class"])), ",")
+    return found.select(
+        "doc_id", "n_email", "n_ip", "n_card", "n_phone", "base_sha256", _spans("found").alias("spans"),
+        F.size(terms("generalise")).cast("long").alias("n_generalised"), F.size(terms("remove")).cast("long").alias("n_removed"), actions.alias("actions"),
+    )
 
 
 def op5_repeats(spark: SparkSession, sf_dir: str) -> DataFrame:
@@ -74,7 +81,7 @@ def op8_secret_scan(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def op9_simhash(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return simhash_components(common.table(spark, sf_dir, "documents"))
+    return simhash_components(common.table(spark, sf_dir, "documents")).select("doc_id", "fingerprint", "component_id")
 
 
 def op10_word_bpe(spark: SparkSession, sf_dir: str) -> DataFrame:

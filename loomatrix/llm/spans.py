@@ -16,8 +16,6 @@ from pyspark.sql import functions as F
 from .common import mixed, null_safe, slices, unused
 
 #: Slots of a filter for each key, and at most: 16 MB of bits, whatever the input.
-#: Slots of slot_filter.
-SLOTS = 1 << 22
 SLOTS_A_KEY, LEAST_SLOTS, MOST_SLOTS = 16, 1 << 16, 1 << 27
 
 
@@ -88,26 +86,6 @@ def hash_filter_for_tasks(keys: DataFrame, hashed: Column, each: int = SLOTS_A_K
     return keys.sparkSession.sparkContext.broadcast(hash_filter(keys, hashed, each))
 
 
-def slot_filter(keys: DataFrame, column: str) -> np.ndarray:
-    """Which of SLOTS slots the hashes of a column's strings fall into.
-
-    A string that isn't in the column may pass, so a join follows; one that is always
-    passes. At most SLOTS / 64 rows reach the driver.
-    """
-    slot = F.pmod(F.xxhash64(column), F.lit(SLOTS))
-    words = keys.select(slot.alias("slot")).groupBy(F.expr("slot div 64").alias("word")).agg(F.bit_or(F.expr("shiftleft(1L, cast(slot % 64 as int))")).alias("bits"))
-    packed = np.zeros(SLOTS // 64, np.int64)
-    for word, bits in words.collect():
-        packed[word] = bits
-    return np.unpackbits(packed.view(np.uint8), bitorder="little").astype(bool)
-
-
-def passes(filled: np.ndarray, text: str) -> bool:
-    import xxhash
-
-    return bool(filled[xxhash.xxh64_intdigest(text.encode(), 42) % SLOTS])
-
-
 def rewrite(docs: DataFrame, spans: DataFrame, *, id_col: str, text_col: str) -> DataFrame:
     """docs with the spans of each text replaced; all columns of docs are kept.
 
