@@ -9,16 +9,17 @@ Content-Length names its successor's offset. The magic line may stand inside a p
 so a candidate is a record only if the chain of successors from the file's start reaches
 it. Pointer jumping finds those in as many rounds as the number of a file's candidates
 has binary digits; all others are parts of the payload around them.
+
+Joins here are sort-merge joins: both sides grow with the pages, and tables of offsets pack
+so well that their files look small enough to be sent to every task.
 """
 
 from __future__ import annotations
 
-import uuid
-
 from pyspark.sql import Column, DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
-from .common import null_safe, shared_folder, written
+from .common import new_path, null_safe, written
 
 MAGIC = "WARC/1.1\r\n"
 END = "\r\n\r\n"
@@ -45,8 +46,10 @@ def write_warc(pages: DataFrame, folder: str, *, id_col: str = "page_id", url_co
     # digests alone are dealt by digest; payloads move once at most, and a partition is an archive
     light = rows.select("id", "bytes", "digest")
     first = light.where(F.col("bytes") >= LEAST_BYTES).groupBy("digest").agg(F.min("id").alias("first"), F.count("*").alias("n")).where((F.col("n") > 1) & F.col("first").isNotNull())
+    # written, so that Spark can split the rows of a digest that very many pages share
+    first = written(first).hint("merge")
     copies = light.where(F.col("bytes") >= LEAST_BYTES).join(first, "digest").where("id is null or id <> first").select("id", "digest", "first").distinct()
-    marked = null_safe(rows, copies, ["id", "digest"], "left")
+    marked = null_safe(rows, copies.hint("merge"), ["id", "digest"], "left")
     revisit = F.col("first").isNotNull()
     header = F.concat(
         F.lit(MAGIC),
@@ -96,7 +99,7 @@ def candidates(spark: SparkSession, folder: str) -> DataFrame:
     before = Window.partitionBy("file").orderBy("block").rowsBetween(Window.unboundedPreceding, -1)
     blocks = blocks.withColumn("base", F.coalesce(F.sum("block_size").over(before), F.lit(0))).drop("block_size")
     within = Window.partitionBy("file", "block").orderBy("k").rowsBetween(Window.unboundedPreceding, -1)
-    placed = light.withColumn("inner", F.coalesce(F.sum(size).over(within), F.lit(0))).join(blocks, ["file", "block"])
+    placed = light.withColumn("inner", F.coalesce(F.sum(size).over(within), F.lit(0))).join(blocks.hint("merge"), ["file", "block"])
     # the first piece is what stands before the first magic line; every other began with one
     start = F.col("base") + F.col("inner") - len(MAGIC)
     placed = placed.withColumn("start", start).withColumn("next", start + size)
@@ -109,13 +112,13 @@ def reachable(found: DataFrame) -> DataFrame:
     links = found.select("file", "start", "succ")
     # a pointer to no candidate ends the chain
     there = links.select("file", F.col("start").alias("succ"))
-    jump = written(links.where("succ is not null").join(there, ["file", "succ"]).select("file", "start", "succ"))
+    jump = written(links.where("succ is not null").join(there.hint("merge"), ["file", "succ"]).select("file", "start", "succ"))
     reached = written(links.where("start = 0").select("file", "start"))
     while not jump.isEmpty():
-        more = reached.join(jump, ["file", "start"]).select("file", F.col("succ").alias("start"))
+        more = reached.join(jump.hint("merge"), ["file", "start"]).select("file", F.col("succ").alias("start"))
         reached = written(reached.union(more).distinct())
         twice = jump.select("file", F.col("start").alias("succ"), F.col("succ").alias("then"))
-        jump = written(jump.join(twice, ["file", "succ"]).select("file", "start", F.col("then").alias("succ")))
+        jump = written(jump.join(twice.hint("merge"), ["file", "succ"]).select("file", "start", F.col("then").alias("succ")))
     return reached
 
 
@@ -129,22 +132,22 @@ def read_warc(spark: SparkSession, folder: str) -> DataFrame:
     of archives gives an empty result.
     """
     found = written(candidates(spark, folder))
-    records = found.join(reachable(found), ["file", "start"])
+    records = found.join(reachable(found).hint("merge"), ["file", "start"])
     split = written(records.where("digest is null and succ is not null").select("file", F.col("start").alias("owner"), "succ", "length"))
     if not split.isEmpty():
         # payloads that hold magic lines: gather their pieces by the record around them
         line = Window.partitionBy("file").orderBy("start", "mark").rowsBetween(Window.unboundedPreceding, 0)
         marks = split.select("file", F.col("owner").alias("start"), F.lit(0).alias("mark"), F.struct("owner", "succ", "length").alias("open"))
-        pieces = found.join(split.select("file").distinct(), "file", "left_semi").select("file", "start", F.lit(1).alias("mark"), F.lit(None).cast("struct<owner:bigint,succ:bigint,length:bigint>").alias("open"), "block", "k")
+        pieces = found.join(split.select("file").distinct().hint("merge"), "file", "left_semi").select("file", "start", F.lit(1).alias("mark"), F.lit(None).cast("struct<owner:bigint,succ:bigint,length:bigint>").alias("open"), "block", "k")
         owned = pieces.unionByName(marks, allowMissingColumns=True).withColumn("open", F.last("open", ignorenulls=True).over(line))
         owned = owned.where("mark = 1 and start < open.succ").select("file", "block", "k", "start", "open.*")
-        texts = _pieces(spark, folder).join(owned, ["file", "block", "k"])
+        texts = _pieces(spark, folder).join(owned.hint("merge"), ["file", "block", "k"])
         whole = texts.groupBy("file", "owner", "length").agg(F.array_sort(F.collect_list(F.struct("start", "value"))).alias("some"))
         joined = F.expr(f"unhex(array_join(transform(some, x -> hex(x.value)), '{MAGIC.encode().hex()}'))")
         whole = whole.select("file", F.col("owner").alias("start"), "length", joined.alias("value"))
         at = F.expr(f"instr(decode(value, 'ISO-8859-1'), '{END}')")
         whole = whole.withColumn("head", at).select("file", "start", F.sha2(F.expr("substring(value, head + 4, cast(length as int))"), 256).alias("joined_digest"))
-        records = records.join(whole, ["file", "start"], "left")
+        records = records.join(whole.hint("merge"), ["file", "start"], "left")
     else:
         records = records.withColumn("joined_digest", F.lit(None).cast("string"))
     revisit = _field("WARC-Type") == "revisit"
@@ -160,4 +163,4 @@ def read_warc(spark: SparkSession, folder: str) -> DataFrame:
 
 
 def archive_folder(spark: SparkSession) -> str:
-    return f"{shared_folder(spark)}/archives-{uuid.uuid4().hex}"
+    return new_path(spark, "archives")
