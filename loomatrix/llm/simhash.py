@@ -1,17 +1,18 @@
 """SimHash near-duplicates by pivot distance tables.
 
 Each distinct fingerprint gets a row of precomputed Hamming distances to reference
-fingerprints (pivots), in two tables:
-
-* six families of pivots, one for each sixth of the bits: the empty word and the unit
-  words of that sixth. The distances of a fingerprint's sixth to its family tell that
-  sixth exactly: two fingerprints have the same row in a family, a maximum coordinate
-  difference of 0, only if they agree there. With 3 differing bits or fewer at least
-  three of six families see no difference, so fingerprints that link share the
-  distances of one of the 20 triples of families. An equi-join on those finds
-  candidates without comparing all with all;
-* `WIDE` pivots over all 64 bits. By the triangle inequality a coordinate difference
-  above 3 rules a pair out; only survivors have their bits compared.
+fingerprints (pivots): to each of them in each of six bands of the bits. A pair's
+difference in one distance is at most the pair's own distance in that band, so
+
+* at 3 differing bits or fewer at least three of six bands differ nowhere, and there all
+  distances are equal. An equi-join on the distances of three bands, 20 ways to choose
+  them, finds every link without comparing all with all;
+* a pair whose distances to some pivot over all bits differ by more than 3 is discarded;
+* so is one whose largest differences in the bands add up to more than 3;
+* only survivors have their bits compared.
+
+Distances over all bits alone can't give join keys: they concentrate around 32, so cells
+of neighbouring distances hold a large share of all fingerprints (figures in the README).
 
 Fingerprints that many candidates share are split into blocks that are dealt to tasks
 in pairs; a task puts out not all links but a spanning forest of them, from which
@@ -25,16 +26,18 @@ from itertools import combinations
 
 import numpy as np
 import pyarrow as pa
-from pyspark.sql import DataFrame
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql.pandas.types import to_arrow_type
+from pyspark.sql.types import MapType
 
-from .common import mixed, slices, unsigned, written
+from .common import mixed, null_safe, slices, unsigned, unused, written
 
-#: Bits of each family; a fixed division of the 64.
-FAMILIES = [range(64 * k // 6, 64 * (k + 1) // 6) for k in range(6)]
-#: Pivots over all bits.
-WIDE = mixed(np.arange(1, 17, dtype=np.uint64) * np.uint64(0x9E3779B97F4A7C15))
+#: Bits of each band; a fixed division of the 64.
+BANDS = [range(64 * k // 6, 64 * (k + 1) // 6) for k in range(6)]
+MASKS = [sum(1 << b for b in band) for band in BANDS]
+#: Reference fingerprints.
+PIVOTS = mixed(np.arange(1, 9, dtype=np.uint64) * np.uint64(0x9E3779B97F4A7C15))
 #: Fingerprints of one candidate set that one task compares with so many others at most.
 BLOCK = 2048
 
@@ -66,15 +69,22 @@ def _fingerprints(id_type: pa.DataType):
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in slices(batches, "text"):
             found = np.array([fingerprint(t or "") for t in batch.column("text").to_pylist()], np.uint64)
-            yield pa.RecordBatch.from_arrays([batch.column("id").cast(id_type), pa.array(unsigned(found))], ["id", "fp"])
+            yield pa.RecordBatch.from_arrays([batch.column("id").cast(id_type), batch.column("sig"), batch.column("row"), pa.array(unsigned(found))], ["id", "sig", "row", "fp"])
 
     return run
 
 
 def fingerprints(docs: DataFrame, *, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
-    """(id, fp) for each row; fp is the fingerprint as a signed long."""
+    """(id, sig, row, fp) for each row: hashes of the text and of the whole row, and the
+    fingerprint as a signed long."""
     kind = docs.schema[id_col].dataType
-    return docs.select(docs[id_col].alias("id"), docs[text_col].alias("text")).mapInArrow(_fingerprints(to_arrow_type(kind)), f"id {kind.simpleString()}, fp bigint")
+    some = docs.select(docs[id_col].alias("id"), docs[text_col].alias("text"), F.xxhash64(docs[text_col]).alias("sig"), _row_hash(docs).alias("row"))
+    return some.mapInArrow(_fingerprints(to_arrow_type(kind)), f"id {kind.simpleString()}, sig bigint, row bigint, fp bigint")
+
+
+def _row_hash(docs: DataFrame) -> Column:
+    """Of all columns that can be hashed."""
+    return F.xxhash64(*[docs[f"`{f.name}`"] for f in docs.schema if not isinstance(f.dataType, MapType)])
 
 
 def _forest(nodes: np.ndarray, left: np.ndarray, right: np.ndarray) -> np.ndarray:
@@ -95,27 +105,37 @@ def _links(most: int):
     """Rows (a, b) that connect what the links of each candidate set connect; a set's rows come together."""
 
     def distances(fps):
-        return np.stack([np.bitwise_count(fps ^ p) for p in WIDE], axis=1).astype(np.int8)
-
-    def verified(fps, x, y):
-        x, y = x[keep := np.bitwise_count(fps[x] ^ fps[y]) <= most], y[keep]
-        return x, y
+        """To each pivot: in each band, and over all bits."""
+        bands = np.stack([np.bitwise_count((fps[:, None] ^ PIVOTS) & np.uint64(m)) for m in MASKS], axis=1).astype(np.int8)
+        return bands, bands.sum(axis=1, dtype=np.int8)
+
+    def near(fps, table, x, y):
+        """The pairs that no table discards and whose bits agree."""
+        bands, whole = table
+        for k in range(0, len(x), 200_000):
+            a, b = x[k : k + 200_000], y[k : k + 200_000]
+            ok = (np.abs(whole[a] - whole[b]) <= most).all(axis=1)
+            a, b = a[ok], b[ok]
+            ok = np.abs(bands[a] - bands[b]).max(axis=2).sum(axis=1) <= most
+            a, b = a[ok], b[ok]
+            ok = np.bitwise_count(fps[a] ^ fps[b]) <= most
+            yield a[ok], b[ok]
 
     def of_group(fps, side, both):
         """Links in one candidate set; if `both`, only those between the two sides' blocks."""
         table = distances(fps)
-        xs, ys = [], []
+        xs, ys = [np.zeros(0, np.int64)], [np.zeros(0, np.int64)]
         step = max(1, 2_000_000 // max(1, len(fps)))
         for k in range(0, len(fps), step):
             close = np.ones((min(step, len(fps) - k), len(fps)), bool)
-            for c in range(len(WIDE)):
-                close &= np.abs(table[k : k + step, c, None] - table[None, :, c]) <= most
+            for c in range(len(PIVOTS)):
+                close &= np.abs(table[1][k : k + step, c, None] - table[1][None, :, c]) <= most
             x, y = np.nonzero(close)
             x += k
             use = (x < y) if not both else (side[x] < side[y])
-            x, y = verified(fps, x[use], y[use])
-            xs.append(x)
-            ys.append(y)
+            for a, b in near(fps, table, x[use], y[use]):
+                xs.append(a)
+                ys.append(b)
         return np.concatenate(xs), np.concatenate(ys)
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
@@ -137,11 +157,9 @@ def _links(most: int):
                 x = np.flatnonzero(small[:-d] & (group[:-d] == group[d:]))
                 y = x + d
                 ok = ~both[x] | (blocks[x] != blocks[y])
-                x, y = x[ok], y[ok]
-                near = (np.abs(table[x] - table[y]) <= most).all(axis=1)
-                x, y = verified(fps, x[near], y[near])
-                xs.append(x)
-                ys.append(y)
+                for a, b in near(fps, table, x[ok], y[ok]):
+                    xs.append(a)
+                    ys.append(b)
             for g in np.flatnonzero(sizes > 64):
                 at = np.flatnonzero(group == g)
                 x, y = of_group(fps[at], blocks[at], bool(both[at[0]]))
@@ -168,11 +186,11 @@ def _links(most: int):
 def linking_edges(prints: DataFrame, most: int = 3) -> DataFrame:
     """Edges (a, b) between distinct fingerprints that have the components of all links."""
     if most > 3:
-        raise ValueError("six families are exact for 3 differing bits or fewer")
-    one = lambda word, family: F.bit_count(F.col("fp").bitwiseAND(F.lit(_signed(sum(1 << b for b in family)))).bitwiseXOR(F.lit(_signed(word)))).cast("tinyint")
-    table = prints.select("fp", *[F.array(one(0, f), *[one(1 << b, f) for b in f]).alias(f"f{k}") for k, f in enumerate(FAMILIES)])
+        raise ValueError("six bands are exact for 3 differing bits or fewer")
+    distance = lambda pivot, mask: F.bit_count(F.col("fp").bitwiseXOR(F.lit(_signed(int(pivot)))).bitwiseAND(F.lit(_signed(mask)))).cast("tinyint")
+    table = prints.select("fp", *[F.array(*[distance(p, m) for p in PIVOTS]).alias(f"b{k}") for k, m in enumerate(MASKS)])
     # a hash stands for the distances: should two rows of distances share one, that adds a candidate
-    rows = [F.xxhash64(F.lit(n), *[f"f{k}" for k in three]) for n, three in enumerate(combinations(range(6), 3))]
+    rows = [F.xxhash64(F.lit(n), *[f"b{k}" for k in three]) for n, three in enumerate(combinations(range(6), 3))]
     keyed = table.select("fp", F.explode(F.array(*rows)).alias("key"))
     shared = keyed.groupBy("key").agg(F.count("*").alias("n")).where("n > 1")
     met = keyed.join(shared, "key").withColumn("blocks", F.ceil(F.col("n") / BLOCK).cast("int")).withColumn("side", F.pmod(F.xxhash64("fp"), F.col("blocks")).cast("int"))
@@ -209,6 +227,14 @@ def components(edges: DataFrame) -> DataFrame:
         labels = after
 
 
+def _classes(docs: DataFrame, id_col: str, text_col: str, most: int) -> tuple[DataFrame, DataFrame]:
+    """(id, sig, row, fp) of each row, and (fp, first, root) of each fingerprint: its least id and its component."""
+    prints = written(fingerprints(docs, id_col=id_col, text_col=text_col))
+    distinct = written(prints.groupBy("fp").agg(F.min("id").alias("first")))
+    roots = components(linking_edges(distinct.select("fp"), most)).withColumnRenamed("node", "fp")
+    return prints, distinct.join(roots, "fp", "left").withColumn("root", F.coalesce("root", "fp"))
+
+
 def simhash_components(docs: DataFrame, *, id_col: str = "doc_id", text_col: str = "text", most: int = 3) -> DataFrame:
     """One row (id, fingerprint, component_id) for each row of docs.
 
@@ -218,11 +244,26 @@ def simhash_components(docs: DataFrame, *, id_col: str = "doc_id", text_col: str
     component with only null ids has a null component_id. Repeated rows each give a
     row. Other columns are ignored; an empty table gives an empty result.
     """
-    prints = written(fingerprints(docs, id_col=id_col, text_col=text_col))
-    distinct = written(prints.groupBy("fp").agg(F.min("id").alias("first")))
-    roots = components(linking_edges(distinct.select("fp"), most)).withColumnRenamed("node", "fp")
-    classes = distinct.join(roots, "fp", "left").withColumn("root", F.coalesce("root", "fp"))
+    prints, classes = _classes(docs, id_col, text_col, most)
     smallest = classes.groupBy("root").agg(F.min("first").alias("component_id"))
     known = classes.join(smallest, "root").select("fp", "component_id")
     out = prints.join(known, "fp")
     return out.select(F.col("id").alias(id_col), F.lower(F.lpad(F.hex("fp"), 16, "0")).alias("fingerprint"), "component_id")
+
+
+def keep_one(docs: DataFrame, *, id_col: str = "doc_id", text_col: str = "text", most: int = 3) -> DataFrame:
+    """One row of docs, with all its columns, for each component of linked fingerprints.
+
+    It is the one with the smallest id (null ids only where there is no other), then the
+    smallest hash of its text, then of the whole row; of rows equal in all that one stays.
+    Null and empty texts are one component. An empty table gives an empty result.
+    """
+    prints, classes = _classes(docs, id_col, text_col, most)
+    names = [unused(f"__{c}", docs) for c in ("sig", "row")]
+    keys = [id_col, *names]
+    rows = prints.groupBy("id", "sig", "row", "fp").agg(F.count("*").alias("n")).join(classes.select("fp", "root"), "fp")
+    best = rows.groupBy("root").agg(F.min(F.struct(F.col("id").isNull().alias("no_id"), "id", "sig", "row", "n")).alias("b"))
+    best = written(best.select(F.col("b.id").alias(id_col), F.col("b.sig").alias(names[0]), F.col("b.row").alias(names[1]), F.col("b.n").alias("n")))
+    named = docs.withColumns({names[0]: F.xxhash64(docs[text_col]), names[1]: _row_hash(docs)})
+    kept = lambda some: null_safe(named, some.select(*keys), keys, "left_semi")
+    return kept(best.where("n = 1")).unionByName(kept(best.where("n > 1")).dropDuplicates(keys)).select(*[f"`{c}`" for c in docs.columns])
