@@ -233,14 +233,19 @@ def encode_and_decode(docs: DataFrame, tokenizer_path: str, *, id_col: str = "do
     kind = docs.schema[id_col].dataType
     arrow, sql = to_arrow_type(kind), kind.simpleString()
     base = docs.select(docs[id_col].alias("id"), docs[text_col].alias("text"))
-    buckets = 2 * int(docs.sparkSession.conf.get("spark.sql.shuffle.partitions"))
+    # partitions and buckets in proportion to the texts, so that a task's words and blocks don't grow with them
+    usual = int(docs.sparkSession.conf.get("spark.sql.shuffle.partitions"))
+    size = base.agg(F.sum(F.octet_length("text").cast("long"))).first()[0] or 0
+    parts = max(usual, 2 * -(-size // BLOCK_BYTES))
+    dealt = lambda df, by: df if parts == usual else df.repartition(parts, by)
+    buckets = 2 * parts
     words = base.mapInArrow(_word_rows(tokenizer_path, buckets), "block bigint, bucket int, size int, words binary")
-    coded = words.repartition("bucket").sortWithinPartitions("bucket").mapInArrow(_encode_words(tokenizer_path), "block bigint, size int, coded binary")
+    coded = (words.repartition("bucket") if parts == usual else words.repartition(parts, "bucket")).sortWithinPartitions("bucket").mapInArrow(_encode_words(tokenizer_path), "block bigint, size int, coded binary")
     places = base.mapInArrow(_place_rows(tokenizer_path, arrow), f"block bigint, ids array<{sql}>, checks array<bigint>, size int, places binary")
     names, kinds, schema = [id_col, "n_tokens", "ids_sha256", "decoded_sha256"], [arrow, pa.int64(), pa.string(), pa.string()], f"`{id_col}` {sql}, n_tokens bigint, ids_sha256 string, decoded_sha256 string"
     if with_ids:
         names, kinds, schema = [*names, "ids", "decoded"], [*kinds, pa.list_(pa.int32()), pa.string()], f"{schema}, ids array<int>, decoded string"
-    return places.groupBy("block").cogroup(coded.groupBy("block")).applyInArrow(_assemble(tokenizer_path, names, kinds, with_ids), schema)
+    return dealt(places, "block").groupBy("block").cogroup(dealt(coded, "block").groupBy("block")).applyInArrow(_assemble(tokenizer_path, names, kinds, with_ids), schema)
 
 
 def decode(rows: DataFrame, tokenizer_path: str, *, id_col: str = "doc_id", ids_col: str = "ids") -> DataFrame:
