@@ -10,9 +10,10 @@ from pyspark.sql import functions as F
 from ..config import SpmvConfig
 from ..plans.matrix import SparseMatrix, Vector, constant
 from ..plans.tables import written
+from .partition import deal_parts
 from .precision import BUCKETS, partition_precisions, spmv_adaptive
 from .scale import dropout, equilibrate
-from .sell import from_sell, pack_rows, spmv_sell, to_sell, unpack_rows
+from .sell import from_sell, pack_rows, spmmv_sell, spmv_sell, to_sell, unpack_rows
 from .spmv import CASTS, spmmv_rowwise, spmv
 
 
@@ -30,15 +31,20 @@ def power(a: SparseMatrix, x: Vector, times: int, cut_every: int = 4) -> DataFra
     return x.withColumnRenamed("x", "y")
 
 
-def _whole(config: SpmvConfig) -> None:
-    """Refuses what no product does."""
-    if config.parts > 1 or config.segmentation != "rows":
-        raise ValueError("products by row parts aren't built: leave segmentation at rows and parts at 1")
+def _dealt(a: SparseMatrix, config: SpmvConfig) -> SparseMatrix:
+    """The entries in the configured row parts."""
+    if config.parts == 1 and config.segmentation == "rows":
+        return a
+    return deal_parts(a, config.parts, config.segmentation)
+
+
+def _chunked(config: SpmvConfig) -> bool:
+    return config.format == "scs" and (config.chunk > 1 or config.sigma > 1)
 
 
 def _laid_out(a: SparseMatrix, config: SpmvConfig) -> SparseMatrix:
     """The entries as they come out of the configured format."""
-    if config.format == "scs" and (config.chunk > 1 or config.sigma > 1):
+    if _chunked(config):
         return from_sell(to_sell(a, config.chunk, config.sigma))
     if config.format in ("crs", "csr", "scs"):
         return unpack_rows(pack_rows(a), a.n_rows, a.n_cols)
@@ -47,8 +53,7 @@ def _laid_out(a: SparseMatrix, config: SpmvConfig) -> SparseMatrix:
 
 def execute(a: SparseMatrix, config: SpmvConfig, x: Vector | None = None) -> DataFrame:
     """One product as the configuration says: (i, y)."""
-    _whole(config)
-    x = x if x is not None else constant()
+    a, x = _dealt(a, config), x if x is not None else constant()
     if config.dropout:
         a = dropout(a, config.dropout_threshold)
     rows = cols = None
@@ -58,18 +63,14 @@ def execute(a: SparseMatrix, config: SpmvConfig, x: Vector | None = None) -> Dat
         laid = _laid_out(a, config)
         split = partition_precisions(laid, config.precision, config.threshold_1, config.threshold_2, rows, cols)
         return spmv_adaptive(laid, split, x, config.precision, config.x_precision).select("i", "y")
-    cast = CASTS[config.precision]
-    a = a.with_entries(a.entries.withColumn("v", cast(F.col("v"))))
-    given = x
-    x = given.withColumn("x", cast(F.col("x"))) if isinstance(given, DataFrame) else lambda j: cast(given(j))
-    if config.format == "scs" and (config.chunk > 1 or config.sigma > 1):
-        return spmv_sell(to_sell(a, config.chunk, config.sigma), x)
-    return spmv(_laid_out(a, config), x)
+    if _chunked(config):
+        return spmv_sell(to_sell(a, config.chunk, config.sigma), x, config.precision)
+    return spmv(_laid_out(a, config), x, config.precision)
 
 
 def execute_block(a: SparseMatrix, config: SpmvConfig, xs: DataFrame | None = None) -> DataFrame:
     """One product with block_width vectors, X as (i, xs array), as the configuration says: (i, ys)."""
-    _whole(config)
+    a = _dealt(a, config)
     if config.precision in BUCKETS:
         raise ValueError("adaptive precision has no products with a block of vectors")
     if xs is None:
@@ -79,6 +80,8 @@ def execute_block(a: SparseMatrix, config: SpmvConfig, xs: DataFrame | None = No
         a = dropout(a, config.dropout_threshold)
     if config.equilibrate:
         a = equilibrate(a)[0]
+    if _chunked(config):
+        return spmmv_sell(to_sell(a, config.chunk, config.sigma), xs, config.block_width, config.precision)
     cast = CASTS[config.precision]
     a = a.with_entries(a.entries.withColumn("v", cast(F.col("v"))))
     xs = xs.select("i", F.transform("xs", cast).alias("xs"))

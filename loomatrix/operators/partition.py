@@ -111,21 +111,41 @@ def part_balance(a: SparseMatrix, bounds: DataFrame) -> DataFrame:
 def graph_parts(a: SparseMatrix, parts: int, rounds: int = 4) -> DataFrame:
     """(i, part): parts of near-equal size whose rows tend to share columns.
 
-    Rows begin in equal ranges and take the label most frequent among their neighbours
-    (ties: the smallest), a few times; then rows are cut into equal shares by label.
+    Rows begin as groups of their own and take the group most frequent among their
+    neighbours and themselves (ties: the smallest), a few times; then rows in order of
+    their groups are cut into equal shares.
     """
     _checked(parts)
     if not a.square:
         raise ValueError("graph parts need a square matrix")
     links = written(a.entries.where("i <> j").select("i", "j").union(a.entries.where("i <> j").select(F.col("j").alias("i"), F.col("i").alias("j"))).distinct())
-    labels = a.rows().withColumn("label", F.expr(f"cast(i * {parts} div {max(1, a.n_rows)} as int)"))
+    labels = a.rows().withColumn("label", F.col("i"))
     for _ in range(rounds):
-        votes = links.join(labels.select(F.col("i").alias("j"), "label"), "j").groupBy("i", "label").agg(F.count("*").alias("n"))
-        best = votes.groupBy("i").agg(F.max(F.struct("n", (-F.col("label")).alias("label"))).alias("b")).select("i", (-F.col("b.label")).alias("new"))
-        labels = written(labels.join(best, "i", "left").select("i", F.coalesce("new", "label").alias("label")))
-    width = bucket_width(a.n_rows)
-    placed = ranked(labels, [], ["label", "i"], F.col("label").cast("long") * (a.n_rows // width + 1) + F.expr(f"i div {width}"), "rank")
-    return placed.select("i", F.expr(f"cast(rank * {parts} div {max(1, a.n_rows)} as int)").alias("part"))
+        heard = links.join(labels.select(F.col("i").alias("j"), "label"), "j").select("i", "label").unionByName(labels)
+        votes = heard.groupBy("i", "label").agg(F.count("*").alias("n"))
+        labels = written(votes.groupBy("i").agg(F.max(F.struct("n", (-F.col("label")).alias("label"))).alias("b")).select("i", (-F.col("b.label")).alias("label")))
+    sizes = running_sum(labels.groupBy("label").agg(F.count("*").alias("n")), "label", F.col("n"), a.n_rows, "ahead").select("label", "ahead")
+    placed = ranked(labels, ["label"], ["i"], F.expr(f"i div {bucket_width(a.n_rows)}"), "among").join(sizes, "label")
+    return placed.select("i", F.expr(f"cast((ahead + among) * {parts} div {max(1, a.n_rows)} as int)").alias("part"))
+
+
+def edge_cut(a: SparseMatrix, parts: DataFrame) -> DataFrame:
+    """One row (links, cut): pairs of different rows that an entry links, and those in different parts."""
+    links = a.entries.where("i <> j").select(F.least("i", "j").alias("i"), F.greatest("i", "j").alias("j")).distinct()
+    of = lambda end: parts.select(F.col("i").alias(end), F.col("part").alias(f"part_{end}"))
+    met = links.join(of("i"), "i").join(of("j"), "j")
+    return met.agg(F.count("*").alias("links"), F.count_if(F.col("part_i") != F.col("part_j")).alias("cut"))
+
+
+def deal_parts(a: SparseMatrix, parts: int, segmentation: str = "rows") -> SparseMatrix:
+    """The matrix with each part's entries in one partition: parts of equal rows, of equal
+    entries (nnz), or of rows that share columns (graph)."""
+    if segmentation == "graph":
+        owned = a.entries.join(graph_parts(a, parts), "i")
+    else:
+        bounds = (segment_nnz if segmentation == "nnz" else segment_rows)(a, parts)
+        owned = _with_part(a.entries, "i", bounds, max(1, a.n_rows // max(1, 8 * parts)), "part")
+    return a.with_entries(owned.repartition(parts, "part").select(*a.entries.columns))
 
 
 def by_parts(a: SparseMatrix, parts: DataFrame) -> tuple[SparseMatrix, DataFrame]:

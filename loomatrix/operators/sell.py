@@ -15,6 +15,8 @@ from pyspark.sql import functions as F
 
 from ..plans.matrix import SparseMatrix, Vector, meet, over_domain
 from ..plans.tables import bucket_width, ranked, running_sum
+from .precision import BUCKETS, STORED
+from .spmv import CASTS
 
 #: Blocks of more rows are ranked in two steps instead of one window.
 ONE_WINDOW_ROWS = 1 << 16
@@ -88,8 +90,9 @@ def to_sell(a: SparseMatrix, chunk: int, sigma: int, perm: DataFrame | None = No
         perm = row_lengths(a, chunk).withColumnRenamed("i", "i_old").join(perm, "i_old")
     chunks = chunk_table(perm, chunk, a.n_rows)
     coarse = F.expr(f"seq div {1 << 16}") if "seq" in a.entries.columns else F.expr(f"j div {bucket_width(a.n_cols)}")
-    placed = ranked(a.entries, ["i"], a.order, coarse, "k").join(perm.select(F.col("i_old").alias("i"), "i_new"), "i")
-    placed = placed.withColumn("c", F.expr(f"i_new div {chunk}")).withColumn("lane", F.expr(f"i_new % {chunk}")).join(chunks.select("c", "ptr"), "c")
+    # rows know their chunk and its place before they meet the entries, which move once for it
+    rows = perm.select(F.col("i_old").alias("i"), F.expr(f"i_new div {chunk}").alias("c"), F.expr(f"i_new % {chunk}").alias("lane")).join(chunks.select("c", "ptr"), "c")
+    placed = ranked(a.entries, ["i"], a.order, coarse, "k").join(rows, "i")
     elems = placed.select((F.col("ptr") + F.col("k") * chunk + F.col("lane")).alias("idx"), "c", "k", "lane", "j", "v")
     return SellMatrix(perm, chunks, elems, a.n_rows, a.n_cols, chunk, sigma)
 
@@ -100,48 +103,85 @@ def from_sell(m: SellMatrix) -> SparseMatrix:
     return SparseMatrix(rows.select(F.col("k").alias("seq"), F.col("i_old").alias("i"), "j", "v"), m.n_rows, m.n_cols)
 
 
-def spmv_sell(m: SellMatrix, x: Vector) -> DataFrame:
-    """A x from the chunk layout, in the old row order and without padding rows."""
-    products = meet(m.elems, x).select((F.col("c") * m.chunk + F.col("lane")).alias("i_new"), (F.col("v") * F.col("x")).alias("y"))
-    summed = over_domain(products, m.n_padded, "i_new", ["y"])
-    return summed.join(m.perm.select("i_old", "i_new"), "i_new").where(F.col("i_old") < m.n_rows).select(F.col("i_old").alias("i"), "y")
+def _unpermuted(sums: DataFrame, m: SellMatrix, *columns: str) -> DataFrame:
+    """Sums by new row, in the old row order and without padding rows."""
+    return sums.join(m.perm.select("i_old", "i_new"), "i_new").where(F.col("i_old") < m.n_rows).select(F.col("i_old").alias("i"), *columns)
+
+
+def spmv_sell(m: SellMatrix, x: Vector, precision: str = "dp") -> DataFrame:
+    """A x from the chunk layout: (i, y). sp and hp round the elements and the vector; sums are in double."""
+    cast = CASTS[precision]
+    products = meet(m.elems, x).select((F.col("c") * m.chunk + F.col("lane")).alias("i_new"), (cast(F.col("v")) * cast(F.col("x"))).alias("y"))
+    return _unpermuted(over_domain(products, m.n_padded, "i_new", ["y"]), m, "y")
+
+
+def spmmv_sell(m: SellMatrix, xs: DataFrame, width: int, precision: str = "dp") -> DataFrame:
+    """A X from the chunk layout with X as (i, xs array): (i, ys). Each element meets its row of X once."""
+    cast, names = CASTS[precision], [f"y{k}" for k in range(width)]
+    met = m.elems.join(xs.select(F.col("i").alias("j"), "xs"), "j")
+    products = met.select((F.col("c") * m.chunk + F.col("lane")).alias("i_new"), *[(cast(F.col("v")) * cast(F.get("xs", F.lit(k)))).alias(n) for k, n in enumerate(names)])
+    return _unpermuted(over_domain(products, m.n_padded, "i_new", names), m, F.array(*names).alias("ys"))
+
+
+def precision_chunks(a: SparseMatrix, split: DataFrame, mode: str, chunk: int, sigma: int) -> dict[str, SellMatrix]:
+    """A chunk layout for each bucket of entries (with their bucket in `prec`), each sorted by its own row lengths."""
+    bucket = lambda name: a.with_entries(split.where(F.col("prec") == name).drop("prec"))
+    return {name: to_sell(bucket(name), chunk, sigma) for name in BUCKETS[mode]}
+
+
+def spmv_sell_adaptive(layouts: dict[str, SellMatrix], x: Vector, x_precision: str = "highest") -> DataFrame:
+    """(i, y, and y_<bucket> for each bucket): every bucket from its own layout, in its own precision.
+
+    x_precision is as in spmv_adaptive: all buckets multiply by x in the highest one's
+    precision, or each in its own.
+    """
+    names, parts = list(layouts), []
+    for name, m in layouts.items():
+        mine, theirs = STORED[name], STORED[names[0] if x_precision == "highest" else name]
+        products = meet(m.elems, x).select((F.col("c") * m.chunk + F.col("lane")).alias("i_new"), (mine(F.col("v")) * theirs(F.col("x"))).alias("y"))
+        sums = products.groupBy("i_new").agg(F.sum("y").alias("y"))
+        parts.append(_unpermuted(sums, m, *[F.col("y").alias(f"y_{n}") if n == name else F.lit(0.0).alias(f"y_{n}") for n in names]))
+    every = parts[0]
+    for part in parts[1:]:
+        every = every.unionByName(part)
+    summed = over_domain(every, layouts[names[0]].n_rows, "i", [f"y_{n}" for n in names])
+    total = sum((F.col(f"y_{n}") for n in names[1:]), F.col(f"y_{names[0]}"))
+    return summed.select("i", (STORED["sp"](total) if names[0] == "sp" else total).alias("y"), *[f"y_{n}" for n in names])
 
 
 def pack_rows(a: SparseMatrix) -> DataFrame:
-    """Compressed rows: (i, cols, vals) in entry order, for rows with entries.
+    """Compressed rows: (i, segment, cols, vals) in entry order, for rows with entries.
 
-    A row is one array here; matrices with rows too long for that stay as entries.
+    A long row has several segments, of entries near each other, so that neither an array
+    nor a task has to hold all of it.
     """
-    some = a.entries.groupBy("i").agg(F.array_sort(F.collect_list(F.struct(*a.order, F.col("j").alias("cj"), F.col("v").alias("cv")))).alias("s"))
-    return some.select("i", F.transform("s", lambda e: e["cj"]).alias("cols"), F.transform("s", lambda e: e["cv"]).alias("vals"))
+    near = F.expr(f"seq div {1 << 16}") if "seq" in a.entries.columns else F.expr(f"j div {max(1 << 12, bucket_width(a.n_cols))}")
+    some = a.entries.withColumn("segment", near).groupBy("i", "segment").agg(F.array_sort(F.collect_list(F.struct(*a.order, F.col("j").alias("cj"), F.col("v").alias("cv")))).alias("s"))
+    return some.select("i", "segment", F.transform("s", lambda e: e["cj"]).alias("cols"), F.transform("s", lambda e: e["cv"]).alias("vals"))
 
 
 def unpack_rows(packed: DataFrame, n_rows: int, n_cols: int) -> SparseMatrix:
-    each = packed.select("i", F.posexplode(F.arrays_zip("cols", "vals")).alias("seq", "e"))
-    return SparseMatrix(each.select(F.col("seq").cast("long").alias("seq"), "i", F.col("e.cols").alias("j"), F.col("e.vals").alias("v")), n_rows, n_cols)
+    each = packed.select("i", "segment", F.posexplode(F.arrays_zip("cols", "vals")).alias("at", "e"))
+    return SparseMatrix(each.select((F.col("segment") * F.lit(1 << 32) + F.col("at")).alias("seq"), "i", F.col("e.cols").alias("j"), F.col("e.vals").alias("v")), n_rows, n_cols)
 
 
 def pack_chunks(m: SellMatrix) -> DataFrame:
-    """(c, len, ptr, cols, vals): the chunks' arrays with padding (column 0, value 0)."""
-    some = m.elems.groupBy("c").agg(F.collect_list(F.struct((F.col("k") * m.chunk + F.col("lane")).alias("p"), "j", "v")).alias("s"))
-
-    @F.pandas_udf("struct<cols:array<bigint>,vals:array<double>>")
-    def scatter(lists, sizes):
-        import numpy as np
-        import pandas as pd
-
-        cols, vals = [], []
-        for s, size in zip(lists, sizes, strict=True):
-            c, v = np.zeros(int(size), np.int64), np.zeros(int(size))
-            if s is not None and len(s):
-                p = np.array([e["p"] for e in s])
-                c[p], v[p] = [e["j"] for e in s], [e["v"] for e in s]
-            cols.append(c)
-            vals.append(v)
-        return pd.DataFrame({"cols": cols, "vals": vals})
-
-    joined = m.chunks.join(some, "c", "left")
-    return joined.select("c", "len", "ptr", scatter("s", F.col("len") * m.chunk).alias("a")).select("c", "len", "ptr", "a.cols", "a.vals")
+    """(c, len, ptr, cols, vals): the chunks' arrays with padding (column 0, value 0).
+
+    Elements in order of place, each after as many paddings as lie before it, then the rest.
+    """
+    place = F.struct((F.col("k") * m.chunk + F.col("lane")).alias("p"), "j", "v")
+    some = m.elems.groupBy("c").agg(F.array_sort(F.collect_list(place)).alias("s"))
+    joined = m.chunks.join(some, "c", "left").withColumn("size", F.col("len") * m.chunk)
+    before = lambda k: F.coalesce(F.get("s", k - 1)["p"], F.lit(-1))
+    last = F.coalesce(F.element_at("s", -1)["p"], F.lit(-1))
+
+    def padded(field: str, zero):
+        filled = F.flatten(F.transform("s", lambda e, k: F.concat(F.array_repeat(zero, (e["p"] - before(k) - 1).cast("int")), F.array(e[field]))))
+        rest = F.array_repeat(zero, (F.col("size") - last - 1).cast("int"))
+        return F.when(F.col("s").isNull(), F.array_repeat(zero, F.col("size").cast("int"))).otherwise(F.concat(filled, rest))
+
+    return joined.select("c", "len", "ptr", padded("j", F.lit(0).cast("long")).alias("cols"), padded("v", F.lit(0.0)).alias("vals"))
 
 
 def spmv_packed(packed: DataFrame, m: SellMatrix, x: Vector) -> DataFrame:

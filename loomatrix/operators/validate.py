@@ -24,16 +24,16 @@ def compare(result: DataFrame, reference: DataFrame, keys: tuple[str, ...] = ("i
 
 
 def summary(compared: DataFrame) -> DataFrame:
-    """One row: counts of verdicts, largest differences and where they are, Euclidean norms."""
+    """One row: counts of verdicts, largest differences and the first row where they are, Euclidean norms."""
     diff = F.col("ref") - F.col("y")
     return compared.agg(
         F.count("*").alias("n"),
         F.count_if(F.col("verdict") == "ERROR").alias("errors"),
         F.count_if(F.col("verdict") == "WARNING").alias("warnings"),
         F.max("relative").alias("max_relative"),
-        F.max_by("i", "relative").alias("at_relative"),
+        F.max_by("i", F.struct("relative", -F.col("i"))).alias("at_relative"),
         F.max("absolute").alias("max_absolute"),
-        F.max_by("i", "absolute").alias("at_absolute"),
+        F.max_by("i", F.struct("absolute", -F.col("i"))).alias("at_absolute"),
         F.sqrt(F.sum(diff * diff)).alias("distance"),
         F.sqrt(F.sum(F.col("ref") * F.col("ref"))).alias("magnitude"),
     )

@@ -58,8 +58,9 @@ def constant(value: float = 5.0) -> Callable[[Column], Column]:
 
 
 def random_vector(spark: SparkSession, n: int, low: float, high: float, seed: int = 42) -> DataFrame:
-    """Uniform values, fixed by seed and index, whatever the partitioning."""
-    unit = F.pmod(F.xxhash64(F.lit(seed), F.col("id")), F.lit(1 << 53)) / float(1 << 53)
+    """Uniform values, fixed by seed and index, whatever the partitioning: 52 bits of an MD5."""
+    digits = F.substring(F.md5(F.concat_ws(":", F.lit(str(seed)), F.col("id").cast("string")).cast("binary")), 1, 13)
+    unit = F.conv(digits, 16, 10).cast("long") / float(1 << 52)
     return spark.range(n).select(F.col("id").alias("i"), (F.lit(float(low)) + unit * float(high - low)).alias("x"))
 
 

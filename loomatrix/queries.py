@@ -11,6 +11,7 @@ from .functions.scalar import cantor_pairing, to_single
 from .operators import partition, precision, scale, sell, spmv, stats, validate
 from .operators.iterate import execute, power
 from .config import SpmvConfig
+from .plans import matrix
 from .plans.matrix import SparseMatrix, constant
 from .plans.tables import new_path
 from .sources import generate, matrix_market, tables
@@ -137,6 +138,30 @@ def spmv_single(spark, sf_dir):
     return spmv.spmv(_large(spark, sf_dir), seven, "sp")
 
 
+@query(f"WITH {LARGE}, {R} SELECT R.i, coalesce(sum(CAST(CAST(v AS REAL) AS DOUBLE) * {SEVEN}), 0.0) AS y FROM R LEFT JOIN A ON A.i = R.i GROUP BY 1")
+def spmv_sell_sp(spark, sf_dir):
+    return sell.spmv_sell(sell.to_sell(_large(spark, sf_dir), CHUNK, SIGMA), seven, "sp")
+
+
+@query(product("(SELECT min(abs(v)) + (max(abs(v)) - min(abs(v))) / 2 FROM A)"))
+def spmv_midrange_x(spark, sf_dir):
+    """The vector that is the middle of the entries' sizes everywhere."""
+    a = _ps(spark, sf_dir)
+    return spmv.spmv(a, constant(stats.value_range(a).first().midrange))
+
+
+@query("WITH V AS (SELECT CAST(unnest(range((SELECT max(s_suppkey) + 1 FROM supplier))) AS BIGINT) AS i) SELECT i, 1.0 + CAST(CAST('0x' || substr(md5('42:' || i), 1, 13) AS BIGINT) AS DOUBLE) / 4503599627370496.0 * 49.0 AS x FROM V")
+def random_vector(spark, sf_dir):
+    """Uniform between the least and the largest quantity."""
+    a = _ps(spark, sf_dir)
+    return matrix.random_vector(spark, a.n_cols, 1.0, 50.0)
+
+
+@query(product(SEVEN))
+def spmv_parts_nnz(spark, sf_dir):
+    return execute(_ps(spark, sf_dir), SpmvConfig(format="coo", parts=PARTS, segmentation="nnz"), seven)
+
+
 FOUR = ", ".join(f"coalesce(sum(v * ((j * {k + 1}) % 7 + 1)), 0.0) AS y{k}" for k in range(4))
 
 
@@ -148,6 +173,13 @@ def spmmv_rowwise_b4(spark, sf_dir):
     return spmv.spmmv_rowwise(a, xs, 4).select("i", *[F.get("ys", F.lit(k)).alias(f"y{k}") for k in range(4)])
 
 
+@query(f"WITH {A}, {R} SELECT R.i, {FOUR} FROM R LEFT JOIN A ON A.i = R.i GROUP BY 1")
+def spmmv_sell_b4(spark, sf_dir):
+    m, j = sell.to_sell(_ps(spark, sf_dir), CHUNK, SIGMA), F.col("id")
+    xs = spark.range(m.n_cols).select(j.alias("i"), F.array(*[(j * (k + 1) % 7 + 1).cast("double") for k in range(4)]).alias("xs"))
+    return sell.spmmv_sell(m, xs, 4).select("i", *[F.get("ys", F.lit(k)).alias(f"y{k}") for k in range(4)])
+
+
 @query(f"WITH {A}, {R} SELECT R.i, {FOUR} FROM R LEFT JOIN A ON A.i = R.i GROUP BY 1")
 def spmmv_expression_b4(spark, sf_dir):
     x = [(F.col("j") * (k + 1) % 7 + 1).cast("double") for k in range(4)]
@@ -365,6 +397,21 @@ def spmv_ap_dp_sp_x_sp(spark, sf_dir):
     return precision.spmv_adaptive(a, precision.partition_precisions(a, "ap[dp_sp]", LIMIT), seven, "ap[dp_sp]", "own")
 
 
+def _adaptive_sell(a: SparseMatrix, mode: str, t1: float, t2: float | None = None, x_precision: str = "highest") -> DataFrame:
+    split = precision.partition_precisions(a, mode, t1, t2)
+    return sell.spmv_sell_adaptive(sell.precision_chunks(a, split, mode, CHUNK, SIGMA), seven, x_precision)
+
+
+@query(_adaptive_sql(f"CAST(CAST(v AS REAL) AS DOUBLE) * {SEVEN}"))
+def spmv_sell_ap_dp_sp(spark, sf_dir):
+    return _adaptive_sell(_large(spark, sf_dir), "ap[dp_sp]", LIMIT)
+
+
+@query(_adaptive_sql(f"CAST(CAST(v AS REAL) AS DOUBLE) * CAST(CAST({SEVEN} AS REAL) AS DOUBLE)"))
+def spmv_sell_ap_dp_sp_x_sp(spark, sf_dir):
+    return _adaptive_sell(_large(spark, sf_dir), "ap[dp_sp]", LIMIT, x_precision="own")
+
+
 def _half(v: str) -> str:
     return f"(CASE WHEN {v} = 0 THEN 0.0 ELSE round_even({v} / power(2.0, floor(log2({v})) - 10), 0) * power(2.0, floor(log2({v})) - 10) END)"
 
@@ -402,6 +449,21 @@ def spmv_ap_dp_sp_hp(spark, sf_dir):
     return precision.spmv_adaptive(a, precision.partition_precisions(a, "ap[dp_sp_hp]", 40000.0, 20000.0), seven, "ap[dp_sp_hp]")
 
 
+@query(_half_sql([("dp", "v >= 30000", "v"), ("hp", "v < 30000", _half("v"))]))
+def spmv_sell_ap_dp_hp(spark, sf_dir):
+    return _adaptive_sell(_wide(spark, sf_dir), "ap[dp_hp]", 30000.0)
+
+
+@query(_half_sql([("dp", "v >= 40000", "v"), ("sp", "v < 40000 AND v >= 20000", "CAST(CAST(v AS REAL) AS DOUBLE)"), ("hp", "v < 20000", _half("v"))]))
+def spmv_sell_ap_dp_sp_hp(spark, sf_dir):
+    return _adaptive_sell(_wide(spark, sf_dir), "ap[dp_sp_hp]", 40000.0, 20000.0)
+
+
+@query(f"WITH {WIDE}, {R} SELECT R.i, coalesce(sum({_half('v')} * {SEVEN}), 0.0) AS y FROM R LEFT JOIN A ON A.i = R.i GROUP BY 1")
+def spmv_sell_hp(spark, sf_dir):
+    return sell.spmv_sell(sell.to_sell(_wide(spark, sf_dir), CHUNK, SIGMA), seven, "hp")
+
+
 @query(f"WITH {WIDE}, {R} SELECT R.i, coalesce(sum({_half('v')} * {SEVEN}), 0.0) AS y FROM R LEFT JOIN A ON A.i = R.i GROUP BY 1")
 def spmv_half(spark, sf_dir):
     return spmv.spmv(_wide(spark, sf_dir), seven, "hp")
@@ -466,6 +528,27 @@ def graph_part_sizes(spark, sf_dir):
     return partition.graph_parts(a, PARTS, rounds=2).groupBy("part").agg(F.count("*").alias("n_rows"))
 
 
+def _graph_sql(rounds: int) -> str:
+    """The most frequent group among the neighbours and the row itself, the smallest of equals; then equal shares."""
+    steps = ["T0 AS (SELECT i, i AS label FROM R)"]
+    for k in range(1, rounds + 1):
+        heard = f"SELECT L.i, label FROM L JOIN T{k - 1} t ON t.i = L.j UNION ALL SELECT i, label FROM T{k - 1}"
+        steps.append(f"V{k} AS (SELECT i, label, row_number() OVER (PARTITION BY i ORDER BY count(*) DESC, label) AS place FROM ({heard}) GROUP BY i, label)")
+        steps.append(f"T{k} AS (SELECT i, label FROM V{k} WHERE place = 1)")
+    return f"{A}, {RSQ}, L AS (SELECT i, j FROM A WHERE i <> j UNION SELECT j, i FROM A WHERE i <> j), {', '.join(steps)}, G AS (SELECT i, CAST((row_number() OVER (ORDER BY label, i) - 1) * {PARTS} // {NSQ} AS INTEGER) AS part FROM T{rounds})"
+
+
+@query(f"WITH {_graph_sql(4)} SELECT i, part FROM G")
+def graph_parts(spark, sf_dir):
+    return partition.graph_parts(_ps(spark, sf_dir, square=True), PARTS)
+
+
+@query(f"WITH {_graph_sql(4)}, E AS (SELECT DISTINCT least(i, j) AS i, greatest(i, j) AS j FROM A WHERE i <> j) SELECT count(*) AS links, count(*) FILTER (p.part <> q.part) AS cut FROM E JOIN G p ON p.i = E.i JOIN G q ON q.i = E.j")
+def graph_edge_cut(spark, sf_dir):
+    a = _ps(spark, sf_dir, square=True)
+    return partition.edge_cut(a, partition.graph_parts(a, PARTS))
+
+
 # ---- validation
 
 
@@ -488,6 +571,12 @@ def validate_norms(spark, sf_dir):
     return validate.summary(_pair(spark, sf_dir)).drop("at_relative", "at_absolute")
 
 
+@query(f"WITH {PAIR} SELECT (SELECT i FROM D ORDER BY relative DESC, i LIMIT 1) AS at_relative, (SELECT i FROM D ORDER BY absolute DESC, i LIMIT 1) AS at_absolute")
+def validate_worst(spark, sf_dir):
+    """Where the largest differences are, the first row of equals."""
+    return validate.summary(_pair(spark, sf_dir)).select("at_relative", "at_absolute")
+
+
 @query(f"WITH {PAIR} SELECT count(*) FILTER (relative > 0.00001) AS mismatches, max(relative) AS max_relative FROM D")
 def validate_mismatches(spark, sf_dir):
     return validate.mismatches(_pair(spark, sf_dir), 1e-5)

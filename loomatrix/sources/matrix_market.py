@@ -54,32 +54,37 @@ def _lines(spark: SparkSession, path: str) -> DataFrame:
     return lines.join(splits, ["file", "block"]).select("value", (F.col("split") * F.lit(1 << 33) + F.col("line")).alias("at"))
 
 
-def read_header(spark: SparkSession, path: str) -> tuple[Banner, int, int, int]:
-    """The banner and the size line (rows, columns, stored entries)."""
-    lines = _lines(spark, path)
-    first = lines.where(F.col("value").startswith("%%")).orderBy("at").limit(1).first()
-    size = lines.where(~F.col("value").startswith("%") & (F.trim("value") != "")).agg(F.min_by("value", "at")).first()
-    if first is None or size[0] is None:
+def _header(lines: DataFrame, path: str) -> tuple[Banner, int, int, int, int]:
+    """The banner, the size line's numbers and its place, in one pass."""
+    comment = F.col("value").startswith("%")
+    data = ~comment & (F.trim("value") != "")
+    first, size, at = lines.agg(F.min_by("value", F.when(F.col("value").startswith("%%"), F.col("at"))), F.min_by("value", F.when(data, F.col("at"))), F.min(F.when(data, F.col("at")))).first()
+    if first is None or size is None:
         raise ValueError(f"{path} has no banner or no size line")
-    banner, numbers = Banner.parse(first["value"]), [int(x) for x in size[0].split()]
+    banner, numbers = Banner.parse(first), [int(x) for x in size.split()]
     if banner.format == "array":
-        return banner, numbers[0], numbers[1], numbers[0] * numbers[1]
+        return banner, numbers[0], numbers[1], numbers[0] * numbers[1], at
     if len(numbers) != 3:
-        raise ValueError(f"the size line must have three numbers: {size[0]!r}")
-    return banner, *numbers
+        raise ValueError(f"the size line must have three numbers: {size!r}")
+    return banner, *numbers, at
+
+
+def read_header(spark: SparkSession, path: str) -> tuple[Banner, int, int, int]:
+    """The banner and the size line (rows, columns, stored entries)."""
+    return _header(_lines(spark, path), path)[:4]
 
 
 def read_matrix(spark: SparkSession, path: str, square: bool = True) -> SparseMatrix:
     """Entries (seq, i, j, v), 0-based. Symmetric files are expanded, each mirrored entry after
     its original; entries of pattern files are 0.01. seq is the order in the file, so that
     sorting by (i, seq) is a stable sort by row. Explicit zeros and repeated places stay."""
-    banner, n_rows, n_cols, nnz = read_header(spark, path)
+    lines = _lines(spark, path)
+    banner, n_rows, n_cols, nnz, head = _header(lines, path)
     if banner.format != "coordinate" or banner.field == "complex" or banner.symmetry not in ("general", "symmetric"):
         raise ValueError(f"only real, integer or pattern, general or symmetric coordinate files: {banner}")
     if square and n_rows != n_cols:
         raise ValueError(f"{path} isn't square: {n_rows} x {n_cols}")
-    lines = _lines(spark, path).where(~F.col("value").startswith("%") & (F.trim("value") != ""))
-    head = lines.agg(F.min("at")).first()[0]
+    lines = lines.where(~F.col("value").startswith("%") & (F.trim("value") != ""))
     parts = F.split(F.trim("value"), r"\s+")
     value = F.lit(PATTERN_VALUE) if banner.field == "pattern" else F.get(parts, F.lit(2)).cast("double")
     entries = lines.where(F.col("at") > head).select((F.col("at") * 2).alias("seq"), (F.get(parts, F.lit(0)).cast("long") - 1).alias("i"), (F.get(parts, F.lit(1)).cast("long") - 1).alias("j"), value.alias("v"))

@@ -119,6 +119,41 @@ def test_blocks_of_vectors(spark):
     assert all(col[i, k] == want[i, k] == row[i][k] for i in range(3) for k in range(3))
 
 
+def test_chunk_layout_products(spark):
+    """Blocks, precisions and adaptive precision from the chunk layout, against numpy on the rounded values."""
+    rnd = np.random.default_rng(3)
+    entries = [(int(i), int(j), float(v)) for i, j, v in zip(rnd.integers(0, 9, 40), rnd.integers(0, 9, 40), rnd.normal(size=40) * 3, strict=True)]
+    a = matrix(spark, entries, 9, 9)
+    x = rnd.normal(size=(9, 3))
+    xs = spark.createDataFrame([(i, x[i].tolist()) for i in range(9)], "i bigint, xs array<double>")
+    one = spark.createDataFrame([(i, float(x[i, 0])) for i in range(9)], "i bigint, x double")
+    real = {"dp": np.float64, "sp": np.float32, "hp": np.float16}
+    rounded = lambda kind, some=entries: dense([(i, j, float(real[kind](v))) for i, j, v in some], 9, 9)
+    for chunk, sigma in ((1, 2), (4, 8), (16, 1)):
+        m = sell.to_sell(a, chunk, sigma)
+        for kind, number in real.items():
+            want = rounded(kind) @ x.astype(number).astype(float)
+            got = {r.i: r.ys for r in sell.spmmv_sell(m, xs, 3, kind).collect()}
+            assert np.allclose([got[i] for i in range(9)], want, rtol=1e-14, atol=1e-14)
+            assert np.allclose(vector(sell.spmv_sell(m, one, kind), 9), want[:, 0], rtol=1e-14, atol=1e-14)
+        for mode, t1, t2 in (("ap[dp_sp]", 2.0, None), ("ap[dp_hp]", 2.0, None), ("ap[sp_hp]", 2.0, None), ("ap[dp_sp_hp]", 3.0, 1.0)):
+            names, split = precision.BUCKETS[mode], precision.partition_precisions(a, mode, t1, t2)
+            for own in ("highest", "own"):
+                y = sell.spmv_sell_adaptive(sell.precision_chunks(a, split, mode, chunk, sigma), one, own)
+                for k, name in enumerate(names):
+                    high, low = [np.inf, t1, t2][k], [t1, t2, None][k] if k < len(names) - 1 else -1.0
+                    some = [e for e in entries if low <= abs(e[2]) < high]
+                    want = rounded(name, some) @ x[:, 0].astype(real[name if own == "own" else names[0]]).astype(float)
+                    assert np.allclose(vector(y, 9, f"y_{name}"), want, rtol=1e-13, atol=1e-13)
+
+
+def test_long_rows_in_segments(spark):
+    a = SparseMatrix(spark.range(30_000).select((F.col("id") * 7919 % 20_000).alias("j"), F.lit(0).cast("long").alias("i"), F.lit(1.0).alias("v")), 2, 20_000)
+    packed = sell.pack_rows(a)
+    assert packed.count() > 1 and packed.agg(F.max(F.size("cols"))).first()[0] < 10_000
+    assert vector(spmv.spmv(sell.unpack_rows(packed, 2, 20_000), constant(1.0)), 2).tolist() == [30_000.0, 0.0]
+
+
 def test_permutations(spark):
     entries = [(0, 1, 2), (1, 2, 3), (2, 2, 4)]
     a = matrix(spark, entries, 3, 3)
@@ -240,6 +275,29 @@ def test_graph_parts(spark):
     assert (vector(sell.permute_vector(spmv.spmv(b, constant(1.0)).withColumnRenamed("y", "x"), sell.invert(perm)), 20, "x") == vector(spmv.spmv(a, constant(1.0)), 20)).all()
 
 
+def test_edge_cut_falls(spark):
+    """Two groups whose rows lie among each other: equal ranges cut half the links, graph parts fewer."""
+    entries = [(i, j, 1) for i in range(24) for j in range(24) if i != j and (i // 3) % 2 == (j // 3) % 2]
+    a = matrix(spark, entries, 24, 24)
+    ranges = a.rows().withColumn("part", F.expr("cast(i div 12 as int)"))
+    before, after = partition.edge_cut(a, ranges).first(), partition.edge_cut(a, partition.graph_parts(a, 2)).first()
+    assert before.links == after.links == 132 and after.cut < before.cut
+
+
+def test_solve_against_numpy(spark, tmp_path):
+    """A run on a written file, in all formats, against the power of the dense matrix that the file says."""
+    from loomatrix.__main__ import load, solve
+
+    rnd = np.random.default_rng(5)
+    entries = {(int(i), int(j)): float(rnd.integers(1, 9)) / 16 for i, j in rnd.integers(0, 12, (50, 2))}
+    with open(tmp_path / "a.mtx", "w") as f:
+        f.write(f"%%MatrixMarket matrix coordinate real general\n12 12 {len(entries)}\n" + "".join(f"{i + 1} {j + 1} {v!r}\n" for (i, j), v in entries.items()))
+    want = np.linalg.matrix_power(dense([(i, j, v) for (i, j), v in entries.items()], 12, 12), 5) @ np.full(12, 5.0)
+    a = load(spark, str(tmp_path / "a.mtx"))
+    for layout in ({"format": "coo"}, {"format": "crs"}, {"format": "scs", "chunk": 4, "sigma": 8}, {"format": "coo", "parts": 3, "segmentation": "nnz"}):
+        assert np.allclose(vector(solve(a, SpmvConfig(mode="solve", repetitions=5, **layout)), 12), want, rtol=1e-12)
+
+
 def test_power_and_modes(spark):
     a = generate.stencil_2d(spark, 4)
     d = dense([(r.i, r.j, r.v) for r in a.entries.collect()], 16, 16)
@@ -256,7 +314,7 @@ def test_power_and_modes(spark):
 
 
 def test_execute_keeps_options(spark, monkeypatch):
-    """Every format rounds as the precision says and comes out of its layout; parts are refused."""
+    """Every format rounds as the precision says and comes out of its layout; row parts change no product."""
     a = matrix(spark, [(0, 0, 1 / 3), (0, 1, 2.1), (1, 1, 1 / 7)], 2, 2)
     x = lambda j: 1.0 / (j + 3)
     layouts = [{"format": "coo"}, {"format": "crs"}, {"format": "scs", "chunk": 2, "sigma": 2}]
@@ -270,9 +328,9 @@ def test_execute_keeps_options(spark, monkeypatch):
         monkeypatch.setattr(iterate, name, lambda *args, kept=getattr(iterate, name), name=name: made.append(name) or kept(*args))
     adaptive = [vector(iterate.execute(a, SpmvConfig(precision="ap[dp_sp]", **layout), x), 2) for layout in layouts]
     assert made == ["pack_rows", "to_sell"] and np.allclose(adaptive[1], adaptive[0]) and np.allclose(adaptive[2], adaptive[0])
-    for more in ({"parts": 2}, {"segmentation": "nnz"}):
-        with pytest.raises(ValueError, match="parts"):
-            iterate.execute(a, SpmvConfig(**more))
+    plain = vector(iterate.execute(a, SpmvConfig(format="coo")), 2)
+    for more in ({"parts": 2}, {"parts": 2, "segmentation": "nnz"}, {"parts": 2, "segmentation": "graph", "format": "scs", "chunk": 2}):
+        assert np.allclose(vector(iterate.execute(a, SpmvConfig(**more)), 2), plain)
 
 
 def test_benchmark_block(spark, monkeypatch):
