@@ -1,4 +1,10 @@
-"""A cleaning pipeline over the documents table: filter, deduplicate, decontaminate, redact, encode."""
+"""A cleaning pipeline over the documents table: filter, deduplicate, decontaminate, redact, encode.
+
+Every stage but the last returns rows of its input with all their columns. Stages tell rows
+by id and text, nulls included: rows of one id don't mix, and a null text is an empty one.
+An empty table gives an empty table of the same columns. Columns of documents beyond those
+a stage reads go through, whatever their names.
+"""
 
 from __future__ import annotations
 
@@ -11,31 +17,42 @@ VOCABULARY = "byte_bpe_50k.json"
 
 
 def quality(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """Documents that the base rules or the risk-controlled cutoffs reject go."""
+    """Documents that the base rules or the risk-controlled cutoffs reject go.
+
+    A null or empty text has too few words and goes; a null lang is a stratum of its own;
+    repeated rows share their verdict.
+    """
     judged = quality_rules.quality_rules(docs, common.table(spark, sf_dir, "labels"))
     return quality_rules.keep_good(docs, judged)
 
 
 def near_duplicates(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """Of each group of linked fingerprints the document with the smallest id stays."""
-    classes = simhash.simhash_components(docs)
-    return common.null_safe(docs, classes.where(F.col("doc_id").eqNullSafe(F.col("component_id"))).select("doc_id").distinct(), ["doc_id"], "left_semi")
+    """Of each group of linked fingerprints exactly one row stays, that with the smallest id.
+
+    Rows with a null id stay only where no other is in the group; of rows with one id the
+    smallest hash of the text decides, then that of the row; null and empty texts are one
+    group, repeated rows too.
+    """
+    return simhash.keep_one(docs)
 
 
 def benchmark_leaks(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """Documents that hold a benchmark item go."""
+    """Documents that hold a benchmark item go; null texts hold none, repeated rows share their verdict."""
     return decontaminate.drop_contaminated(docs, decontaminate.contamination(docs, common.table(spark, sf_dir, "benchmark"), any_case=True))
 
 
 def secrets(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """Live-looking secrets are taken out of the texts; copied examples stay."""
+    """Live-looking secrets are taken out of the texts and n_chars follows; copied examples stay.
+
+    All rows stay, repeated ones too; a null text stays null, a null source is an owner of its own.
+    """
     found = secret_scan.scan_secrets(docs)
     clean = spans.rewrite(docs, secret_scan.live_cuts(found), id_col="doc_id", text_col="text")
-    return clean.withColumn("n_chars", F.length("text").cast(docs.schema["n_chars"].dataType)).select(*docs.columns)
+    return clean.withColumn("n_chars", F.length("text").cast(docs.schema["n_chars"].dataType)).select(*[f"`{c}`" for c in docs.columns])
 
 
 def encode(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """(doc_id, n_tokens, ids_sha256, decoded_sha256) of what is left."""
+    """(doc_id, n_tokens, ids_sha256, decoded_sha256) of what is left, a row for each row."""
     return word_bpe.encode_and_decode(docs, common.vocabulary_path(VOCABULARY))
 
 
