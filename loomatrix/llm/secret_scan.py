@@ -1,7 +1,8 @@
 """Secret scans with corpus-wide ownership frequency.
 
-A value that stands in the repositories of many owners is a copied example; one that
-stays with an owner or two looks like a live credential. One pass finds candidates,
+A value that stands in the repositories of many owners is a copied example, and so is one
+that several owners share in very many repositories; one that stays with an owner, in
+however many repositories, or with two in a few, looks like a live credential. One pass finds candidates,
 their hashes are aggregated over the whole corpus by distinct owner and repository,
 and the verdicts go back to the texts by a join on the hash.
 """
@@ -54,15 +55,16 @@ def _scan(row: dict):
     return row["id"], row["owner"], row["sig"], count("assign"), count("access"), count("hex"), digest(base), [{"kind": k, "start": s, "end": e, "key": hashlib.sha256(v.encode()).hexdigest()} for k, s, e, v in found]
 
 
-def scan_secrets(docs: DataFrame, *, id_col: str = "doc_id", text_col: str = "text", owner_col: str = "source", repo_col: str | None = None, example_owners: int = 3) -> DataFrame:
+def scan_secrets(docs: DataFrame, *, id_col: str = "doc_id", text_col: str = "text", owner_col: str = "source", repo_col: str | None = None, example_owners: int = 3, example_repos: int = 20) -> DataFrame:
     """One row for each row of docs: (id, sig, n_assign, n_access, n_hex, base_sha256, found).
 
     found has, by start and kind, each candidate with kind, start, end (code points, end
     exclusive), n_owners, n_repos and verdict: `example` where its value stands with
-    example_owners distinct owners or more, else `live`. Opaque tokens are listed only
+    example_owners distinct owners or more, or with two or more in example_repos distinct
+    repositories or more, else `live`. A repository is counted for its owner. Opaque tokens are listed only
     when they are live. sig is the text's xxhash64. repo_col is by default the id: each
-    document is a repository of its owner. A null text has no candidates, a null owner
-    or repository counts as one more. Repeated rows each give a row, and a repeated
+    document is a repository of its owner. A null text has no candidates, null owners
+    count as one owner of their own, apart from '', and null repositories likewise. Repeated rows each give a row, and a repeated
     document counts once for its owner. Other columns are ignored; an empty table gives
     an empty result.
     """
@@ -81,9 +83,11 @@ def scan_secrets(docs: DataFrame, *, id_col: str = "doc_id", text_col: str = "te
     scanned = written(scanned.withColumn("uid", F.monotonically_increasing_id()))
 
     each = scanned.where(F.size("found") > 0).select("uid", "owner", F.col("repo" if repo_col else "id").cast("string").alias("repo"), F.posexplode("found").alias("at", "c")).select("uid", "owner", "repo", "at", "c.*")
-    held = each.select("key", F.coalesce("owner", F.lit("")).alias("owner"), F.coalesce("repo", F.lit("")).alias("repo")).distinct()
+    held = each.select("key", "owner", "repo").distinct()  # nulls are values of their own here
     by_key = held.groupBy("key", "owner").agg(F.count("*").alias("n")).groupBy("key").agg(F.count("*").alias("n_owners"), F.sum("n").alias("n_repos"))
-    judged = each.join(by_key, "key").withColumn("verdict", F.when(F.col("n_owners") >= example_owners, "example").otherwise("live"))
+    # a value may stand in most documents: between two written tables Spark splits its rows
+    widely = (F.col("n_owners") >= example_owners) | ((F.col("n_owners") >= 2) & (F.col("n_repos") >= example_repos))
+    judged = each.join(written(by_key), "key").withColumn("verdict", F.when(widely, "example").otherwise("live"))
     judged = judged.where("kind <> 'opaque' or verdict = 'live'")
     lists = judged.groupBy("uid").agg(F.array_sort(F.collect_list(F.struct("at", "kind", "start", "end", "n_owners", "n_repos", "verdict"))).alias("found"))
     out = scanned.drop("found").join(lists, "uid", "left")
