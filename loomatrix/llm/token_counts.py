@@ -184,9 +184,11 @@ def count_tokens(docs: DataFrame, tokenizer_path: str, *, id_col: str = "doc_id"
     long_rows = sized.where(F.length("text") > chunk_chars).withColumn("sha", F.sha2("text", 256))
     keys = ["id", "sha"]
 
+    # so many tasks whatever the chunks weigh: tokenizing costs far more than moving them
+    tasks = int(docs.sparkSession.conf.get("spark.sql.shuffle.partitions"))
     found, pending, chunk, overlap = None, long_rows.select("id", "sha", "text"), chunk_chars, overlap_chars
     while True:
-        chunks = pending.mapInArrow(_cut(chunk, overlap), f"id {sql}, sha string, k bigint, n bigint, start bigint, chunk string").repartition("id", "sha", "k")
+        chunks = pending.mapInArrow(_cut(chunk, overlap), f"id {sql}, sha string, k bigint, n bigint, start bigint, chunk string").repartition(tasks, "id", "sha", "k")
         sides = chunks.mapInArrow(_encode(tokenizer_path, overlap, arrow), f"id {sql}, sha string, seam bigint, side string, total bigint, at array<bigint>, before array<bigint>")
         # repeated rows give the same chunks: any one of them serves, and each seam counts once
         side = lambda s, c: F.first(F.when(F.col("side") == s, F.col(c)), ignorenulls=True)
