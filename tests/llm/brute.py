@@ -94,3 +94,93 @@ def repeats(docs: list[tuple[int, str | None]], window: int = 20) -> dict:
         kept = [w for w, g in zip(words, gone, strict=True) if not g]
         out[doc_id] = len(words), sum(gone), sha(" ".join(kept))
     return out
+
+
+def role_repair_cost(roles: list) -> int:
+    """Least cost over all ways, each tried: an optional system turn, then user and assistant in turn.
+
+    A turn may take its place as any legal role (free for its own, 2 to relabel a known role,
+    1 to name an unknown one), stand behind an inserted empty turn (2, known roles only), or
+    be merged into the turn before (1 into its own role, else 3).
+    """
+    after = {None: ("system", "user"), "system": ("user",), "user": ("assistant",), "assistant": ("user",)}
+
+    def ways(k: int, last: str | None) -> int:
+        if k == len(roles):
+            return 0
+        own = roles[k] if roles[k] in ("system", "user", "assistant") else None
+        costs = []
+        for role in after[last]:
+            costs.append((0 if role == own else 2 if own else 1) + ways(k + 1, role))
+            if own in after[role]:
+                costs.append(2 + ways(k + 1, own))
+        if last is not None:
+            costs.append((1 if own == last else 3) + ways(k + 1, last))
+        return min(costs)
+
+    return ways(0, None)
+
+
+EDGES = ".,;:!?\"'()[]{}<>"
+
+
+def disclosing_terms(texts: dict, smoothing: float = 0.5, reach: int = 8, least: float = 0.5, remove: float = 0.9, bits: float = 4.0) -> dict:
+    """{key: [start:end:action]} of the words that reveal an entity, each text by itself."""
+    from math import log2
+
+    term = lambda w: t if len(t := w.strip(EDGES).lower()) >= 3 else ""
+    both: Counter = Counter()
+    holders: Counter = Counter()
+    stands: Counter = Counter()
+    free: dict = {}
+    for key, text in texts.items():
+        text = text or ""
+        words = [(m.start(), m.end(), term(m[0])) for m in WORD.finditer(text)]
+        base = [(s.split(":")[0], int(s.split(":")[1]), int(s.split(":")[2])) for s in pii(text)[-1]]
+        free[key] = [w for w in words if w[2] and not any(w[0] < e and s < w[1] for _, s, e in base)]
+        stands.update({t for _, _, t in words if t})
+        found = set()
+        for kind, s, e in base:
+            value = text[s:e].lower() if kind == "email" else "".join(c for c in text[s:e] if c in "0123456789" or kind == "ip" and c == ".")
+            first = max(i for i, w in enumerate(words) if w[0] <= s)
+            last = min([i for i, w in enumerate(words) if w[0] >= e], default=len(words))
+            near = set(words[max(0, first - reach) : last + reach])
+            found |= {((kind, value), t) for a, b, t in near if (a, b, t) in set(free[key])} | {((kind, value), "")}
+        both.update(p for p in found if p[1])
+        holders.update(p[0] for p in found if not p[1])
+    score: dict = {}
+    for (entity, t), n in both.items():
+        p = n / (stands[t] + smoothing)
+        if p >= least and log2(p * len(texts) / holders[entity]) >= bits:
+            score[t] = max(score.get(t, 0), p)
+    return {k: [f"{s}:{e}:{'remove' if score[t] >= remove else 'generalise'}" for s, e, t in some if t in score] for k, some in free.items()}
+
+
+def template(text: str, named: bool, units: frozenset, spelled: dict, no_names: frozenset) -> list[tuple]:
+    """[(kind, value, word)] of a text's template words, by the rules of the docstring; word is the first one's number."""
+    out: list = []
+    edges = EDGES + "«»“”…"
+    opens, apart, last = True, True, None
+    for k, w in enumerate(WORD.findall(text)):
+        bare = w.strip(edges) or w
+        low = bare.lower()
+        if re.fullmatch(r"[+-]?[$€£]?[0-9][0-9.,:/]*%?", bare):
+            kind, value, plain = "num", bare, not bare.endswith("%")
+        elif re.fullmatch(r"[+-]?[$€£]?[0-9][0-9.,:/]*[A-Za-z°µ]{1,5}(/[A-Za-z]{1,2})?", bare):
+            kind, value, plain = "num", low, False
+        elif low in spelled:
+            kind, value, plain = "num", spelled[low], True
+        elif low not in units and low not in no_names and bare[0].isupper():
+            kind, value, plain = ("name" if named or not opens else ""), low, False
+        else:
+            kind, value, plain = "", low, False
+        if not apart and low in units and last == "number":
+            out[-1] = ("num", out[-1][1] + low, out[-1][2])
+            last = "unit"
+        elif not apart and kind == "name" and last == "name":
+            out[-1] = ("name", out[-1][1] + " " + value, out[-1][2])
+        else:
+            out.append((kind, value, k))
+            last = "number" if plain else kind
+        apart, opens = w[-1] in edges, any(c in ".!?" for c in w[len(w.rstrip(edges)) :])
+    return out
