@@ -7,9 +7,11 @@ automaton's states finds the cheapest way.
 
 Turns are range-partitioned by conversation and turn, so that a conversation of any
 length is spread over tasks. Each stretch of at most SEGMENT turns becomes a matrix of
-least costs from state to state; the matrices of a conversation are chained (a few
-numbers for each stretch), which fixes the state in which each stretch begins and ends,
-and the stretches are then decided apart.
+least costs from state to state. A conversation's matrices are multiplied within each
+partition first and then over its partitions, so that no task holds more of one
+conversation than a partition's stretches or a matrix for each partition. That fixes the
+states in which each partition's turns begin and end, then those of each stretch, and the
+stretches are decided apart.
 """
 
 from __future__ import annotations
@@ -114,28 +116,57 @@ def repair_roles(turns: DataFrame, *, id_col: str = "conv_id", turn_col: str = "
     def matrix(lists):
         return lists.map(lambda roles: [c for q in range(4) for c in least(list(roles), q)[-1]])
 
-    @F.pandas_udf("array<struct<part:int,seg:bigint,entry:int,leave:int,before:bigint,total:bigint>>")
-    def chained(lists):
+    def step(costs, m):
+        """Least costs after a matrix, and the state before on the way to each."""
+        came = [min(range(4), key=lambda q: costs[q] + m[4 * q + to]) for to in range(4)]
+        return [min(FAR, costs[came[to]] + m[4 * came[to] + to]) for to in range(4)], came
+
+    @F.pandas_udf("array<bigint>")
+    def product(lists):
         def one(some):
-            some, costs, back = list(some), [0, FAR, FAR, FAR], []
+            rows = [[0 if q == p else FAR for q in range(4)] for p in range(4)]
             for s in some:
-                m = s["m"]
-                came = [min(range(4), key=lambda q: costs[q] + m[4 * q + to]) for to in range(4)]
-                costs = [min(FAR, costs[came[to]] + m[4 * came[to] + to]) for to in range(4)]
-                back.append(came)
-            state, out, after = min(range(4), key=lambda q: costs[q]), [], sum(s["n"] for s in some)
-            total = after
-            for s, came in zip(reversed(some), reversed(back), strict=True):
-                after -= s["n"]
-                out.append({"part": s["part"], "seg": s["seg"], "entry": came[state], "leave": state, "before": after, "total": total})
-                state = came[state]
-            return out
+                rows = [step(costs, s["m"])[0] for costs in rows]
+            return [c for costs in rows for c in costs]
 
         return lists.map(one)
 
+    def chain(some, entry, leave, before):
+        """Where each of the chained pieces begins and ends on a cheapest way; without leave, to the cheapest end."""
+        some, costs, back = list(some), [0 if q == entry else FAR for q in range(4)], []
+        for s in some:
+            costs, came = step(costs, s["m"])
+            back.append(came)
+        state, out, after = min(range(4), key=lambda q: costs[q]) if leave is None else leave, [], before + sum(s["n"] for s in some)
+        for s, came in zip(reversed(some), reversed(back), strict=True):
+            after -= s["n"]
+            out.append({"piece": s["piece"], "entry": came[state], "leave": state, "before": after})
+            state = came[state]
+        return out
+
+    pieces = "array<struct<piece:bigint,entry:int,leave:int,before:bigint>>"
+
+    @F.pandas_udf(pieces)
+    def over_parts(lists):
+        return lists.map(lambda some: chain(some, 0, None, 0))
+
+    @F.pandas_udf(pieces)
+    def within_part(lists, entries, leaves, befores):
+        import pandas as pd
+
+        return pd.Series([chain(some, int(e), int(to), int(b)) for some, e, to, b in zip(lists, entries, leaves, befores, strict=True)])
+
     measured = written(stretches.select("part", "seg", "id", "roles", F.size("roles").cast("long").alias("n"), matrix("roles").alias("m")))
-    chains = measured.groupBy("id").agg(F.array_sort(F.collect_list(F.struct("part", "seg", "n", "m"))).alias("some"))
-    ends = chains.select(F.explode(chained("some")).alias("s")).select("s.*")
+    listed = F.array_sort(F.collect_list(F.struct(F.col("piece"), "n", "m"))).alias("some")
+    total = F.aggregate("some", F.lit(0).cast("long"), lambda a, s: a + s["n"])
+    # a conversation's stretches in one partition, told by their first number
+    own = written(measured.withColumn("piece", F.col("seg")).groupBy("id", "part").agg(F.min("seg").alias("lead"), listed))
+    wholes = own.select("id", F.col("part").cast("long").alias("piece"), "lead", total.alias("n"), product("some").alias("m"))
+    leads = wholes.select(F.col("piece").cast("int").alias("part"), "lead", "id")
+    chains = wholes.groupBy("id").agg(listed).select("id", total.alias("total"), F.explode(over_parts("some")).alias("s"))
+    ends = null_safe(leads, chains.select("id", "total", F.col("s.piece").cast("int").alias("part"), "s.entry", "s.leave", "s.before"), ["id", "part"]).drop("id")
+    inner = own.select("part", "lead", "some").join(ends, ["part", "lead"]).select("part", "total", F.explode(within_part("some", "entry", "leave", "before")).alias("s"))
+    ends = inner.select("part", F.col("s.piece").alias("seg"), "total", "s.entry", "s.leave", "s.before")
 
     @F.pandas_udf("array<struct<action:string,state:int>>")
     def decided(roles, entries, leaves):
