@@ -109,6 +109,7 @@ def repair_roles(turns: DataFrame, *, id_col: str = "conv_id", turn_col: str = "
                 within += 1
             yield pa.RecordBatch.from_arrays([*[batch.column(c) for c in ("id", "turn", "role", "text")], pa.array(np.full(batch.num_rows, part, np.int32)), pa.array(segs), pa.array(ats)], ["id", "turn", "role", "text", "part", "seg", "k"])
 
+    # joins here are sort-merge joins: both sides grow with the turns, whatever their files weigh
     cut = written(rows.repartitionByRange(*order).sortWithinPartitions(*order).mapInArrow(number, f"id {kinds['id']}, turn {kinds['turn']}, role string, text string, part int, seg bigint, k int"))
     stretches = cut.groupBy("part", "seg").agg(F.first("id").alias("id"), F.transform(F.array_sort(F.collect_list(F.struct("k", F.coalesce("role", F.lit("")).alias("role")))), lambda x: x["role"]).alias("roles"))
 
@@ -164,16 +165,16 @@ def repair_roles(turns: DataFrame, *, id_col: str = "conv_id", turn_col: str = "
     wholes = own.select("id", F.col("part").cast("long").alias("piece"), "lead", total.alias("n"), product("some").alias("m"))
     leads = wholes.select(F.col("piece").cast("int").alias("part"), "lead", "id")
     chains = wholes.groupBy("id").agg(listed).select("id", total.alias("total"), F.explode(over_parts("some")).alias("s"))
-    ends = null_safe(leads, chains.select("id", "total", F.col("s.piece").cast("int").alias("part"), "s.entry", "s.leave", "s.before"), ["id", "part"]).drop("id")
-    inner = own.select("part", "lead", "some").join(ends, ["part", "lead"]).select("part", "total", F.explode(within_part("some", "entry", "leave", "before")).alias("s"))
+    ends = null_safe(leads, chains.select("id", "total", F.col("s.piece").cast("int").alias("part"), "s.entry", "s.leave", "s.before").hint("merge"), ["id", "part"]).drop("id")
+    inner = own.select("part", "lead", "some").join(ends.hint("merge"), ["part", "lead"]).select("part", "total", F.explode(within_part("some", "entry", "leave", "before")).alias("s"))
     ends = inner.select("part", F.col("s.piece").alias("seg"), "total", "s.entry", "s.leave", "s.before")
 
     @F.pandas_udf("array<struct<action:string,state:int>>")
     def decided(roles, entries, leaves):
         return roles.combine(entries, lambda r, e: (r, e)).combine(leaves, lambda re, to: [{"action": a, "state": s} for a, s in decide(list(re[0]), int(re[1]), int(to))])
 
-    done = measured.join(ends, ["part", "seg"]).select("part", "seg", "before", "total", F.posexplode(decided("roles", "entry", "leave")).alias("k", "d"))
-    out = cut.join(done, ["part", "seg", "k"])
+    done = measured.join(ends.hint("merge"), ["part", "seg"]).select("part", "seg", "before", "total", F.posexplode(decided("roles", "entry", "leave")).alias("k", "d"))
+    out = cut.join(done.hint("merge"), ["part", "seg", "k"])
     return out.select(
         F.col("id").alias(id_col), (F.col("before") + F.col("k")).alias("at"), F.col("total").alias("n_turns"), "role", "text", F.col("d.action").alias("action"), F.element_at(F.array(*map(F.lit, ROLES)), F.col("d.state")).alias("new_role")
     )
