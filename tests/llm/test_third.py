@@ -190,13 +190,14 @@ def plain_contamination(docs, items, window=8, literals=4, least=6, conflicts=0.
         all_plain, all_named = (len({w[0][2] for _, w in r}) for r in reading)
         total = len({w[0][2] for r in reading for _, w in r} | set(places)) or (1 if bare else 0)
         for doc, body in docs.items():
-            matched, by_way, changed = set(), [set(), set()], set()
+            matched, by_way, changed, clean = set(), [set(), set()], set(), set()
             words = exact(body)
             if len(bare) < window:
                 matched |= {0} if bare and any(words[k : k + len(bare)] == bare for k in range(len(words) - len(bare) + 1)) else set()
             else:
                 seen = {tuple(words[k : k + window]) for k in range(len(words) - window + 1)}
                 matched |= {k for k in places if tuple(bare[k : k + window]) in seen}
+            clean |= matched
             for way in range(2):
                 for mine in (windows(brute.template(body, named, *rules)) for named in (False, True)):
                     lines: dict = {}
@@ -205,13 +206,16 @@ def plain_contamination(docs, items, window=8, literals=4, least=6, conflicts=0.
                         table.setdefault(shape(w), []).append((at, w))
                     for at, w in reading[way]:
                         for there, other in table.get(shape(w), []):
-                            line = lines.setdefault(there - at, (set(), set()))
+                            line = lines.setdefault(there - at, (set(), set(), set()))
                             line[0].add(w[0][2])
+                            if values(w) == values(other):
+                                line[2].add(w[0][2])
                             line[1].update(zip(values(w), values(other), strict=True))
-                    for spots, pairs in lines.values():
+                    for spots, pairs, same in lines.values():
                         bad = max(len(pairs) - len({p[side] for p in pairs}) for side in (0, 1))
                         if bad <= conflicts * len(pairs):
                             matched |= spots
+                            clean |= same
                             by_way[way] |= spots
                             changed |= {p for p in pairs if p[0] != p[1]}
             enough = bool(matched) and len(matched) >= min(total, least)
@@ -220,8 +224,8 @@ def plain_contamination(docs, items, window=8, literals=4, least=6, conflicts=0.
             if enough and matched:
                 begins = {t[2] for t in brute.template(text, False, *rules)} if len(bare) >= window else {0}
                 every = ({w[0][2] for r in reading for _, w in r} | set(places)) & begins
-                whole = all(p in matched for p in every if min(matched) <= p <= max(matched))
-                result[doc, item] = len(matched), total, len(changed), "verbatim" if whole and not changed else "reparameterised"
+                whole = all(p in clean for p in every if min(matched) <= p <= max(matched))
+                result[doc, item] = len(matched), total, 0 if whole else len(changed), "verbatim" if whole else "reparameterised"
     return result
 
 
@@ -245,6 +249,17 @@ def test_contamination_table(spark):
     assert {v[-1] for v in want.values()} == {"verbatim", "reparameterised"}
 
 
+def test_verbatim_beside_a_name(spark):
+    """A copy that stands right behind a capitalised word is no re-parameterised one."""
+    df = spark.createDataFrame([(1, "Some words. Bob Ada" + KILOS[18:]), (2, "Then Bob " + TWO)], "doc_id bigint, text string")
+    bench = spark.createDataFrame([(10, "Ada" + KILOS[18:]), (11, TWO)], "item_id bigint, text string")
+    got = decontaminate.contamination(df, bench, any_case=True).collect()
+    assert {(r.doc_id, r.item_id): (r.verdict, r.n_changed) for r in got} == {(1, 10): ("verbatim", 0), (2, 11): ("verbatim", 0)}
+
+
+TWO = "Lena walks along the wide river every single morning before the other people of the village wake up."
+
+
 # ---- 5: levels
 
 
