@@ -25,8 +25,12 @@ VOCABULARY = "byte_bpe_50k.json"
 __all__ = ["oracle_sql", "queries"]
 
 
+def _documents(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return common.spread(common.table(spark, sf_dir, "documents"))
+
+
 def op1_token_counts(spark: SparkSession, sf_dir: str) -> DataFrame:
-    docs = common.table(spark, sf_dir, "documents")
+    docs = _documents(spark, sf_dir)
     counted = count_tokens(docs, common.vocabulary_path(VOCABULARY))
     return counted.withColumn("over_limit", F.col("n_tokens") > 1024)
 
@@ -40,14 +44,14 @@ def op2_chat(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def op3_decontamination(spark: SparkSession, sf_dir: str) -> DataFrame:
-    found = contamination(common.table(spark, sf_dir, "documents"), common.table(spark, sf_dir, "benchmark"), any_case=True)
+    found = contamination(_documents(spark, sf_dir), common.table(spark, sf_dir, "benchmark"), any_case=True)
     return found.drop("sig")
 
 
 def op4_pii(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Also the terms found: how many are generalised and removed, and their actions."""
     # nearly all entities of a web corpus stand in one document, so one is enough, smoothed by half a document
-    found = find_personal_data(common.table(spark, sf_dir, "documents"), min_docs=1, smoothing=0.5)
+    found = find_personal_data(_documents(spark, sf_dir), min_docs=1, smoothing=0.5)
     terms = lambda action: F.filter("found", lambda c: c["action"] == action)
     actions = F.array_join(F.transform(F.filter("found", lambda c: c["kind"] == "term"), lambda c: F.concat_ws(":", c["start"].cast("string"), c["end"].cast("string"), c["action"], c["class"])), ",")
     return found.select(
@@ -57,11 +61,11 @@ def op4_pii(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def op5_repeats(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return remove_repeats(common.table(spark, sf_dir, "documents"), texts=False).drop("kept")
+    return remove_repeats(_documents(spark, sf_dir), texts=False).drop("kept")
 
 
 def op6_quality_rules(spark: SparkSession, sf_dir: str) -> DataFrame:
-    judged = quality_rules(common.table(spark, sf_dir, "documents"), common.table(spark, sf_dir, "labels"))
+    judged = quality_rules(_documents(spark, sf_dir), common.table(spark, sf_dir, "labels"))
     return judged.select("doc_id", "n_words", "word_chars", "n_symbols", "n_dup_lines", "n_repeat_words", "base_failed", "kept")
 
 
@@ -75,17 +79,17 @@ def op7_warc(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def op8_secret_scan(spark: SparkSession, sf_dir: str) -> DataFrame:
-    found = scan_secrets(common.table(spark, sf_dir, "documents"))
+    found = scan_secrets(_documents(spark, sf_dir))
     verdicts = lambda verdict: F.size(F.filter("found", lambda c: c["verdict"] == verdict)).cast("long")
     return found.select("doc_id", "n_assign", "n_access", "n_hex", "base_sha256", _spans("found").alias("spans"), verdicts("live").alias("n_live"), verdicts("example").alias("n_example"))
 
 
 def op9_simhash(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return simhash_components(common.table(spark, sf_dir, "documents")).select("doc_id", "fingerprint", "component_id")
+    return simhash_components(_documents(spark, sf_dir)).select("doc_id", "fingerprint", "component_id")
 
 
 def op10_word_bpe(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return encode_and_decode(common.table(spark, sf_dir, "documents"), common.vocabulary_path(VOCABULARY))
+    return encode_and_decode(_documents(spark, sf_dir), common.vocabulary_path(VOCABULARY))
 
 
 def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
