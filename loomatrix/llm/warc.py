@@ -7,8 +7,10 @@ Reading: Spark splits the archives at the magic line, wherever it stands. Each p
 candidate record: its offset is a running sum of lengths in its file, and its header's
 Content-Length names its successor's offset. The magic line may stand inside a payload,
 so a candidate is a record only if the chain of successors from the file's start reaches
-it. Pointer jumping finds those in as many rounds as the number of a file's candidates
-has binary digits; all others are parts of the payload around them.
+it. Candidates each of which is followed by its own successor are a run: a chain that
+enters a run goes on to its end. Pointer jumping over runs finds those that the chain
+enters, and where, in as many rounds as the number of runs on it has binary digits; all
+other candidates are parts of the payload around them.
 
 Joins here are sort-merge joins: both sides grow with the pages, and tables of offsets pack
 so well that their files look small enough to be sent to every task.
@@ -81,11 +83,12 @@ def _pieces(spark: SparkSession, folder: str) -> DataFrame:
 
 
 def candidates(spark: SparkSession, folder: str) -> DataFrame:
-    """One row for each piece that follows a magic line: (file, k, start, next, succ, header, digest).
+    """One row for each piece that follows a magic line: (file, block, run, k, start, succ, length,
+    header, digest).
 
-    start is the offset of the magic line, next that of the following piece, succ that of
-    the record's successor by its Content-Length (null without one). digest and bytes are
-    those of the payload if the piece holds all of it.
+    start is the offset of the magic line, succ that of the record's successor by its
+    Content-Length (null without one), digest that of the payload if the piece holds all
+    of it. Such a piece's successor is the piece after it; the others end a run of their block.
     """
     parts = _pieces(spark, folder).withColumn("size", F.octet_length("value").cast("long")).withColumn("head", F.expr(f"instr(cast(decode(value, 'ISO-8859-1') as string), '{END}')").cast("long"))
     parts = parts.withColumn("header", F.expr("decode(substring(value, 1, cast(head as int) - 1), 'UTF-8')"))
@@ -99,27 +102,33 @@ def candidates(spark: SparkSession, folder: str) -> DataFrame:
     before = Window.partitionBy("file").orderBy("block").rowsBetween(Window.unboundedPreceding, -1)
     blocks = blocks.withColumn("base", F.coalesce(F.sum("block_size").over(before), F.lit(0))).drop("block_size")
     within = Window.partitionBy("file", "block").orderBy("k").rowsBetween(Window.unboundedPreceding, -1)
-    placed = light.withColumn("inner", F.coalesce(F.sum(size).over(within), F.lit(0))).join(blocks.hint("merge"), ["file", "block"])
+    ends = F.coalesce(F.count_if(F.col("digest").isNull()).over(within), F.lit(0))
+    placed = light.withColumn("inner", F.coalesce(F.sum(size).over(within), F.lit(0))).withColumn("run", ends).join(blocks.hint("merge"), ["file", "block"])
     # the first piece is what stands before the first magic line; every other began with one
     start = F.col("base") + F.col("inner") - len(MAGIC)
-    placed = placed.withColumn("start", start).withColumn("next", start + size)
+    placed = placed.withColumn("start", start)
     succ = F.when(F.col("head") > 0, F.col("start") + len(MAGIC) + F.col("head") + 3 + F.col("length") + len(END))
-    return placed.where("start >= 0").select("file", "block", "k", "start", "next", succ.alias("succ"), "length", "header", "digest")
+    return placed.where("start >= 0").select("file", "block", "run", "k", "start", succ.alias("succ"), "length", "header", "digest")
 
 
 def reachable(found: DataFrame) -> DataFrame:
-    """(file, start) of the candidates on the chain from each file's start, by pointer jumping."""
-    links = found.select("file", "start", "succ")
+    """The candidates on the chain from each file's start, by pointer jumping over runs.
+
+    A pointer leads from a run to the candidate that succeeds its last one, in whatever
+    run that stands; successors lie behind, so that a chain enters a run once at most.
+    """
+    run = ["file", "block", "run"]
+    last = found.groupBy(*run).agg(F.max_by("succ", "start").alias("at")).where("at is not null")
     # a pointer to no candidate ends the chain
-    there = links.select("file", F.col("start").alias("succ"))
-    jump = written(links.where("succ is not null").join(there.hint("merge"), ["file", "succ"]).select("file", "start", "succ"))
-    reached = written(links.where("start = 0").select("file", "start"))
+    there = found.select("file", F.col("start").alias("at"), F.struct("block", "run").alias("to"))
+    jump = written(last.join(there.hint("merge"), ["file", "at"]).select(*run, "to", "at"))
+    reached = written(found.where("start = 0").select(*run, F.col("start").alias("at")))
     while not jump.isEmpty():
-        more = reached.join(jump.hint("merge"), ["file", "start"]).select("file", F.col("succ").alias("start"))
+        more = reached.drop("at").join(jump.hint("merge"), run).select("file", "to.block", "to.run", "at")
         reached = written(reached.union(more).distinct())
-        twice = jump.select("file", F.col("start").alias("succ"), F.col("succ").alias("then"))
-        jump = written(jump.join(twice.hint("merge"), ["file", "succ"]).select("file", "start", F.col("then").alias("succ")))
-    return reached
+        twice = jump.select("file", F.struct("block", "run").alias("to"), F.col("to").alias("then"), F.col("at").alias("then_at"))
+        jump = written(jump.join(twice.hint("merge"), ["file", "to"]).select(*run, F.col("then").alias("to"), F.col("then_at").alias("at")))
+    return found.join(reached.hint("merge"), run).where(F.col("start") >= F.col("at")).drop("at")
 
 
 def read_warc(spark: SparkSession, folder: str) -> DataFrame:
@@ -132,7 +141,7 @@ def read_warc(spark: SparkSession, folder: str) -> DataFrame:
     of archives gives an empty result.
     """
     found = written(candidates(spark, folder))
-    records = found.join(reachable(found).hint("merge"), ["file", "start"])
+    records = reachable(found)
     split = written(records.where("digest is null and succ is not null").select("file", F.col("start").alias("owner"), "succ", "length"))
     if not split.isEmpty():
         # payloads that hold magic lines: gather their pieces by the record around them
