@@ -12,7 +12,7 @@ from pyspark.sql import functions as F
 from test_first import DOCS, HARD, WORDS
 
 import corpus_pipeline
-from loomatrix.llm import chat, common, decontaminate, oracles, pii, registry, repeats, secret_scan, simhash, token_counts, word_bpe
+from loomatrix.llm import chat, common, decontaminate, oracles, pii, registry, repeats, secret_scan, simhash, token_counts, warc, word_bpe
 
 SMALL = "/root/testdata/sf0.001"
 
@@ -299,6 +299,61 @@ def test_secret_owners_apart(spark):
     assert verdict(100) == [(2, 20, "example")] and verdict(200) == [(1, 40, "live")]
 
 
+# ---- 7
+
+
+@pytest.mark.parametrize("block", [None, 4096])
+def test_chains_against_a_walk(spark, tmp_path, block):
+    """Records and whole or broken records in payloads: what a walk from the start by lengths finds."""
+    rnd = random.Random(11)
+    record = lambda body, said=None: b"WARC/1.1\r\nWARC-Type: response\r\nContent-Length: %d\r\n\r\n%s\r\n\r\n" % (len(body) if said is None else said, body)
+
+    def payload(depth):
+        parts = [b"x" * rnd.randrange(300)]
+        while depth and rnd.random() < 0.6:
+            inner = payload(depth - 1)
+            parts += [record(inner, rnd.choice([None, len(inner) + 7, 0, 90_000])), b"WARC/1.1\r\n" * rnd.randrange(3), b"y" * rnd.randrange(40)]
+        return b"".join(parts)
+
+    want = {}
+    for name in ("a", "b"):
+        bodies = [payload(3) for _ in range(60)]
+        data, starts = b"", []
+        for body in bodies:
+            starts.append(len(data))
+            data += record(body)
+        (tmp_path / f"{name}.warc").write_bytes(data)
+        want[name] = starts
+    usual = spark.conf.get("spark.sql.files.maxPartitionBytes")
+    try:
+        if block:
+            spark.conf.set("spark.sql.files.maxPartitionBytes", block)
+        found = common.written(warc.candidates(spark, str(tmp_path)))
+        if block:
+            assert found.select("file", "block").distinct().count() > 4
+        got = {}
+        for r in warc.reachable(found).collect():
+            got.setdefault(r.file, []).append(r.start)
+        assert found.count() > 2 * sum(map(len, want.values()))
+    finally:
+        spark.conf.set("spark.sql.files.maxPartitionBytes", usual)
+    assert sorted(sorted(x) for x in got.values()) == sorted(want.values())
+
+
+def test_spread(spark, tmp_path):
+    """A table of one row group is dealt out, one of many files stays."""
+    few, many = str(tmp_path / "few"), str(tmp_path / "many")
+    cores = spark.sparkContext.defaultParallelism
+    spark.range(1000).coalesce(1).write.parquet(few)
+    spark.range(1000).repartition(cores).write.parquet(many)
+    dealt = common.spread(spark.read.parquet(few))
+    assert dealt.select(F.spark_partition_id().alias("p")).distinct().count() > 1 or cores == 1
+    assert sorted(r.id for r in dealt.collect()) == list(range(1000))
+    table = spark.read.parquet(many)
+    assert common.spread(table) is table
+    assert common.spread(spark.read.parquet(few).limit(0)).count() == 0
+
+
 # ---- 9 and the pipeline's stages
 
 
