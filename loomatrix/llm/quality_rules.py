@@ -100,10 +100,12 @@ def controlled_cutoffs(measured: DataFrame, labels: DataFrame, *, id_col: str =
     """
     good = labels.where(F.col(good_col).isNotNull()).groupBy(F.col(id_col).alias("__id")).agg(F.min(good_col).alias("__good")).where("__good = 1")
     held = measured.where(~F.col("base_failed")).join(good, F.col(id_col) == F.col("__id"))
-    value = _rule_values()
-    counts = held.groupBy("stratum").agg(F.count("*").alias("n_good"), *[F.count_if(value[rule] > c).alias(f"{rule}_{i}") for rule, grid in RULES.items() for i, c in enumerate(grid)])
-    tests = F.array(*[F.struct(F.lit(rule).alias("rule"), F.lit(c).alias("cutoff"), F.col(f"{rule}_{i}").alias("k")) for rule, grid in RULES.items() for i, c in enumerate(grid)])
-    each = counts.select("stratum", "n_good", F.explode(tests).alias("t")).select("stratum", "n_good", "t.*")
+    held = held.select("stratum", *[v.alias(rule) for rule, v in _rule_values().items()])
+    # put as SQL text: a Column object for each of the grid's parts costs the driver seconds
+    cuts = [(rule, i, c) for rule, grid in RULES.items() for i, c in enumerate(grid)]
+    counts = held.groupBy("stratum").agg(F.count("*").alias("n_good"), *[F.expr(f"count_if({rule} > {c!r}D) AS {rule}_{i}") for rule, i, c in cuts])
+    tests = ", ".join(f"struct('{rule}' AS rule, {c!r}D AS cutoff, {rule}_{i} AS k)" for rule, i, c in cuts)
+    each = counts.select("stratum", "n_good", F.expr(f"explode(array({tests})) AS t")).select("stratum", "n_good", "t.*")
     n_strata = each.select(F.count_distinct(F.struct("stratum")).alias("n_strata"))
     n_tests = F.col("n_strata") * sum(map(len, RULES.values()))
     passing = each.crossJoin(F.broadcast(n_strata)).withColumn("ok", binomial_cdf(F.col("k"), F.col("n_good"), risk / len(RULES)) <= F.lit(alpha) / n_tests)
