@@ -48,6 +48,14 @@ def words_of(texts: pa.Array) -> tuple[np.ndarray, list[str], np.ndarray]:
     return coded.indices.to_numpy().astype(np.int64), coded.dictionary.to_numpy(zero_copy_only=False).tolist(), kept[bounds]
 
 
+def raw_bytes(texts: pa.Array) -> tuple[np.ndarray, np.ndarray]:
+    """(data, bounds) of large strings without nulls: text k is data[bounds[k]:bounds[k + 1]], from byte 0 on."""
+    _, places, held = texts.buffers()
+    bounds = np.frombuffer(places, np.int64)[texts.offset : texts.offset + len(texts) + 1] if len(texts) else np.zeros(1, np.int64)
+    data = np.frombuffer(held, np.uint8)[bounds[0] : bounds[-1]] if held is not None else np.zeros(0, np.uint8)
+    return data, bounds - bounds[0]
+
+
 def unsigned(values: np.ndarray) -> np.ndarray:
     """64-bit hashes as the signed longs that Spark has."""
     return values.astype(np.uint64).view(np.int64)

@@ -55,5 +55,51 @@ SELECT page_id, CAST(bytes AS BIGINT) AS payload_bytes, digest AS payload_digest
 """
 
 
+#: Five filters in all orders; E looks at the whole table.
+AUDIT = rf"""
+WITH d AS (SELECT doc_id, coalesce(source, '') AS part, coalesce(text, '') AS text, {WORDS} AS words, doc_id > min(doc_id) OVER (PARTITION BY coalesce(text, '')) AS e FROM documents),
+l AS (SELECT doc_id, bool_or(coalesce(quality = 1, false)) AS good, bool_or(coalesce(toxic = 1, false)) AS toxic FROM labels GROUP BY 1),
+m AS (SELECT part, coalesce(good, false) AS good, coalesce(toxic, false) AS toxic,
+  (len(words) < 50)::INT + 2 * (100 * len(list_distinct(words)) < 65 * len(words))::INT + 4 * (100 * (length(text) - length(regexp_replace(text, '[A-Z]', '', 'g'))) > 5 * length(text))::INT + 8 * regexp_matches(text, '[#$%&*|]')::INT + 16 * e::INT AS mask
+  FROM d LEFT JOIN l ON l.doc_id = d.doc_id),
+f(f, b) AS (VALUES ('A', 1), ('B', 2), ('C', 4), ('D', 8), ('E', 16)),
+o AS (SELECT a.f || b.f || c.f || d.f || e.f AS filter_order FROM f a, f b, f c, f d, f e WHERE a.b + b.b + c.b + d.b + e.b = 31),
+s AS (SELECT filter_order, CAST(k AS INTEGER) AS step, f.b AS own, CAST(coalesce((SELECT sum(g.b) FROM f g WHERE instr(filter_order, g.f) < k), 0) AS INTEGER) AS before FROM o, (SELECT unnest(range(1, 6)) AS k), f WHERE f.f = substr(filter_order, k, 1)),
+q AS (SELECT part, mask, count(*) AS n, count(*) FILTER (good) AS g, count(*) FILTER (toxic) AS t FROM m GROUP BY ALL),
+r AS (SELECT part, filter_order, step, own,
+  CAST(coalesce(sum(n) FILTER (mask & (before + own) = 0), 0) AS BIGINT) AS kept,
+  CAST(coalesce(sum(n) FILTER (mask & before = 0 AND mask & own <> 0), 0) AS BIGINT) AS removed,
+  CAST(coalesce(sum(n) FILTER (mask & before <> 0 AND mask & own <> 0), 0) AS BIGINT) AS redundant,
+  CAST(coalesce(sum(n) FILTER (mask = own), 0) AS BIGINT) AS unique_fails,
+  CAST(coalesce(sum(g) FILTER (mask & before = 0 AND mask & own <> 0), 0) AS BIGINT) AS good_lost,
+  CAST(coalesce(sum(t) FILTER (mask & before = 0 AND mask & own <> 0), 0) AS BIGINT) AS toxic_lost
+  FROM q, s GROUP BY ALL)
+SELECT part, filter_order, step, kept, removed, redundant, unique_fails, good_lost, toxic_lost, CAST(sum(removed) OVER (PARTITION BY part, own) AS BIGINT) AS shapley FROM r
+"""
+
+#: Lines cut by two draws; the third and fourth draw choose the form.
+MIDDLES = r"""
+WITH d AS (SELECT doc_id, coalesce(text, '') AS text, regexp_extract_all(coalesce(text, ''), '[^\n]*\n|[^\n]+') AS u, sha256('7:' || doc_id) AS h FROM documents),
+g AS (SELECT *, len(u) AS n, CAST('0x' || substr(h, 1, 8) AS BIGINT) AS h1, CAST('0x' || substr(h, 9, 8) AS BIGINT) AS h2, CAST('0x' || substr(h, 17, 8) AS BIGINT) AS h3, CAST('0x' || substr(h, 25, 8) AS BIGINT) AS h4 FROM d),
+c AS (SELECT *, least(h1 % (n + 1), h2 % (n + 1)) AS a, greatest(h1 % (n + 1), h2 % (n + 1)) AS b, CASE WHEN text = '' OR contains(text, '<P>') OR contains(text, '<S>') OR contains(text, '<M>') OR h3 % 100 >= 100 THEN 'plain' WHEN h4 % 100 < 50 THEN 'spm' ELSE 'psm' END AS form FROM g),
+p AS (SELECT *, array_to_string(u[1:a], '') AS prefix, array_to_string(u[a + 1:b], '') AS middle, array_to_string(u[b + 1:], '') AS suffix FROM c)
+SELECT doc_id, CAST(n AS BIGINT) AS n, form, CASE WHEN form <> 'plain' THEN length(prefix) END AS prefix_chars, CASE WHEN form <> 'plain' THEN length(middle) END AS middle_chars,
+sha256(CASE form WHEN 'plain' THEN text WHEN 'psm' THEN '<P>' || prefix || '<S>' || suffix || '<M>' || middle ELSE '<S>' || suffix || '<P>' || prefix || '<M>' || middle END) AS output_sha256, sha256(text) AS restored_sha256 FROM p
+"""
+
+#: Sets of five-word shingles, all pairs that share one, and what links reach.
+SHINGLES = rf"""
+WITH RECURSIVE d AS (SELECT doc_id, {WORDS.replace("coalesce(text, '')", "translate(coalesce(text, ''), 'ABCDEFGHIJKLMNOPQRSTUVWXYZ', 'abcdefghijklmnopqrstuvwxyz')")} AS words FROM documents),
+s AS (SELECT doc_id, list_distinct(CASE WHEN len(words) = 0 THEN [] WHEN len(words) < 5 THEN [array_to_string(words, ' ')] ELSE list_transform(range(1, len(words) - 3), lambda i: array_to_string(words[i : i + 4], ' ')) END) AS shingles FROM d),
+e AS (SELECT doc_id, len(shingles) AS size, unnest(shingles) AS shingle FROM s),
+shared AS (SELECT a.doc_id AS a, b.doc_id AS b, any_value(a.size) AS m, any_value(b.size) AS n, count(*) AS k FROM e a JOIN e b ON a.shingle = b.shingle AND a.doc_id < b.doc_id GROUP BY 1, 2),
+links AS (SELECT a, b FROM shared WHERE 100 * k >= 85 * (m + n - k)),
+ways AS (SELECT a, b FROM links UNION ALL SELECT b, a FROM links),
+reach(doc_id, other) AS (SELECT doc_id, doc_id FROM documents UNION SELECT reach.doc_id, ways.b FROM reach JOIN ways ON ways.a = reach.other),
+least AS (SELECT doc_id, min(other) AS component_id FROM reach GROUP BY 1)
+SELECT s.doc_id, CAST(len(shingles) AS BIGINT) AS n_shingles, component_id, s.doc_id = component_id AS kept FROM s JOIN least ON least.doc_id = s.doc_id
+"""
+
+
 def oracle_sql() -> dict[str, str]:
-    return {name: " ".join(sql.split()) for name, sql in {"op5_repeats": REPEATS, "op6_quality_rules": quality_sql(), "op7_warc": ARCHIVES}.items()}
+    return {name: " ".join(sql.split()) for name, sql in {"op5_repeats": REPEATS, "op6_quality_rules": quality_sql(), "op7_warc": ARCHIVES, "op11_filter_audit": AUDIT, "op12_fill_in_middle": MIDDLES, "op13_minhash": SHINGLES}.items()}

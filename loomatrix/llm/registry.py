@@ -10,6 +10,9 @@ from pyspark.sql import functions as F
 from . import common
 from .chat import render, repair_roles
 from .decontaminate import contamination
+from .fill_in_middle import fill_in_middle, restored
+from .filter_audit import filter_audit
+from .minhash import minhash_components
 from .oracles import oracle_sql
 from .pii import find_personal_data
 from .quality_rules import quality_rules
@@ -92,6 +95,20 @@ def op10_word_bpe(spark: SparkSession, sf_dir: str) -> DataFrame:
     return encode_and_decode(_documents(spark, sf_dir), common.vocabulary_path(VOCABULARY))
 
 
+def op11_filter_audit(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return filter_audit(_documents(spark, sf_dir), common.table(spark, sf_dir, "labels"))
+
+
+def op12_fill_in_middle(spark: SparkSession, sf_dir: str) -> DataFrame:
+    done = fill_in_middle(_documents(spark, sf_dir))
+    text = restored(F.col("output"), F.col("form"))
+    return done.select("doc_id", "n", "form", "prefix_chars", "middle_chars", F.sha2("output", 256).alias("output_sha256"), F.sha2(text, 256).alias("restored_sha256"))
+
+
+def op13_minhash(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return minhash_components(_documents(spark, sf_dir))
+
+
 def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
     return {
         "op1_token_counts": op1_token_counts,
@@ -104,4 +121,7 @@ def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
         "op8_secret_scan": op8_secret_scan,
         "op9_simhash": op9_simhash,
         "op10_word_bpe": op10_word_bpe,
+        "op11_filter_audit": op11_filter_audit,
+        "op12_fill_in_middle": op12_fill_in_middle,
+        "op13_minhash": op13_minhash,
     }
