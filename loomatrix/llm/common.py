@@ -56,6 +56,14 @@ def raw_bytes(texts: pa.Array) -> tuple[np.ndarray, np.ndarray]:
     return data, bounds - bounds[0]
 
 
+def lower_ascii(texts: pa.Array) -> pa.Array:
+    """Large strings with A to Z in lower case, null as ''. (Arrow's own ascii_lower reads wrong
+    places in arrays whose first offset isn't 0, such as slices of a batch.)"""
+    data, bounds = raw_bytes(pc.fill_null(texts.cast(pa.large_string()), ""))
+    capital = (data >= ord("A")) & (data <= ord("Z"))
+    return pa.Array.from_buffers(pa.large_string(), len(texts), [None, pa.py_buffer(bounds), pa.py_buffer(np.where(capital, data | 32, data))])
+
+
 def unsigned(values: np.ndarray) -> np.ndarray:
     """64-bit hashes as the signed longs that Spark has."""
     return values.astype(np.uint64).view(np.int64)

@@ -36,7 +36,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql.pandas.types import to_arrow_type
 
-from .common import mixed, slices, unsigned, window_hashes, words_of, written
+from .common import lower_ascii, mixed, slices, unsigned, window_hashes, words_of, written
 from .simhash import _forest, components
 from .spans import hash_filter_for_tasks
 
@@ -53,7 +53,7 @@ def shingle_sets(texts: pa.Array, length: int) -> list[np.ndarray]:
     """For each text the sorted hashes of its distinct shingles; lower case for A to Z only."""
     import xxhash
 
-    codes, distinct, offsets = words_of(pc.ascii_lower(pc.fill_null(texts.cast(pa.large_string()), "")))
+    codes, distinct, offsets = words_of(lower_ascii(texts))
     hashes = np.array([xxhash.xxh64_intdigest(w.encode(), 42) for w in distinct], np.uint64)
     words = hashes[codes] if len(hashes) else np.zeros(0, np.uint64)
     windows = window_hashes(words, length, BASE)
