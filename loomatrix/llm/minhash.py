@@ -265,29 +265,28 @@ def minhash_components(docs: DataFrame, *, id_col: str = "doc_id", text_col: str
     sets = prints.where("size > 0").groupBy("node").agg(F.min("id").alias("first"), F.min("row").alias("row"), F.first("size").alias("size"), F.first("bands").alias("bands"), F.first("sketch").alias("sketch"))
     sets = written(sets)
 
-    # sets that share a bucket with others
-    placed = sets.select("node", F.explode("bands").alias("band"))
+    # sets that share a bucket with others; a hub stands above all that it is compared with
+    placed = sets.select("node", "size", F.explode("bands").alias("band"))
     shared = placed.groupBy("band").agg(F.count("*").alias("n")).where("n > 1")
     met = written(placed.join(shared, "band"))
     standing = met.groupBy("node").agg(F.sum("n").alias("standing"))
-    hubs = met.join(standing, "node").groupBy("band").agg(F.max(F.struct("standing", "node")).alias("hub"))
-    spokes = met.join(hubs, "band").select("node", F.col("hub.node").alias("hub")).where("node <> hub").groupBy("node", "hub").agg(F.count("*").alias("n"))
-    spokes = spokes.groupBy("node").agg(F.max(F.struct("n", "hub")).alias("h")).select("node", F.col("h.hub").alias("hub"))
-    sizes = sets.select("node", "size")
-    spokes = spokes.join(sizes, "node").join(sizes.select(F.col("node").alias("hub"), F.col("size").alias("hub_size")), "hub")
-    spokes = written(spokes.where(100 * F.least("size", "hub_size") >= similarity * F.greatest("size", "hub_size")).select("node", "hub"))
+    hubs = met.join(standing, "node").groupBy("band").agg(F.max(F.struct("standing", "node", "size")).alias("hub"))
+    spokes = met.join(hubs, "band").where("node <> hub.node").groupBy("node").agg(F.first("size").alias("size"), F.max("hub").alias("hub"))
+    spokes = spokes.where(100 * F.least("size", "hub.size") >= similarity * F.greatest("size", "hub.size")).select("node", F.col("hub.node").alias("hub"))
 
     # the full sets of all that may be linked, one row's text for each
     wanted = written(sets.select("node", "row").join(met.select("node").distinct(), "node", "left_semi"))
     full = base.mapInArrow(_wanted_sets(hash_filter_for_tasks(wanted, F.col("row")), length), "row bigint, node binary, shingles array<bigint>")
-    full = written(full.join(wanted, ["row", "node"], "left_semi").dropDuplicates(["node"]).select("node", "shingles"))
+    full = written(full.join(wanted, ["row", "node"], "left_semi").dropDuplicates(["row", "node"]).select("node", "shingles"))
     pairs = spokes.join(full, "node").join(full.select(F.col("node").alias("hub"), F.col("shingles").alias("hub_shingles")), "hub")
     both = F.size(F.array_intersect("shingles", "hub_shingles"))
     union = F.size("shingles") + F.size("hub_shingles") - both
     links = written(pairs.where(100 * both >= similarity * union).select(F.col("node").alias("a"), F.col("hub").alias("b")))
-    labels = components(links).withColumnRenamed("root", "label")
 
-    # what hubs left apart: by sketches within buckets, then by full sets within clusters
+    # what hubs left apart: by sketches within buckets, then by full sets within clusters; a set is known
+    # to be connected with its hub and the hub's hub, so they needn't be compared
+    above = links.select(F.col("a").alias("b"), F.col("b").alias("top"))
+    labels = links.join(above, "b", "left").select(F.col("a").alias("node"), F.coalesce("top", "b").alias("label"))
     known = sets.select("node", "size", "sketch").join(labels, "node", "left").withColumn("label", F.coalesce("label", "node"))
     apart = met.select("band", "node").join(known, "node")
     maybe = written(_cells(apart, "band").mapInArrow(_candidate_edges(similarity, bins), "a binary, b binary").distinct())
