@@ -29,7 +29,7 @@ import pyarrow as pa
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql.pandas.types import to_arrow_type
-from pyspark.sql.types import MapType
+from pyspark.sql.types import ArrayType, DataType, MapType, StructType, VariantType
 
 from .common import mixed, null_safe, slices, unsigned, unused, written
 
@@ -65,26 +65,33 @@ def fingerprint(text: str) -> int:
     return int(np.packbits(2 * votes > len(hashes), bitorder="little").view(np.uint64)[0])
 
 
-def _fingerprints(id_type: pa.DataType):
+def _fingerprints(id_type: pa.DataType, kept: list[str]):
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in slices(batches, "text"):
             found = np.array([fingerprint(t or "") for t in batch.column("text").to_pylist()], np.uint64)
-            yield pa.RecordBatch.from_arrays([batch.column("id").cast(id_type), batch.column("sig"), batch.column("row"), pa.array(unsigned(found))], ["id", "sig", "row", "fp"])
+            yield pa.RecordBatch.from_arrays([batch.column("id").cast(id_type), *[batch.column(c) for c in kept], pa.array(unsigned(found))], ["id", *kept, "fp"])
 
     return run
 
 
-def fingerprints(docs: DataFrame, *, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
-    """(id, sig, row, fp) for each row: hashes of the text and of the whole row, and the
-    fingerprint as a signed long."""
+def fingerprints(docs: DataFrame, *, id_col: str = "doc_id", text_col: str = "text", hashes: bool = False) -> DataFrame:
+    """(id, fp) for each row, fp being the fingerprint as a signed long; with `hashes` also sig and
+    row, hashes of the text and of the whole row."""
     kind = docs.schema[id_col].dataType
-    some = docs.select(docs[id_col].alias("id"), docs[text_col].alias("text"), F.xxhash64(docs[text_col]).alias("sig"), _row_hash(docs).alias("row"))
-    return some.mapInArrow(_fingerprints(to_arrow_type(kind)), f"id {kind.simpleString()}, sig bigint, row bigint, fp bigint")
+    more = {"sig": F.xxhash64(docs[text_col]), "row": _row_hash(docs)} if hashes else {}
+    some = docs.select(docs[id_col].alias("id"), docs[text_col].alias("text"), *[c.alias(n) for n, c in more.items()])
+    return some.mapInArrow(_fingerprints(to_arrow_type(kind), list(more)), ", ".join([f"id {kind.simpleString()}", *[f"{n} bigint" for n in more], "fp bigint"]))
+
+
+def _holds_map(kind: DataType) -> bool:
+    if isinstance(kind, StructType):
+        return any(_holds_map(f.dataType) for f in kind)
+    return isinstance(kind, MapType | VariantType) or (isinstance(kind, ArrayType) and _holds_map(kind.elementType))
 
 
 def _row_hash(docs: DataFrame) -> Column:
-    """Of all columns that can be hashed."""
-    return F.xxhash64(*[docs[f"`{f.name}`"] for f in docs.schema if not isinstance(f.dataType, MapType)])
+    """Of all columns; those that can't be hashed, for they hold a map somewhere, as JSON."""
+    return F.xxhash64(*[F.to_json(F.struct(docs[f"`{f.name}`"])) if _holds_map(f.dataType) else docs[f"`{f.name}`"] for f in docs.schema])
 
 
 def _forest(nodes: np.ndarray, left: np.ndarray, right: np.ndarray) -> np.ndarray:
@@ -214,22 +221,20 @@ def components(edges: DataFrame) -> DataFrame:
     labels = written(both.groupBy("a").agg(F.min("b").alias("m")).select(F.col("a").alias("node"), F.least("a", "m").alias("root")))
     while True:
         # the smallest label in each node's neighbourhood
-        seen = both.join(labels.select(F.col("node").alias("b"), "root"), "b").select(F.col("a").alias("node"), "root")
-        near = labels.union(seen).groupBy("node").agg(F.min("root").alias("low"))
-        step = labels.join(near, "node")
+        seen = both.join(labels.select(F.col("node").alias("b"), "root"), "b").select(F.col("a").alias("node"), F.col("root").alias("low"))
+        near = labels.select("node", F.col("root").alias("low"), F.col("root").alias("old")).unionByName(seen, allowMissingColumns=True).groupBy("node").agg(F.min("low").alias("low"), F.max("old").alias("old"))
         # the old label learns it too, then every node takes its label's label
-        hooks = step.select(F.col("root").alias("node"), "low").union(near).groupBy("node").agg(F.min("low").alias("low"))
+        hooks = near.select(F.col("old").alias("node"), "low").unionByName(near, allowMissingColumns=True).groupBy("node").agg(F.min("low").alias("low"), F.max("old").alias("old"))
         jumped = hooks.join(hooks.select(F.col("node").alias("low"), F.col("low").alias("lower")), "low", "left")
-        after = written(jumped.select("node", F.coalesce("lower", "low").alias("root")))
-        changed = after.join(labels.withColumnRenamed("root", "old"), "node").where("root <> old")
-        if changed.isEmpty():
-            return after
-        labels = after
+        after = written(jumped.select("node", F.coalesce("lower", "low").alias("root"), "old"))
+        labels = after.select("node", "root")
+        if after.where("root <> old").isEmpty():
+            return labels
 
 
-def _classes(docs: DataFrame, id_col: str, text_col: str, most: int) -> tuple[DataFrame, DataFrame]:
-    """(id, sig, row, fp) of each row, and (fp, first, root) of each fingerprint: its least id and its component."""
-    prints = written(fingerprints(docs, id_col=id_col, text_col=text_col))
+def _classes(docs: DataFrame, id_col: str, text_col: str, most: int, hashes: bool) -> tuple[DataFrame, DataFrame]:
+    """fingerprints() of each row, and (fp, first, root) of each fingerprint: its least id and its component."""
+    prints = written(fingerprints(docs, id_col=id_col, text_col=text_col, hashes=hashes))
     distinct = written(prints.groupBy("fp").agg(F.min("id").alias("first")))
     roots = components(linking_edges(distinct.select("fp"), most)).withColumnRenamed("node", "fp")
     return prints, distinct.join(roots, "fp", "left").withColumn("root", F.coalesce("root", "fp"))
@@ -244,7 +249,7 @@ def simhash_components(docs: DataFrame, *, id_col: str = "doc_id", text_col: str
     component with only null ids has a null component_id. Repeated rows each give a
     row. Other columns are ignored; an empty table gives an empty result.
     """
-    prints, classes = _classes(docs, id_col, text_col, most)
+    prints, classes = _classes(docs, id_col, text_col, most, False)
     smallest = classes.groupBy("root").agg(F.min("first").alias("component_id"))
     known = classes.join(smallest, "root").select("fp", "component_id")
     out = prints.join(known, "fp")
@@ -258,7 +263,7 @@ def keep_one(docs: DataFrame, *, id_col: str = "doc_id", text_col: str = "text",
     smallest hash of its text, then of the whole row; of rows equal in all that one stays.
     Null and empty texts are one component. An empty table gives an empty result.
     """
-    prints, classes = _classes(docs, id_col, text_col, most)
+    prints, classes = _classes(docs, id_col, text_col, most, True)
     names = [unused(f"__{c}", docs) for c in ("sig", "row")]
     keys = [id_col, *names]
     rows = prints.groupBy("id", "sig", "row", "fp").agg(F.count("*").alias("n")).join(classes.select("fp", "root"), "fp")
