@@ -14,7 +14,7 @@ from .fill_in_middle import fill_in_middle, restored
 from .filter_audit import filter_audit
 from .minhash import minhash_components
 from .oracles import oracle_sql
-from .pii import find_personal_data
+from .pii import find_personal_data, sanitised
 from .quality_rules import quality_rules
 from .repeats import remove_repeats
 from .secret_scan import scan_secrets
@@ -52,14 +52,15 @@ def op3_decontamination(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def op4_pii(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """Also the terms found: how many are generalised and removed, and their actions."""
-    # nearly all entities of a web corpus stand in one document, so one is enough, smoothed by half a document
-    found = find_personal_data(_documents(spark, sf_dir), min_docs=1, smoothing=0.5)
-    terms = lambda action: F.filter("found", lambda c: c["action"] == action)
+    """Also the terms found, how many are generalised and removed, and the sanitised text's hash."""
+    docs = _documents(spark, sf_dir)
+    found = common.written(find_personal_data(docs))
+    terms = lambda action: F.size(F.filter("found", lambda c: c["action"] == action)).cast("long")
     actions = F.array_join(F.transform(F.filter("found", lambda c: c["kind"] == "term"), lambda c: F.concat_ws(":", c["start"].cast("string"), c["end"].cast("string"), c["action"], c["class"])), ",")
-    return found.select(
+    clean = sanitised(docs, found).select("doc_id", "sig", F.sha2("text", 256).alias("clean_sha256"))
+    return common.null_safe(found, clean, ["doc_id", "sig"], "left").select(
         "doc_id", "n_email", "n_ip", "n_card", "n_phone", "base_sha256", _spans("found").alias("spans"),
-        F.size(terms("generalise")).cast("long").alias("n_generalised"), F.size(terms("remove")).cast("long").alias("n_removed"), actions.alias("actions"),
+        terms("generalise").alias("n_generalised"), terms("remove").alias("n_removed"), actions.alias("actions"), F.coalesce("clean_sha256", "text_sha256").alias("sanitised_sha256"),
     )
 
 

@@ -124,9 +124,9 @@ def role_repair_cost(roles: list) -> int:
 EDGES = ".,;:!?\"'()[]{}<>"
 
 
-def disclosing_terms(texts: dict, smoothing: float = 0.5, reach: int = 8, least: float = 0.5, remove: float = 0.9, bits: float = 4.0) -> dict:
+def disclosing_terms(texts: dict, z: float = 1.645, few: int = 3, reach: int = 8, least: float = 0.5, remove: float = 0.6, bits: float = 4.0) -> dict:
     """{key: [start:end:action]} of the words that reveal an entity, each text by itself."""
-    from math import log2
+    from math import log2, sqrt
 
     term = lambda w: t if len(t := w.strip(EDGES).lower()) >= 3 else ""
     both: Counter = Counter()
@@ -150,12 +150,30 @@ def disclosing_terms(texts: dict, smoothing: float = 0.5, reach: int = 8, least:
         holders.update(p[0] for p in found if not p[1])
     score: dict = {}
     for (entity, t), n in both.items():
-        p = n / (stands[t] + smoothing)
-        if p >= least and log2(p * len(texts) / holders[entity]) >= bits:
+        many = stands[t]
+        p = (n / many + z * z / 2 / many - z * sqrt(n / many * (1 - n / many) / many + z * z / 4 / many / many)) / (1 + z * z / many)
+        if n >= few and p >= least and log2(p * len(texts) / holders[entity]) >= bits:
             score[t] = max(score.get(t, 0), p)
     return {k: [f"{s}:{e}:{'remove' if score[t] >= remove else 'generalise'}" for s, e, t in some if t in score] for k, some in free.items()}
 
 
+def sanitised(text: str | None, base: list[str], actions: str) -> str:
+    """The text with its spans replaced, from the right; of overlapping ones the first counts, then the longest."""
+    cuts = [(int(s), int(e), f"[{k.upper()}]") for k, s, e in (x.split(":") for x in base)]
+    cuts += [(int(s), int(e), "" if a == "remove" else f"[{c.upper()}]") for s, e, a, c in (x.split(":") for x in actions.split(",") if x)]
+    out, taken = [], 0
+    for s, e, put in sorted(cuts, key=lambda c: (c[0], -c[1])):
+        if s >= taken:
+            out.append((s, e, put))
+        else:
+            out[-1] = (out[-1][0], max(e, out[-1][1]), out[-1][2])
+        taken = max(taken, e)
+    text = text or ""
+    for s, e, put in reversed(out):
+        text = text[:s] + put + text[e:]
+    return text
+
+
 def template(text: str, named: bool, units: frozenset, spelled: dict, no_names: frozenset) -> list[tuple]:
     """[(kind, value, word)] of a text's template words, by the rules of the docstring; word is the first one's number."""
     out: list = []

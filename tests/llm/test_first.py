@@ -72,7 +72,7 @@ def test_pii_terms(spark):
     rows += [(k, f"the engineer writes today and nothing else number{k}") for k in range(10, 60)]
     rows += [(99, "a zorblat was seen elsewhere")]
     df = spark.createDataFrame(rows, "doc_id bigint, text string")
-    found = pii.find_personal_data(df, min_bits=2.0)
+    found = pii.find_personal_data(df, min_bits=2.0, z=0.0, remove_posterior=0.9)
     terms = {r.doc_id: [df_text[c.start : c.end] for c in r.found if c.kind == "term"] for r in found.collect() for df_text in [dict(rows)[r.doc_id]]}
     assert terms[0] == ["zorblat", "from"] and terms[99] == ["zorblat"] and not terms[10]
     clean = spans.rewrite(df, pii.sanitising_cuts(found), id_col="doc_id", text_col="text")

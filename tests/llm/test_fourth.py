@@ -4,6 +4,7 @@ import hashlib
 import itertools
 import random
 import re
+import time
 
 import brute
 import numpy as np
@@ -12,7 +13,7 @@ import pyarrow.compute as pc
 import pytest
 from test_first import DOCS, HARD
 
-from loomatrix.llm import common, fill_in_middle, filter_audit, minhash, registry
+from loomatrix.llm import common, fill_in_middle, filter_audit, minhash, pii, registry, secret_scan, simhash
 
 SMALL = "/root/testdata/sf0.001"
 WORD = re.compile(r"[^\x20\x09-\x0D]+")
@@ -153,6 +154,43 @@ def test_op12_table(spark):
     assert len(got) == len(rows)
 
 
+# ---- 4: patterns in linear time, bounds
+
+
+def test_base_patterns_on_short_strings():
+    """Against the patterns themselves, on strings of the characters that matter."""
+    email, ip = re.compile(r"[A-Za-z0-9._%+-]+@[A-Za-z0-9-]+(\.[A-Za-z0-9-]+)+"), re.compile(r"[0-9]+(\.[0-9]+)(\.[0-9]+)(\.[0-9]+)")
+    for t in [*strings(11, 4000, "a@.-_ ", 24), *strings(12, 4000, "a@.b", 16), *strings(13, 3000, "12.0 ", 40), *strings(14, 500, "9.", 60)]:
+        assert pii.emails(t) == [m.span() for m in email.finditer(t)]
+        assert pii.addresses(t) == [m.span() for m in ip.finditer(t) if all(int(x) <= 255 for x in m[0].split("."))]
+    card, phone = re.compile(r"[0-9]([\x20-]?[0-9])+"), re.compile(r"\+[0-9][\x20().0-9-]+[0-9]")
+    for t in strings(15, 3000, "12 -+(.", 30):
+        assert [m.span() for m in pii.CARD.finditer(t)] == [m.span() for m in card.finditer(t)]
+        assert [m.span() for m in pii.PHONE.finditer(t)] == [m.span() for m in phone.finditer(t)]
+
+
+@pytest.mark.parametrize("scan", [pii.base_spans, secret_scan.candidates])
+@pytest.mark.parametrize("run", ["1", "a", "b-", "a.", "1.", "1.2.3.", "+1 ", "a@", "@", "a@b-", "password ", "token=", "f0", "AKIA", " ", "0"])
+def test_long_runs(scan, run):
+    """1 MB of one repeated piece, beside what starts the patterns, in seconds."""
+    text = "1.2 a@ +1 token: " + run * (1_000_000 // len(run)) + " a@b.c"
+    began = time.perf_counter()
+    scan(text)
+    assert time.perf_counter() - began < 10
+
+
+def test_bound_on_disclosure(spark):
+    """One document is a coincidence, five without an exception name the entity."""
+    rows = [(1, "please write to a.b@x.org about the zebrafish before noon"), *[(k, f"ask kermet for card 4111 1111 1111 1111 in room number{k}") for k in range(10, 15)], *[(k, f"see tolvok at 10.1.2.3 number{k} ok") for k in range(20, 23)]]
+    rows += [(k, f"some other words please about for the number{k} in a room see ask card before noon") for k in range(100, 300)]
+    df = spark.createDataFrame(rows, "doc_id bigint, text string")
+    found = pii.find_personal_data(df)
+    said = {r.doc_id: [(dict(rows)[r.doc_id][c.start : c.end], c.action) for c in r.found if c.kind == "term"] for r in found.collect()}
+    assert said[1] == [] and said[10] == [("kermet", "remove")] and said[20] == [("tolvok", "generalise")]
+    texts = {r.doc_id: r.text for r in pii.sanitised(df, found).collect()}
+    assert texts[10] == "ask  for card [CARD] in room number10" and texts[20] == "see [TERM] at [IP] number20 ok" and set(texts) == {1, *range(10, 15), *range(20, 23)}
+
+
 # ---- near duplicates
 
 
@@ -268,3 +306,12 @@ def test_op13_table(spark):
     assert sorted(map(tuple, registry.op13_minhash(spark, SMALL).collect())) == sorted(near(rows))
 
 
+
+
+def test_simhash_with_maps(spark):
+    """Columns that nest a map can't be hashed; the other columns go through, equal rows are one."""
+    df = spark.createDataFrame([(1, "a b c d e", [{"k": 1}], ({"x": 2},), {"z": 1}), (1, "a b c d e", [{"k": 2}], ({"x": 2},), {"z": 1}), (1, "a b c d e", [{"k": 1}], ({"x": 2},), {"z": 1}), (2, "quite another text here", None, None, None)], "doc_id bigint, text string, meta array<map<string,int>>, deep struct<m:map<string,int>>, flat map<string,int>")
+    got = simhash.simhash_components(df).collect()
+    assert sorted((r.doc_id, r.component_id) for r in got) == [(1, 1), (1, 1), (1, 1), (2, 2)]
+    kept = simhash.keep_one(df).collect()
+    assert sorted(r.doc_id for r in kept) == [1, 2] and kept[0].asDict().keys() == set(df.columns)
