@@ -35,6 +35,12 @@ BLOCK_BYTES = 16_000_000
 TEXTS_A_ROW = 512
 
 
+def plain_pieces(tokenizer) -> bool:
+    """Whether texts may be cut by pieces() and an id's bytes are its piece's, whatever stands beside it."""
+    decoder = json.loads(tokenizer.to_str()).get("decoder") or {}
+    return separable(tokenizer) and decoder.get("type") == "ByteLevel"
+
+
 def _pack(*arrays: np.ndarray, data: bytes = b"") -> tuple[int, bytes]:
     """(size, compressed) of arrays of 32-bit numbers and bytes."""
     raw = b"".join([struct.pack("<I", len(arrays)), *[struct.pack("<I", len(a)) for a in arrays], *[a.astype("<u4").tobytes() for a in arrays], data])
@@ -100,7 +106,7 @@ def _word_rows(path: str, buckets: int):
     import xxhash
 
     def run(batches):
-        whole = not separable(tokenizer_of(path))
+        whole = not plain_pieces(tokenizer_of(path))
         for block, _, _, words, _ in _blocks(batches, whole):
             data = [w.encode() for w in words]
             bucket = np.array([xxhash.xxh64_intdigest(w) % buckets for w in data], np.int64)
@@ -121,7 +127,7 @@ def _place_rows(path: str, id_type: pa.DataType):
     import xxhash
 
     def run(batches):
-        whole = not separable(tokenizer_of(path))
+        whole = not plain_pieces(tokenizer_of(path))
         for block, batch, codes, _, offsets in _blocks(batches, whole):
             ids = batch.column("id").cast(id_type)
             texts = batch.column("text")
@@ -149,10 +155,13 @@ def piece_table(path: str) -> list[bytes]:
 
 
 def _encode_words(path: str):
-    """For each list of words their ids; rows come bucket by bucket."""
+    """For each list of words their ids, and where these don't give the words back the words' hashes; rows
+    come bucket by bucket."""
+    import xxhash
 
     def run(batches):
         tokenizer = tokenizer_of(path)
+        plain = plain_pieces(tokenizer)
         bucket, known = None, {}
         for batch in batches:
             for row in batch.to_pylist():
@@ -166,7 +175,8 @@ def _encode_words(path: str):
                     for word, got in zip(some, tokenizer.encode_batch_fast([w.decode() for w in some], add_special_tokens=False), strict=True):
                         known[word] = got.ids
                 found = [known[w] for w in words]
-                size, blob = _pack(steps, np.array([len(x) for x in found]), np.array([i for x in found for i in x]))
+                hashes = np.array([] if plain else [xxhash.xxh64_intdigest(w) >> 1 for w in words], np.uint64)
+                size, blob = _pack(steps, np.array([len(x) for x in found]), np.array([i for x in found for i in x]), hashes.view("<u4"))
                 yield pa.RecordBatch.from_arrays([pa.array([row["block"]], pa.int64()), pa.array([size], pa.int32()), pa.array([blob], pa.binary())], ["block", "size", "coded"])
 
     return run
@@ -176,16 +186,23 @@ def _assemble(path: str, names: list[str], kinds: list[pa.DataType], with_ids: b
     import xxhash
 
     def run(places: pa.Table, coded: pa.Table) -> pa.Table:
-        table = piece_table(path)
-        numbers, said, sizes, decoded, lists = [], [], [], [], []
+        tokenizer = tokenizer_of(path)
+        plain = plain_pieces(tokenizer)
+        table = piece_table(path) if plain else None
+        numbers, said, sizes, decoded, lists, hashes = [], [], [], [], [], []
         for size, blob in zip(coded.column("size").to_pylist(), coded.column("coded").to_pylist(), strict=True):
-            (steps, counts, ids), _ = _unpack(size, blob)
+            (steps, counts, ids, hashed), _ = _unpack(size, blob)
             numbers.append(np.cumsum(steps.astype(np.int64)))
             sizes.append(counts)
-            shown, joined = [str(i) for i in ids.tolist()], [table[i] for i in ids.tolist()]
+            shown = [str(i) for i in ids.tolist()]
             ends = np.cumsum(counts.astype(np.int64)).tolist()
             starts = [0, *ends[:-1]] if ends else []
-            decoded += [b"".join(joined[a:b]) for a, b in zip(starts, ends, strict=True)]
+            if plain:
+                joined = [table[i] for i in ids.tolist()]
+                decoded += [b"".join(joined[a:b]) for a, b in zip(starts, ends, strict=True)]
+            else:  # each text is one word
+                decoded += [tokenizer.decode(ids[a:b].tolist(), skip_special_tokens=False).encode() for a, b in zip(starts, ends, strict=True)]
+                hashes.append(hashed.copy().view(np.uint64))
             said += [",".join(shown[a:b]) for a, b in zip(starts, ends, strict=True)]
             if with_ids:
                 lists += [ids[a:b] for a, b in zip(starts, ends, strict=True)]
@@ -197,6 +214,9 @@ def _assemble(path: str, names: list[str], kinds: list[pa.DataType], with_ids: b
         said_at[at], decoded_at[at] = said, decoded
         for k, x in zip(at.tolist(), lists, strict=False):
             list_at[k] = x
+        hash_at = np.zeros(n, np.uint64)
+        if not plain:
+            hash_at[at] = np.concatenate(hashes) if hashes else 0
         out = [[] for _ in names]
         for ids, checks, size, blob in zip(*[places.column(c).to_pylist() for c in ("ids", "checks", "size", "places")], strict=True):
             (lengths,), data = _unpack(size, blob)
@@ -206,8 +226,8 @@ def _assemble(path: str, names: list[str], kinds: list[pa.DataType], with_ids: b
                 mine = codes[start : start + length]
                 start += length
                 text = b"".join(decoded_at[mine].tolist())
-                if xxhash.xxh64_intdigest(text) >> 1 != check:
-                    raise ValueError("positions and words don't belong together: the input changed between its two readings")
+                if (xxhash.xxh64_intdigest(text) >> 1 if plain else int(hash_at[mine[0]])) != check:
+                    raise ValueError("positions and words don't belong together: the input changed between its readings")
                 row = [doc, int(count[mine].sum()), hashlib.sha256(",".join(said_at[mine].tolist()).encode()).hexdigest(), hashlib.sha256(text).hexdigest()]
                 if with_ids:
                     row += [np.concatenate(list_at[mine].tolist()).astype(np.int32) if length else [], text.decode()]
@@ -226,9 +246,10 @@ def encode_and_decode(docs: DataFrame, tokenizer_path: str, *, id_col: str = "do
     a text are its default. ids_sha256 is of the decimal ids joined by commas,
     decoded_sha256 of the text that the ids decode to. A null text is empty and has no
     ids. Repeated rows, and rows of one id, each give a row; null ids stay null; other
-    columns are ignored; an empty table gives an empty result. Texts are read twice; a
-    task fails rather than join words and positions of different readings. Tokenizers
-    that aren't plain byte-level BPE get each distinct text as one word.
+    columns are ignored; an empty table gives an empty result. Texts are read three times,
+    for their size, words and positions; a task fails rather than join words and positions
+    of different readings. Tokenizers that aren't plain byte-level BPE get each distinct
+    text as one word and decode it whole, as the library does.
     """
     kind = docs.schema[id_col].dataType
     arrow, sql = to_arrow_type(kind), kind.simpleString()

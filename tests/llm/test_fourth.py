@@ -2,6 +2,8 @@
 
 import hashlib
 import itertools
+import json
+import pathlib
 import random
 import re
 import time
@@ -12,8 +14,9 @@ import pyarrow as pa
 import pyarrow.compute as pc
 import pytest
 from test_first import DOCS, HARD
+from tokenizers import Tokenizer
 
-from loomatrix.llm import common, fill_in_middle, filter_audit, minhash, pii, registry, secret_scan, simhash
+from loomatrix.llm import common, fill_in_middle, filter_audit, minhash, pii, registry, secret_scan, simhash, word_bpe
 
 SMALL = "/root/testdata/sf0.001"
 WORD = re.compile(r"[^\x20\x09-\x0D]+")
@@ -315,3 +318,33 @@ def test_simhash_with_maps(spark):
     assert sorted((r.doc_id, r.component_id) for r in got) == [(1, 1), (1, 1), (1, 1), (2, 2)]
     kept = simhash.keep_one(df).collect()
     assert sorted(r.doc_id for r in kept) == [1, 2] and kept[0].asDict().keys() == set(df.columns)
+
+
+# ---- 10: other tokenizers
+
+
+@pytest.mark.parametrize("change", ["prefix space", "lower case", "no byte decoder", "metaspace", "as it is"])
+def test_word_bpe_of_other_tokenizers(spark, tmp_path, change):
+    """Encoding and decoding are the library's, also where decoding doesn't give the text back."""
+    said = json.loads(pathlib.Path(common.vocabulary_path(registry.VOCABULARY)).read_text())
+    if change == "prefix space":
+        said["pre_tokenizer"]["add_prefix_space"] = True
+    elif change == "lower case":
+        said["normalizer"] = {"type": "Lowercase"}
+    elif change == "no byte decoder":
+        said["decoder"] = None
+    elif change == "metaspace":
+        said["pre_tokenizer"] = {"type": "Metaspace", "replacement": "Ġ", "prepend_scheme": "always", "split": True}
+        said["decoder"] = {"type": "Metaspace", "replacement": "Ġ", "prepend_scheme": "always", "split": True}
+    path = str(tmp_path / "t.json")
+    pathlib.Path(path).write_text(json.dumps(said))
+    plain = Tokenizer.from_file(path)
+    rows = [(k, t) for k, t in enumerate([*HARD, "It's  A Café\n\nwith SOME words", " leading", "trailing "])]
+    rows += [(3, rows[3][1]), (None, "null id text")]
+    got = word_bpe.encode_and_decode(spark.createDataFrame(rows, "doc_id bigint, text string").repartition(3), path, with_ids=True).collect()
+    want = []
+    for k, t in rows:
+        ids = plain.encode(t or "", add_special_tokens=False).ids
+        text = plain.decode(ids, skip_special_tokens=False)
+        want.append((k, len(ids), brute.sha(",".join(map(str, ids))), brute.sha(text), ids, text))
+    assert sorted(map(tuple, got), key=str) == sorted(want, key=str)
