@@ -13,7 +13,7 @@ from ..plans.tables import written
 from .partition import deal_parts
 from .precision import BUCKETS, partition_precisions, spmv_adaptive
 from .scale import dropout, equilibrate
-from .sell import from_sell, pack_rows, spmmv_sell, spmv_sell, to_sell, unpack_rows
+from .sell import from_sell, spmmv_sell, spmv_sell, to_sell
 from .spmv import CASTS, spmmv_rowwise, spmv
 
 
@@ -43,12 +43,9 @@ def _chunked(config: SpmvConfig) -> bool:
 
 
 def _laid_out(a: SparseMatrix, config: SpmvConfig) -> SparseMatrix:
-    """The entries as they come out of the configured format."""
-    if _chunked(config):
-        return from_sell(to_sell(a, config.chunk, config.sigma))
-    if config.format in ("crs", "csr", "scs"):
-        return unpack_rows(pack_rows(a), a.n_rows, a.n_cols)
-    return a
+    """The entries as they come out of the configured format. Compressed rows are what a product's
+    sums group by, so entries aren't packed for one; stored.store() keeps them packed for many."""
+    return from_sell(to_sell(a, config.chunk, config.sigma)) if _chunked(config) else a
 
 
 def execute(a: SparseMatrix, config: SpmvConfig, x: Vector | None = None) -> DataFrame:

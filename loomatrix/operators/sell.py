@@ -20,6 +20,8 @@ from .spmv import CASTS
 
 #: Blocks of more rows are ranked in two steps instead of one window.
 ONE_WINDOW_ROWS = 1 << 16
+#: Elements of one array of a packed chunk, and its lanes, at most.
+TILE, TILE_LANES = 1 << 16, 1 << 10
 
 
 def row_lengths(a: SparseMatrix, padded_to: int = 1) -> DataFrame:
@@ -35,43 +37,68 @@ def row_pointers(a: SparseMatrix) -> DataFrame:
     return running_sum(more, "i", F.col("n"), a.n_rows + 1, "ptr").select("i", F.col("ptr").cast("long").alias("ptr"))
 
 
-def row_permutation(a: SparseMatrix, chunk: int, sigma: int) -> DataFrame:
-    """(i_old, i_new, n): rows by falling length in each block of sigma rows, ties by row."""
-    rows = row_lengths(a, chunk).withColumn("block", F.expr(f"i div {sigma}"))
+def row_permutation(a: SparseMatrix, chunk: int, sigma: int, keys: list[str] | None = None, buckets: tuple[str, ...] = ()) -> DataFrame:
+    """(i_old, i_new, n): rows by falling length in each block of sigma rows, ties by row; with keys,
+    a permutation for each of their values, which `buckets` lists."""
+    keys = keys or []
+    rows = row_lengths(a, chunk) if not keys else _keyed_lengths(a, chunk, keys[0], buckets)
+    rows = rows.withColumn("block", F.expr(f"i div {sigma}"))
     if sigma <= ONE_WINDOW_ROWS:
-        rank = F.row_number().over(Window.partitionBy("block").orderBy(F.desc("n"), "i")) - 1
+        rank = F.row_number().over(Window.partitionBy(*keys, "block").orderBy(F.desc("n"), "i")) - 1
         rows = rows.withColumn("rank", rank)
     else:
         # rows of equal length are ranked by row, after the number of longer rows in the block
-        same = ranked(rows, ["block", "n"], ["i"], F.expr(f"i div {bucket_width(a.n_rows)}"), "among")
-        longer = rows.groupBy("block", "n").agg(F.count("*").alias("c"))
-        longer = longer.withColumn("ahead", F.coalesce(F.sum("c").over(Window.partitionBy("block").orderBy(F.desc("n")).rowsBetween(Window.unboundedPreceding, -1)), F.lit(0))).drop("c")
-        rows = same.join(longer, ["block", "n"]).withColumn("rank", F.col("ahead") + F.col("among"))
-    return rows.select(F.col("i").alias("i_old"), (F.col("block") * sigma + F.col("rank")).cast("long").alias("i_new"), "n")
+        same = ranked(rows, [*keys, "block", "n"], ["i"], F.expr(f"i div {bucket_width(a.n_rows)}"), "among")
+        longer = rows.groupBy(*keys, "block", "n").agg(F.count("*").alias("c"))
+        longer = longer.withColumn("ahead", F.coalesce(F.sum("c").over(Window.partitionBy(*keys, "block").orderBy(F.desc("n")).rowsBetween(Window.unboundedPreceding, -1)), F.lit(0))).drop("c")
+        rows = same.join(longer, [*keys, "block", "n"]).withColumn("rank", F.col("ahead") + F.col("among"))
+    return rows.select(*keys, F.col("i").alias("i_old"), (F.col("block") * sigma + F.col("rank")).cast("long").alias("i_new"), "n")
 
 
-def chunk_table(perm: DataFrame, chunk: int, n_rows: int) -> DataFrame:
+def _keyed_lengths(a: SparseMatrix, padded_to: int, key: str, values: tuple[str, ...]) -> DataFrame:
+    """(key, i, n) for all rows and all values of the key."""
+    n = -(-a.n_rows // padded_to) * padded_to
+    zeros = a.spark.range(n).select(F.explode(F.array(*map(F.lit, values))).alias(key), F.col("id").alias("i"), F.lit(0).cast("long").alias("n"))
+    return a.entries.groupBy(key, "i").agg(F.count("*").alias("n")).unionByName(zeros).groupBy(key, "i").agg(F.sum("n").alias("n"))
+
+
+def chunk_table(perm: DataFrame, chunk: int, n_rows: int, keys: list[str] | None = None) -> DataFrame:
     """(c, len, ptr): each chunk's width and the place of its first element."""
-    lens = perm.groupBy(F.expr(f"i_new div {chunk}").alias("c")).agg(F.max("n").alias("len"))
-    return running_sum(lens, "c", F.col("len") * chunk, -(-n_rows // chunk), "ptr").select("c", "len", F.col("ptr").cast("long").alias("ptr"))
+    keys = keys or []
+    lens = perm.groupBy(*keys, F.expr(f"i_new div {chunk}").alias("c")).agg(F.max("n").alias("len"))
+    return running_sum(lens, "c", F.col("len") * chunk, -(-n_rows // chunk), "ptr", tuple(keys)).select(*keys, "c", "len", F.col("ptr").cast("long").alias("ptr"))
 
 
 @dataclass(frozen=True)
 class SellMatrix:
-    """perm (i_old, i_new, n), chunks (c, len, ptr), elems (idx, c, k, lane, j, v) without padding."""
+    """cells (i, c, k, lane, j, v): entries in chunk c at place k of their row, whose number was i before
+    rows moved; perm (i_old, i_new, n) and chunks (c, len, ptr) for those who need them. A matrix of
+    several precisions has a layout for each bucket in one table, with their names in `prec`."""
 
     perm: DataFrame
     chunks: DataFrame
-    elems: DataFrame
+    cells: DataFrame
     n_rows: int
     n_cols: int
     chunk: int
     sigma: int
+    buckets: tuple[str, ...] = ()
 
     @property
     def n_padded(self) -> int:
         return -(-self.n_rows // self.chunk) * self.chunk
 
+    @property
+    def elems(self) -> DataFrame:
+        """(idx, c, k, lane, j, v): each element's place in the padded arrays."""
+        keys = self.key_columns
+        at = F.col("ptr") + F.col("k") * self.chunk + F.col("lane")
+        return self.cells.join(self.chunks.select(*keys, "c", "ptr"), [*keys, "c"]).select(*keys, at.alias("idx"), "c", "k", "lane", "j", "v")
+
+    @property
+    def key_columns(self) -> list[str]:
+        return ["prec"] if self.buckets else []
+
     def metrics(self) -> DataFrame:
         """One row: n_chunks, n_elements with padding, nnz, beta, fill_in_percent, bytes."""
         sizes = self.chunks.agg(F.count("*").alias("n_chunks"), (F.sum("len") * self.chunk).cast("long").alias("n_elements"))
@@ -82,69 +109,85 @@ class SellMatrix:
         return both.select("n_chunks", "n_elements", "nnz", beta.alias("beta"), fill.alias("fill_in_percent"))
 
 
+def _cells(a: SparseMatrix, chunk: int, sigma: int, perm: DataFrame | None, keys: list[str], buckets: tuple[str, ...] = ()) -> DataFrame:
+    """Entries with their chunk, lane and place in the row; they move once.
+
+    What their place depends on is settled on the counts of (row, near columns): the
+    counts before in the row, and the row's rank in its block of sigma rows, for which
+    rows without entries don't matter, since they come last.
+    """
+    coarse = F.expr(f"seq div {1 << 16}") if "seq" in a.entries.columns else F.expr(f"j div {bucket_width(a.n_cols)}")
+    entries = a.entries.withColumn("__c", coarse)
+    counts = entries.groupBy(*keys, "i", "__c").agg(F.count("*").alias("__t"))
+    if perm is None and sigma <= ONE_WINDOW_ROWS:
+        counts = counts.withColumn("__b", F.expr(f"i div {sigma}"))
+        group = [*keys, "__b", "i"]  # rows of one block in one place, for both windows
+        counts = counts.repartition(*keys, "__b")
+    else:
+        group = [*keys, "i"]
+    row = Window.partitionBy(*group)
+    counts = counts.withColumn("__o", F.coalesce(F.sum("__t").over(row.orderBy("__c").rowsBetween(Window.unboundedPreceding, -1)), F.lit(0)))
+    if perm is None and sigma <= ONE_WINDOW_ROWS:
+        counts = counts.withColumn("__n", F.sum("__t").over(row))
+        rank = F.dense_rank().over(Window.partitionBy(*keys, "__b").orderBy(F.desc("__n"), "i")) - 1
+        counts = counts.withColumn("i_new", F.col("__b") * sigma + rank)
+    else:
+        if perm is None:
+            perm = row_permutation(a, chunk, sigma, keys, buckets)
+        counts = counts.join(perm.select(*keys, F.col("i_old").alias("i"), "i_new"), [*keys, "i"])
+    fine = Window.partitionBy(*keys, "i", "__c").orderBy(*a.order)
+    placed = entries.withColumn("__r", F.row_number().over(fine) - 1).join(counts.select(*keys, "i", "__c", "__o", "i_new"), [*keys, "i", "__c"])
+    return placed.select(*keys, "i", F.expr(f"i_new div {chunk}").alias("c"), (F.col("__o") + F.col("__r")).cast("long").alias("k"), F.expr(f"i_new % {chunk}").alias("lane"), "j", "v")
+
+
 def to_sell(a: SparseMatrix, chunk: int, sigma: int, perm: DataFrame | None = None) -> SellMatrix:
     """Converts entries to SELL-C-sigma; with perm (i_old, i_new) rows follow that instead of sorting."""
+    cells = _cells(a, chunk, sigma, perm, [])
     if perm is None:
         perm = row_permutation(a, chunk, sigma)
     elif "n" not in perm.columns:
         perm = row_lengths(a, chunk).withColumnRenamed("i", "i_old").join(perm, "i_old")
-    chunks = chunk_table(perm, chunk, a.n_rows)
-    coarse = F.expr(f"seq div {1 << 16}") if "seq" in a.entries.columns else F.expr(f"j div {bucket_width(a.n_cols)}")
-    # rows know their chunk and its place before they meet the entries, which move once for it
-    rows = perm.select(F.col("i_old").alias("i"), F.expr(f"i_new div {chunk}").alias("c"), F.expr(f"i_new % {chunk}").alias("lane")).join(chunks.select("c", "ptr"), "c")
-    placed = ranked(a.entries, ["i"], a.order, coarse, "k").join(rows, "i")
-    elems = placed.select((F.col("ptr") + F.col("k") * chunk + F.col("lane")).alias("idx"), "c", "k", "lane", "j", "v")
-    return SellMatrix(perm, chunks, elems, a.n_rows, a.n_cols, chunk, sigma)
+    return SellMatrix(perm, chunk_table(perm, chunk, a.n_rows), cells, a.n_rows, a.n_cols, chunk, sigma)
 
 
 def from_sell(m: SellMatrix) -> SparseMatrix:
     """Back to entries: padding rows have none, rows are un-permuted; seq is the place in the row."""
-    rows = m.elems.withColumn("i_new", F.col("c") * m.chunk + F.col("lane")).join(m.perm.select("i_old", "i_new"), "i_new")
-    return SparseMatrix(rows.select(F.col("k").alias("seq"), F.col("i_old").alias("i"), "j", "v"), m.n_rows, m.n_cols)
-
-
-def _unpermuted(sums: DataFrame, m: SellMatrix, *columns: str) -> DataFrame:
-    """Sums by new row, in the old row order and without padding rows."""
-    return sums.join(m.perm.select("i_old", "i_new"), "i_new").where(F.col("i_old") < m.n_rows).select(F.col("i_old").alias("i"), *columns)
+    return SparseMatrix(m.cells.select(F.col("k").alias("seq"), "i", "j", "v"), m.n_rows, m.n_cols)
 
 
 def spmv_sell(m: SellMatrix, x: Vector, precision: str = "dp") -> DataFrame:
     """A x from the chunk layout: (i, y). sp and hp round the elements and the vector; sums are in double."""
     cast = CASTS[precision]
-    products = meet(m.elems, x).select((F.col("c") * m.chunk + F.col("lane")).alias("i_new"), (cast(F.col("v")) * cast(F.col("x"))).alias("y"))
-    return _unpermuted(over_domain(products, m.n_padded, "i_new", ["y"]), m, "y")
+    products = meet(m.cells, x).select("i", (cast(F.col("v")) * cast(F.col("x"))).alias("y"))
+    return over_domain(products, m.n_rows, "i", ["y"])
 
 
 def spmmv_sell(m: SellMatrix, xs: DataFrame, width: int, precision: str = "dp") -> DataFrame:
     """A X from the chunk layout with X as (i, xs array): (i, ys). Each element meets its row of X once."""
     cast, names = CASTS[precision], [f"y{k}" for k in range(width)]
-    met = m.elems.join(xs.select(F.col("i").alias("j"), "xs"), "j")
-    products = met.select((F.col("c") * m.chunk + F.col("lane")).alias("i_new"), *[(cast(F.col("v")) * cast(F.get("xs", F.lit(k)))).alias(n) for k, n in enumerate(names)])
-    return _unpermuted(over_domain(products, m.n_padded, "i_new", names), m, F.array(*names).alias("ys"))
+    met = m.cells.join(xs.select(F.col("i").alias("j"), "xs"), "j")
+    products = met.select("i", *[(cast(F.col("v")) * cast(F.get("xs", F.lit(k)))).alias(n) for k, n in enumerate(names)])
+    return over_domain(products, m.n_rows, "i", names).select("i", F.array(*names).alias("ys"))
 
 
-def precision_chunks(a: SparseMatrix, split: DataFrame, mode: str, chunk: int, sigma: int) -> dict[str, SellMatrix]:
-    """A chunk layout for each bucket of entries (with their bucket in `prec`), each sorted by its own row lengths."""
-    bucket = lambda name: a.with_entries(split.where(F.col("prec") == name).drop("prec"))
-    return {name: to_sell(bucket(name), chunk, sigma) for name in BUCKETS[mode]}
+def precision_chunks(a: SparseMatrix, split: DataFrame, mode: str, chunk: int, sigma: int) -> SellMatrix:
+    """Chunk layouts of all buckets of entries (with their bucket in `prec`), each sorted by its own
+    row lengths, in one pass: the bucket is part of every key."""
+    b = a.with_entries(split)
+    perm = row_permutation(b, chunk, sigma, ["prec"], BUCKETS[mode])
+    return SellMatrix(perm, chunk_table(perm, chunk, a.n_rows, ["prec"]), _cells(b, chunk, sigma, None, ["prec"], BUCKETS[mode]), a.n_rows, a.n_cols, chunk, sigma, BUCKETS[mode])
 
 
-def spmv_sell_adaptive(layouts: dict[str, SellMatrix], x: Vector, x_precision: str = "highest") -> DataFrame:
+def spmv_sell_adaptive(m: SellMatrix, x: Vector, x_precision: str = "highest") -> DataFrame:
     """(i, y, and y_<bucket> for each bucket): every bucket from its own layout, in its own precision.
 
     x_precision is as in spmv_adaptive: all buckets multiply by x in the highest one's
     precision, or each in its own.
     """
-    names, parts = list(layouts), []
-    for name, m in layouts.items():
-        mine, theirs = STORED[name], STORED[names[0] if x_precision == "highest" else name]
-        products = meet(m.elems, x).select((F.col("c") * m.chunk + F.col("lane")).alias("i_new"), (mine(F.col("v")) * theirs(F.col("x"))).alias("y"))
-        sums = products.groupBy("i_new").agg(F.sum("y").alias("y"))
-        parts.append(_unpermuted(sums, m, *[F.col("y").alias(f"y_{n}") if n == name else F.lit(0.0).alias(f"y_{n}") for n in names]))
-    every = parts[0]
-    for part in parts[1:]:
-        every = every.unionByName(part)
-    summed = over_domain(every, layouts[names[0]].n_rows, "i", [f"y_{n}" for n in names])
+    names = m.buckets
+    term = lambda name: STORED[name](F.col("v")) * STORED[names[0] if x_precision == "highest" else name](F.col("x"))
+    products = meet(m.cells, x).select("i", *[F.when(F.col("prec") == name, term(name)).otherwise(0.0).alias(f"y_{name}") for name in names])
+    summed = over_domain(products, m.n_rows, "i", [f"y_{n}" for n in names])
     total = sum((F.col(f"y_{n}") for n in names[1:]), F.col(f"y_{names[0]}"))
     return summed.select("i", (STORED["sp"](total) if names[0] == "sp" else total).alias("y"), *[f"y_{n}" for n in names])
 
@@ -165,30 +208,53 @@ def unpack_rows(packed: DataFrame, n_rows: int, n_cols: int) -> SparseMatrix:
     return SparseMatrix(each.select((F.col("segment") * F.lit(1 << 32) + F.col("at")).alias("seq"), "i", F.col("e.cols").alias("j"), F.col("e.vals").alias("v")), n_rows, n_cols)
 
 
+def spmv_rows(packed: DataFrame, n_rows: int, x: Vector) -> DataFrame:
+    """A x from compressed rows: (i, y). A vector given as an expression is met inside the arrays."""
+    if callable(x) and not isinstance(x, DataFrame):
+        terms = F.zip_with("cols", "vals", lambda j, v: v * x(j))
+        products = packed.select("i", F.aggregate(terms, F.lit(0.0), lambda a, t: a + t).alias("y"))
+    else:
+        each = packed.select("i", F.explode(F.arrays_zip("cols", "vals")).alias("e")).select("i", F.col("e.cols").alias("j"), F.col("e.vals").alias("v"))
+        products = meet(each, x).select("i", (F.col("v") * F.col("x")).alias("y"))
+    return over_domain(products, n_rows, "i", ["y"])
+
+
 def pack_chunks(m: SellMatrix) -> DataFrame:
-    """(c, len, ptr, cols, vals): the chunks' arrays with padding (column 0, value 0).
+    """The chunks' arrays with padding (column 0, value 0), in tiles: (c, part, segment, len, ptr, wide, tall, cols, vals).
 
-    Elements in order of place, each after as many paddings as lie before it, then the rest.
+    A tile has `wide` lanes and `tall` places of them, column by column, TILE elements at
+    most: neither a chunk of very many rows nor one with a very long row has to stand in
+    one array. Tiles without elements, of chunks of any length, aren't there.
     """
-    place = F.struct((F.col("k") * m.chunk + F.col("lane")).alias("p"), "j", "v")
-    some = m.elems.groupBy("c").agg(F.array_sort(F.collect_list(place)).alias("s"))
-    joined = m.chunks.join(some, "c", "left").withColumn("size", F.col("len") * m.chunk)
+    lanes, places = min(m.chunk, TILE_LANES), max(1, TILE // min(m.chunk, TILE_LANES))
+    wide = F.least(F.lit(lanes), m.chunk - F.col("part") * lanes)
+    cells = m.cells.withColumn("part", F.expr(f"lane div {lanes}")).withColumn("segment", F.expr(f"k div {places}"))
+    place = F.struct(((F.col("k") % places) * wide + F.col("lane") % lanes).alias("p"), "j", "v")
+    some = cells.groupBy("c", "part", "segment").agg(F.array_sort(F.collect_list(place)).alias("s"))  # TILE elements at most
+    joined = m.chunks.join(some, "c").withColumn("wide", wide).withColumn("tall", F.least(F.lit(places), F.col("len") - F.col("segment") * places))
     before = lambda k: F.coalesce(F.get("s", k - 1)["p"], F.lit(-1))
-    last = F.coalesce(F.element_at("s", -1)["p"], F.lit(-1))
 
     def padded(field: str, zero):
         filled = F.flatten(F.transform("s", lambda e, k: F.concat(F.array_repeat(zero, (e["p"] - before(k) - 1).cast("int")), F.array(e[field]))))
-        rest = F.array_repeat(zero, (F.col("size") - last - 1).cast("int"))
-        return F.when(F.col("s").isNull(), F.array_repeat(zero, F.col("size").cast("int"))).otherwise(F.concat(filled, rest))
+        rest = F.array_repeat(zero, (F.col("wide") * F.col("tall") - F.element_at("s", -1)["p"] - 1).cast("int"))
+        return F.concat(filled, rest)
+
+    return joined.select("c", "part", "segment", "len", "ptr", "wide", "tall", padded("j", F.lit(0).cast("long")).alias("cols"), padded("v", F.lit(0.0)).alias("vals"))
+
 
-    return joined.select("c", "len", "ptr", padded("j", F.lit(0).cast("long")).alias("cols"), padded("v", F.lit(0.0)).alias("vals"))
+def unpack_chunks(tiles: DataFrame, chunk: int, *kept: str) -> DataFrame:
+    """(c, k, lane, j, v, and the kept columns) of all elements of tiles, padding included, by position."""
+    lanes, places = min(chunk, TILE_LANES), max(1, TILE // min(chunk, TILE_LANES))
+    each = tiles.select("c", "part", "segment", "wide", *kept, F.posexplode(F.arrays_zip("cols", "vals")).alias("p", "e"))
+    k, lane = F.col("segment") * places + F.expr("p div wide"), F.col("part") * lanes + F.expr("p % wide")
+    return each.select("c", k.alias("k"), lane.alias("lane"), F.col("e.cols").alias("j"), F.col("e.vals").alias("v"), *kept)
 
 
 def spmv_packed(packed: DataFrame, m: SellMatrix, x: Vector) -> DataFrame:
     """A x from packed chunks: elements come out of the arrays by position, padding included."""
-    each = packed.select("c", F.posexplode(F.arrays_zip("cols", "vals")).alias("p", "e"))
-    elems = each.select("c", F.expr(f"p div {m.chunk}").alias("k"), F.expr(f"p % {m.chunk}").cast("long").alias("lane"), F.col("e.cols").alias("j"), F.col("e.vals").alias("v"), F.col("p").alias("idx"))
-    return spmv_sell(SellMatrix(m.perm, m.chunks, elems, m.n_rows, m.n_cols, m.chunk, m.sigma), x)
+    rows = m.perm.select(F.col("i_old").alias("i"), F.expr(f"i_new div {m.chunk}").alias("c"), F.expr(f"i_new % {m.chunk}").alias("lane"))
+    products = meet(unpack_chunks(packed, m.chunk), x).groupBy("c", "lane").agg(F.sum(F.col("v") * F.col("x")).alias("y")).join(rows, ["c", "lane"])
+    return over_domain(products.where(F.col("i") < m.n_rows), m.n_rows, "i", ["y"])
 
 
 def invert(perm: DataFrame) -> DataFrame:

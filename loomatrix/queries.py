@@ -14,7 +14,7 @@ from .config import SpmvConfig
 from .plans import matrix
 from .plans.matrix import SparseMatrix, constant
 from .plans.tables import new_path
-from .sources import generate, matrix_market, tables
+from .sources import generate, matrix_market, stored, tables
 from .streaming import deltas
 
 Query = Callable[[SparkSession, str], DataFrame]
@@ -108,7 +108,7 @@ def spmv_customers(spark, sf_dir):
 @query(product(SEVEN))
 def spmv_crs(spark, sf_dir):
     a = _ps(spark, sf_dir)
-    return spmv.spmv(sell.unpack_rows(sell.pack_rows(a), a.n_rows, a.n_cols), seven)
+    return sell.spmv_rows(sell.pack_rows(a), a.n_rows, seven)
 
 
 @query(product(SEVEN))
@@ -122,6 +122,38 @@ def spmv_sell_packed(spark, sf_dir):
     return sell.spmv_packed(sell.pack_chunks(m), m, seven)
 
 
+def _stored(spark, sf_dir) -> stored.StoredMatrix:
+    """Laid out and written once, in directories of about 1/8 of the padded elements."""
+    m = sell.to_sell(_ps(spark, sf_dir), CHUNK, SIGMA)
+    return stored.store(m, new_path(spark, "chunks"), part_elements=max(1, m.chunks.agg(F.sum("len")).first()[0] * CHUNK // 8))
+
+
+@query(product(SEVEN))
+def spmv_stored(spark, sf_dir):
+    return _stored(spark, sf_dir).product(seven)
+
+
+@query(f"WITH {A}, {R} SELECT R.i, coalesce(sum(v * {SEVEN}), 0.0) AS y FROM R LEFT JOIN A ON A.i = R.i WHERE R.i >= {N} // 4 AND R.i < {N} // 2 GROUP BY 1")
+def spmv_stored_rows(spark, sf_dir):
+    """The second quarter of the rows, from the directories that hold it."""
+    kept = _stored(spark, sf_dir)
+    return kept.product(seven, rows=(kept.n_rows // 4, kept.n_rows // 2))
+
+
+@query(f"WITH {A}, {R}, W AS (SELECT max(s_suppkey) + 1 AS w FROM supplier) SELECT R.i, coalesce(sum(v * {SEVEN}) FILTER (j >= w // 3 AND j < w // 2), 0.0) AS y FROM W, R LEFT JOIN A ON A.i = R.i GROUP BY 1")
+def spmv_stored_cols(spark, sf_dir):
+    """x is 0 outside a range of columns; tiles without such columns are skipped."""
+    kept = _stored(spark, sf_dir)
+    return kept.product(seven, cols=(kept.n_cols // 3, kept.n_cols // 2))
+
+
+@query(f"WITH {SELL} SELECT C.c, len, ptr, min(i_old) AS i_min, max(i_old) AS i_max, (SELECT min(j) FROM A JOIN S s ON s.i_old = A.i WHERE s.i_new // {CHUNK} = C.c) AS j_min, (SELECT max(j) FROM A JOIN S s ON s.i_old = A.i WHERE s.i_new // {CHUNK} = C.c) AS j_max, CAST(sum(n) AS BIGINT) AS nnz FROM C JOIN S ON S.i_new // {CHUNK} = C.c WHERE len > 0 GROUP BY ALL")
+def stored_chunks(spark, sf_dir):
+    """What a stored matrix knows of each chunk that has elements."""
+    least, most = (lambda c: F.min(c).alias(c)), (lambda c: F.max(c).alias(c))
+    return _stored(spark, sf_dir).tiles().groupBy("c", "len", "ptr").agg(least("i_min"), most("i_max"), least("j_min"), most("j_max"), F.sum("nnz").alias("nnz"))
+
+
 @query(product(SEVEN))
 def spmv_ell(spark, sf_dir):
     a = _ps(spark, sf_dir)

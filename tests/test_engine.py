@@ -129,7 +129,7 @@ def test_chunk_layout_products(spark):
     xs = spark.createDataFrame([(i, x[i].tolist()) for i in range(9)], "i bigint, xs array<double>")
     one = spark.createDataFrame([(i, float(x[i, 0])) for i in range(9)], "i bigint, x double")
     real = {"dp": np.float64, "sp": np.float32, "hp": np.float16}
-    kept = lambda m: replace(m, perm=m.perm.cache(), elems=m.elems.cache())  # noqa: E731 - laid out once, multiplied often
+    kept = lambda m: replace(m, perm=m.perm.cache(), cells=m.cells.cache())  # noqa: E731 - laid out once, multiplied often
     rounded = lambda kind, some=entries: dense([(i, j, float(real[kind](v))) for i, j, v in some], 9, 9)
     for chunk, sigma in ((1, 2), (4, 8), (16, 1)):
         m = kept(sell.to_sell(a, chunk, sigma))
@@ -140,7 +140,10 @@ def test_chunk_layout_products(spark):
             assert np.allclose(vector(sell.spmv_sell(m, one, kind), 9), want[:, 0], rtol=1e-14, atol=1e-14)
         for mode, t1, t2 in (("ap[dp_sp]", 2.0, None), ("ap[dp_hp]", 2.0, None), ("ap[sp_hp]", 2.0, None), ("ap[dp_sp_hp]", 3.0, 1.0)):
             names, split = precision.BUCKETS[mode], precision.partition_precisions(a, mode, t1, t2)
-            layouts = {name: kept(some) for name, some in sell.precision_chunks(a, split, mode, chunk, sigma).items()}
+            layouts = kept(sell.precision_chunks(a, split, mode, chunk, sigma))
+            for name in names:
+                mine = sell.to_sell(a.with_entries(split.where(F.col("prec") == name).drop("prec")), chunk, sigma)
+                assert sorted(map(tuple, mine.elems.collect())) == sorted(map(tuple, layouts.elems.where(F.col("prec") == name).drop("prec").collect()))
             for own in ("highest", "own"):
                 got = {r.i: r for r in sell.spmv_sell_adaptive(layouts, one, own).collect()}
                 for k, name in enumerate(names):
@@ -327,10 +330,9 @@ def test_execute_keeps_options(spark, monkeypatch):
         for layout in layouts:
             assert np.allclose(vector(iterate.execute(a, SpmvConfig(precision=kind, **layout), x), 2), want, rtol=1e-14, atol=0)
     made = []
-    for name in ("to_sell", "pack_rows"):
-        monkeypatch.setattr(iterate, name, lambda *args, kept=getattr(iterate, name), name=name: made.append(name) or kept(*args))
+    monkeypatch.setattr(iterate, "to_sell", lambda *args, kept=iterate.to_sell: made.append("to_sell") or kept(*args))
     adaptive = [vector(iterate.execute(a, SpmvConfig(precision="ap[dp_sp]", **layout), x), 2) for layout in layouts]
-    assert made == ["pack_rows", "to_sell"] and np.allclose(adaptive[1], adaptive[0]) and np.allclose(adaptive[2], adaptive[0])
+    assert made == ["to_sell"] and np.allclose(adaptive[1], adaptive[0]) and np.allclose(adaptive[2], adaptive[0])
     plain = vector(iterate.execute(a, SpmvConfig(format="coo")), 2)
     for more in ({"parts": 2}, {"parts": 2, "segmentation": "nnz"}, {"parts": 2, "segmentation": "graph", "format": "scs", "chunk": 2}):
         assert np.allclose(vector(iterate.execute(a, SpmvConfig(**more)), 2), plain)
