@@ -47,7 +47,8 @@ def op2_chat(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def op3_decontamination(spark: SparkSession, sf_dir: str) -> DataFrame:
-    found = contamination(_documents(spark, sf_dir), common.table(spark, sf_dir, "benchmark"), any_case=True)
+    docs = _documents(spark, sf_dir)
+    found = contamination(docs, common.table(spark, sf_dir, "benchmark"), any_case=True, lang_col="lang" if "lang" in docs.columns else None)
     return found.drop("sig")
 
 

@@ -16,7 +16,7 @@ import pytest
 from test_first import DOCS, HARD
 from tokenizers import Tokenizer
 
-from loomatrix.llm import common, fill_in_middle, filter_audit, minhash, pii, registry, secret_scan, simhash, word_bpe
+from loomatrix.llm import common, decontaminate, fill_in_middle, filter_audit, minhash, pii, registry, secret_scan, simhash, word_bpe
 
 SMALL = "/root/testdata/sf0.001"
 WORD = re.compile(r"[^\x20\x09-\x0D]+")
@@ -194,6 +194,59 @@ def test_bound_on_disclosure(spark):
     assert texts[10] == "ask  for card [CARD] in room number10" and texts[20] == "see [TERM] at [IP] number20 ok" and set(texts) == {1, *range(10, 15), *range(20, 23)}
 
 
+# ---- 3: evidence from the corpus, shared windows, short items
+
+FRAMES = {
+    "de": ("Der {0} fährt mit dem {1} in die {2} und sieht dort das {3} an der alten {4}. Was denkt der {0} dann über das {3} in der {2}?", "Lehrer Bus Schule Buch Mauer Minister Panzer Wahl Flugzeug Grenze".split()),
+    "fr": ("Le {0} part avec le {1} vers la {2} et voit là le {3} de la vieille {4}. Que pense le {0} alors du {3} dans la {2}?", "maître bus école livre porte ministre tank ville avion route".split()),
+    "es": ("El {0} viaja con el {1} a la {2} y mira allí el {3} de la vieja {4}. ¿Qué piensa el {0} entonces del {3} en la {2}?", "maestro autobús escuela libro puerta ministro tanque ciudad avión frontera".split()),
+    "en": ("The {0} goes with the {1} to the {2} and sees there the {3} by the old {4}. What does the {0} think then of the {3} in the {2}?", "teacher bus school book wall minister tank town plane border".split()),
+}
+
+
+def test_nouns_are_no_names(spark):
+    """A frame of function words with other nouns is another text, in each language; other numbers and names are copies."""
+    dice = random.Random(6)
+    fill = {lang: [w for w in re.sub(r"\{\d\}", "", f).split() if w.strip("¿?.")] for lang, (f, _) in FRAMES.items()}
+    rows = []
+    for lang, (_, nouns) in FRAMES.items():
+        for _ in range(150):
+            said = [dice.choice(nouns) if k % 4 == 3 else dice.choice(fill[lang]).lower().strip("¿?.") for k in range(300)]
+            rows.append((len(rows), " ".join(said), lang))
+    items, planted = [], {}
+    for n, (lang, (frame, nouns)) in enumerate(FRAMES.items()):
+        items.append((n, frame.format(*nouns[:5])))
+        more = f" {{0}} hat 12 {nouns[0]}xyz in {nouns[1]}abc gesehen, dann 30 {nouns[2]}qrs neben {nouns[3]}uvw gezählt, und wieder 7 {nouns[4]}klm im {nouns[0]}nop."
+        items.append((10 + n, more.format("Ada")))
+        rows += [(9000 + n, frame.format(*nouns[5:]), lang), (9100 + n, frame.format(*nouns[:5]), lang), (9200 + n, more.format("Ada").replace("12", "45").replace("30", "81"), lang)]
+        planted |= {(9100 + n, n): "verbatim", (9200 + n, 10 + n): "reparameterised"}
+    df = spark.createDataFrame(rows, "doc_id bigint, text string, lang string")
+    found = decontaminate.contamination(df, spark.createDataFrame(items, "item_id bigint, text string"), any_case=True, lang_col="lang").collect()
+    assert {(r.doc_id, r.item_id): r.verdict for r in found} == planted
+
+
+def test_shared_instructions(spark):
+    """An instruction before every question is no question; with a question of its own an item is found."""
+    lead = "Read the following passage with care, think step by step about what it says, and then answer the question below in one short sentence only."
+    ask = lambda k: f"Which of the q{k}a and q{k}b rivers did captain q{k}c cross before the q{k}d winter of the q{k}e war began?"
+    items = [(k, f"{lead} {ask(k)}") for k in range(40)] + [(90, lead)]
+    rows = [(k, f"w{k} {lead} other{k} words{k} follow{k}") for k in range(60)] + [(100 + k, f"{lead} {ask(k)}") for k in range(5)] + [(200, f"so, {ask(7)}")]
+    got = decontaminate.contamination(spark.createDataFrame(rows, "doc_id bigint, text string"), spark.createDataFrame(items, "item_id bigint, text string")).collect()
+    said = {(r.doc_id, r.item_id): r for r in got}
+    alone = {k for k in said if k[1] == 90}
+    assert set(said) - alone == {(100 + k, k) for k in range(5)} | {(200, 7)} and {k[0] for k in alone} == {*range(60), *range(100, 105)}
+    assert all(said[100 + k, k].n_matched == said[100 + k, k].n_windows for k in range(5))
+
+
+def test_short_items(spark):
+    """A short item is a finding where it is a line or the text, else a mention that removes nothing."""
+    rows = [(1, "yes"), (2, "he said yes to it"), (3, "one line\n Yes! \nanother line"), (4, "one line\nyes it is\nanother"), (5, "no"), (6, "then\nwho wrote it?\n"), (7, "who wrote it? nobody"), (8, "a yes\nyes")]
+    df = spark.createDataFrame(rows, "doc_id bigint, text string")
+    found = decontaminate.contamination(df, spark.createDataFrame([(1, "Yes"), (2, "Who wrote it?")], "item_id bigint, text string"))
+    assert {(r.doc_id, r.item_id): r.verdict for r in found.collect()} == {(1, 1): "verbatim", (2, 1): "mention", (3, 1): "verbatim", (4, 1): "mention", (6, 2): "verbatim", (7, 2): "mention", (8, 1): "verbatim"}
+    assert sorted(r.doc_id for r in decontaminate.drop_contaminated(df, found).collect()) == [2, 4, 5, 7]
+
+
 # ---- near duplicates
 
 

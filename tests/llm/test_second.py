@@ -120,7 +120,7 @@ def test_contamination_without_plain_words(spark):
     df = spark.createDataFrame(rows, "doc_id bigint, text string")
     bench = spark.createDataFrame(items, "item_id bigint, text string")
     got = {(r.doc_id, r.item_id): r for r in decontaminate.contamination(df, bench).collect()}
-    assert set(got) == {(k, k) for k, _ in items} | {(40, 30)} and {r.verdict for r in got.values()} == {"verbatim"}
+    assert set(got) == {(k, k) for k, _ in items} | {(40, 30)} and all(r.verdict == ("mention" if k == (33, 33) else "verbatim") for k, r in got.items())
     assert all(got[k, k].n_matched == got[k, k].n_windows == max(1, len(t.split()) - 7) for k, t in items)
 
 

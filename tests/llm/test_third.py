@@ -172,8 +172,15 @@ def test_contamination_forms(spark):
 
 def plain_contamination(docs, items, window=8, literals=4, least=6, conflicts=0.2):
     """{(doc, item): (n_matched, n_windows, n_changed, verdict)}: each document with each item, each alignment."""
-    rules = (decontaminate.UNITS, decontaminate.SPELLED, decontaminate.NO_NAMES)
     edges = brute.EDGES + "«»“”…"
+    low, high = {}, {}
+    for text in [*docs.values(), *items.values()]:  # who stands in lower case, and who with a capital inside a sentence
+        words = brute.WORD.findall(text)
+        inner = [w.strip(edges) for before, w in zip(words, words[1:], strict=False) if not any(c in ".!?" for c in before[len(before.rstrip(edges)) :])]
+        for table, some in ((low, {w.strip(edges) for w in words}), (high, inner)):
+            for w in {w.lower() for w in some if w and (w[0].islower() if table is low else w[0].isupper())}:
+                table[w] = table.get(w, 0) + 1
+    rules = (decontaminate.UNITS, decontaminate.SPELLED, decontaminate.NO_NAMES | {w for w, n in low.items() if n >= 2 * high.get(w, 0)})
     exact = lambda t: [(w.strip(edges) or w).lower() for w in brute.WORD.findall(t)]
 
     def windows(words):
@@ -226,7 +233,8 @@ def plain_contamination(docs, items, window=8, literals=4, least=6, conflicts=0.
                 begins = {t[2] for t in brute.template(text, False, *rules)} if len(bare) >= window else {0}
                 every = ({w[0][2] for r in reading for _, w in r} | set(places)) & begins
                 whole = all(p in clean for p in every if min(matched) <= p <= max(matched))
-                result[doc, item] = len(matched), total, 0 if whole else len(changed), "verbatim" if whole else "reparameterised"
+                verdict = "mention" if len(bare) < window and words != bare else "verbatim" if whole else "reparameterised"
+                result[doc, item] = len(matched), total, 0 if whole else len(changed), verdict
     return result
 
 
@@ -247,7 +255,7 @@ def test_contamination_table(spark):
     got = decontaminate.contamination(spark.createDataFrame(list(docs.items()), "doc_id bigint, text string"), spark.createDataFrame(list(items.items()), "item_id bigint, text string")).collect()
     want = plain_contamination(docs, items)
     assert {(r.doc_id, r.item_id): (r.n_matched, r.n_windows, r.n_changed, r.verdict) for r in got} == want
-    assert {v[-1] for v in want.values()} == {"verbatim", "reparameterised"}
+    assert {v[-1] for v in want.values()} == {"verbatim", "reparameterised", "mention"}
 
 
 def test_verbatim_beside_a_name(spark):
