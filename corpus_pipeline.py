@@ -37,8 +37,10 @@ def near_duplicates(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFr
 
 
 def benchmark_leaks(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """Documents that hold a benchmark item go; null texts hold none, repeated rows share their verdict."""
-    return decontaminate.drop_contaminated(docs, decontaminate.contamination(docs, common.table(spark, sf_dir, "benchmark"), any_case=True))
+    """Documents that hold a benchmark item go, mentions of items shorter than a window aside; null
+    texts hold none, repeated rows share their verdict."""
+    found = decontaminate.contamination(docs, common.table(spark, sf_dir, "benchmark"), any_case=True, lang_col="lang" if "lang" in docs.columns else None)
+    return decontaminate.drop_contaminated(docs, found)
 
 
 def secrets(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
