@@ -7,7 +7,7 @@ import sys
 from pyspark.sql import DataFrame, SparkSession
 
 from .config import SpmvConfig, parse
-from .operators import iterate, stats, validate
+from .operators import exact, iterate, stats, validate
 from .plans.matrix import SparseMatrix, Vector, constant, random_vector
 from .plans.tables import written
 from .sources import generate, matrix_market, reports
@@ -53,7 +53,7 @@ def run(spark: SparkSession, config: SpmvConfig) -> DataFrame:
     y = solve(a, config)
     if not config.validate:
         return y
-    compared = validate.compare(y, iterate.power(a, first_vector(a, config), config.repetitions))
+    compared = validate.compare(y, exact.power_exact(a, first_vector(a, config), config.repetitions))
     if config.output:
         reports.append_comparison(compared, config.output)
     return validate.summary(compared)

@@ -8,7 +8,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from .functions.scalar import cantor_pairing, to_single
-from .operators import partition, precision, scale, sell, spmv, stats, validate
+from .operators import copartition, exact, partition, precision, scale, sell, spmv, stats, validate
 from .operators.iterate import execute, power
 from .config import SpmvConfig
 from .plans import matrix
@@ -238,6 +238,24 @@ def spmv_power_3(spark, sf_dir):
     return power(_ps(spark, sf_dir, square=True), constant(), 3)
 
 
+WALKS = "A AS (SELECT l_partkey AS i, l_suppkey AS j, 1.0::DOUBLE AS v FROM lineitem)"
+
+
+@query(f"WITH {WALKS}, {RSQ}, Y0 AS (SELECT i, 5.0::DOUBLE AS y FROM R), {', '.join(_step(k) for k in range(1, 9))} SELECT i, y FROM Y8")
+def spmv_power_8(spark, sf_dir):
+    """Walks of eight steps; the matrix is dealt out once."""
+    a = _ps(spark, sf_dir, square=True)
+    return copartition.power_bucketed(copartition.bucketed(a.with_entries(a.entries.withColumn("v", F.lit(1.0)))), constant(), 8)
+
+
+@query(f"WITH {LARGE}, {R} SELECT R.i, CAST(coalesce(sum((v % 1000) * {SEVEN}), 0) AS DOUBLE) AS y FROM R LEFT JOIN A ON A.i = R.i GROUP BY 1")
+def spmv_exact_cancelling(spark, sf_dir):
+    """Each entry between two that cancel and are 2^60 times as large, which a sum of doubles loses."""
+    a = _large(spark, sf_dir)
+    three = F.array(F.col("v") * float(1 << 60), F.col("v") % 1000, F.col("v") * -float(1 << 60))
+    return exact.spmv_exact(a.with_entries(a.entries.select("i", "j", F.explode(three).alias("v"))), seven)
+
+
 @query("WITH G AS (SELECT CAST(unnest(range(1024)) AS BIGINT) AS i) SELECT i, CAST(4 - (i >= 32)::INT - (i < 992)::INT - (i % 32 > 0)::INT - (i % 32 < 31)::INT AS DOUBLE) AS y FROM G")
 def spmv_stencil(spark, sf_dir):
     return spmv.spmv(generate.stencil_2d(spark, 32), constant(1.0))
