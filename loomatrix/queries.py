@@ -2,18 +2,19 @@
 
 from __future__ import annotations
 
+import math
 from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from .functions.scalar import cantor_pairing, to_single
-from .operators import copartition, exact, partition, precision, scale, sell, spmv, stats, validate
+from .operators import copartition, exact, multilevel, ordering, partition, precision, scale, sell, spmv, stats, validate
 from .operators.iterate import execute, power
 from .config import SpmvConfig
 from .plans import matrix
 from .plans.matrix import SparseMatrix, constant
-from .plans.tables import new_path
+from .plans.tables import new_path, written
 from .sources import generate, matrix_market, stored, tables
 from .streaming import deltas
 
@@ -256,9 +257,14 @@ def spmv_exact_cancelling(spark, sf_dir):
     return exact.spmv_exact(a.with_entries(a.entries.select("i", "j", F.explode(three).alias("v"))), seven)
 
 
-@query("WITH G AS (SELECT CAST(unnest(range(1024)) AS BIGINT) AS i) SELECT i, CAST(4 - (i >= 32)::INT - (i < 992)::INT - (i % 32 > 0)::INT - (i % 32 < 31)::INT AS DOUBLE) AS y FROM G")
+SIDE = "(SELECT CAST(floor(sqrt(max(p_partkey) + 1)) AS BIGINT) AS w FROM part)"
+
+
+@query(f"WITH W AS {SIDE}, G AS (SELECT CAST(unnest(range(w * w)) AS BIGINT) AS i, w FROM W) SELECT i, CAST(4 - (i >= w)::INT - (i < w * w - w)::INT - (i % w > 0)::INT - (i % w < w - 1)::INT AS DOUBLE) AS y FROM G")
 def spmv_stencil(spark, sf_dir):
-    return spmv.spmv(generate.stencil_2d(spark, 32), constant(1.0))
+    """The largest square grid that has no more points than there are parts."""
+    n = tables.read(spark, sf_dir, "part").agg(F.max("p_partkey")).first()[0] + 1
+    return spmv.spmv(generate.stencil_2d(spark, math.isqrt(n)), constant(1.0))
 
 
 @query(product(SEVEN))
@@ -599,6 +605,38 @@ def graph_edge_cut(spark, sf_dir):
     return partition.edge_cut(a, partition.graph_parts(a, PARTS))
 
 
+# ---- orders and partitions of the graph
+
+
+LINKS = "L AS (SELECT i, j FROM A WHERE i <> j UNION SELECT j, i FROM A WHERE i <> j)"
+
+
+@query(f"WITH RECURSIVE {A}, {LINKS}, T(i, level) AS (SELECT 0::BIGINT, 0 UNION SELECT L.j, level + 1 FROM T JOIN L ON L.i = T.i WHERE level < 6) SELECT i, CAST(min(level) AS INTEGER) AS level FROM T GROUP BY 1")
+def graph_levels(spark, sf_dir):
+    """How far each row that row 0 reaches is from it; no row of these tables is six away."""
+    links = ordering.links_of(_ps(spark, sf_dir, square=True))
+    return ordering.levels(links, spark.range(1).select(F.col("id").alias("i"), F.col("id").alias("component"))).select("i", "level")
+
+
+@query(None)
+def rcm_permutation(spark, sf_dir):
+    return ordering.cuthill_mckee(_ps(spark, sf_dir, square=True))
+
+
+@query(None)
+def rcm_bandwidth(spark, sf_dir):
+    """Of parts and suppliers as given, and in the order of the search."""
+    a = _ps(spark, sf_dir, square=True)
+    after = sell.permute(a, written(ordering.cuthill_mckee(a)))
+    named = lambda m, when: stats.bandwidth(m).select(F.lit(when).alias("order"), "lower", "upper", "bandwidth")
+    return named(a, "as given").unionByName(named(after, "reverse Cuthill-McKee"))
+
+
+@query(None)
+def multilevel_parts(spark, sf_dir):
+    return multilevel.multilevel_parts(_ps(spark, sf_dir, square=True), PARTS)
+
+
 # ---- validation
 
 
