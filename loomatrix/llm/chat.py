@@ -5,8 +5,9 @@ turns alternate after it, the user first. Each turn is kept, relabelled, merged
 turn before it, or kept behind an inserted empty turn; dynamic programming over the
 automaton's states finds the cheapest way.
 
-Turns are range-partitioned by conversation and turn, so that a conversation of any
-length is spread over tasks. Each stretch of at most SEGMENT turns becomes a matrix of
+Conversations of at most SEGMENT turns are dealt by their id and decided whole, in one
+exchange. Longer ones are range-partitioned by conversation and turn, so that a
+conversation of any length is spread over tasks. Each stretch of at most SEGMENT turns becomes a matrix of
 least costs from state to state. A conversation's matrices are multiplied within each
 partition first and then over its partitions, so that no task holds more of one
 conversation than a partition's stretches or a matrix for each partition. That fixes the
@@ -88,12 +89,52 @@ def repair_roles(turns: DataFrame, *, id_col: str = "conv_id", turn_col: str = "
     without white space around; others, and null, count as unknown. A null text is
     empty. Rows with a null id make one conversation. Repeated rows are turns of their
     own. Other columns are ignored; an empty table gives an empty result. Of ways that
-    cost the same, the order keep, merge, insert, relabel decides.
+    cost the same, the first state (system, user, assistant) to end in decides; then, from
+    the last turn back, the first state to come from (none, system, user, assistant), then
+    the order keep, merge, insert, relabel; in conversations of more than SEGMENT turns
+    where stretches meet also the first state.
     """
     role = F.lower(F.trim(turns[role_col].cast("string")))
     rows = turns.select(turns[id_col].alias("id"), turns[turn_col].alias("turn"), role.alias("role"), F.coalesce(turns[text_col], F.lit("")).alias("text")).withColumn("tie", F.xxhash64("role", "text")).withColumn("uid", F.monotonically_increasing_id())
     order = [F.col("id").asc_nulls_first(), F.col("turn").asc_nulls_last(), F.col("tie"), F.col("uid")]
     kinds = {c: rows.schema[c].dataType.simpleString() for c in ("id", "turn")}
+    schema = f"id {kinds['id']}, at bigint, n_turns bigint, role string, text string, action string, new_role string"
+
+    def whole(batches):
+        """Decides conversations that stand together, in order, one at a time."""
+        import pyarrow as pa
+
+        own, held = object(), []
+
+        def decided(kind):
+            costs = least([r for _, r, _ in held], START)[-1]
+            found = decide([r for _, r, _ in held], START, min(range(4), key=lambda q: costs[q]))
+            names = ["id", "at", "n_turns", "role", "text", "action", "new_role"]
+            columns = [[i for i, _, _ in held], range(len(held)), [len(held)] * len(held), [r for _, r, _ in held], [t for _, _, t in held], [a for a, _ in found], [ROLES[q - 1] for _, q in found]]
+            return pa.RecordBatch.from_arrays([pa.array(c, k) for c, k in zip(columns, [kind, pa.int64(), pa.int64(), *[pa.string()] * 4], strict=True)], names)
+
+        for batch in batches:
+            kind = batch.column("id").type
+            out = []
+            for row in zip(*[batch.column(c).to_pylist() for c in ("id", "role", "text")], strict=True):
+                if held and row[0] != own:
+                    out.append(decided(kind))
+                    held = []
+                own = row[0]
+                held.append(row)
+            if out:
+                yield from pa.Table.from_batches(out).combine_chunks().to_batches()
+        if held:
+            yield decided(kind)
+
+    long = written(rows.groupBy("id").agg(F.count("*").alias("n")).where(F.col("n") > SEGMENT).select("id"))
+    some_long = not long.isEmpty()
+    short = null_safe(rows, long, ["id"], "left_anti") if some_long else rows
+    told = short.repartition("id").sortWithinPartitions(*order).mapInArrow(whole, schema)
+    named = lambda df: df.withColumnRenamed("id", id_col)
+    if not some_long:
+        return named(told)
+    rows = null_safe(rows, long, ["id"], "left_semi")
 
     def number(batches):
         import numpy as np
@@ -175,15 +216,21 @@ def repair_roles(turns: DataFrame, *, id_col: str = "conv_id", turn_col: str = "
 
     done = measured.join(ends.hint("merge"), ["part", "seg"]).select("part", "seg", "before", "total", F.posexplode(decided("roles", "entry", "leave")).alias("k", "d"))
     out = cut.join(done.hint("merge"), ["part", "seg", "k"])
-    return out.select(
-        F.col("id").alias(id_col), (F.col("before") + F.col("k")).alias("at"), F.col("total").alias("n_turns"), "role", "text", F.col("d.action").alias("action"), F.element_at(F.array(*map(F.lit, ROLES)), F.col("d.state")).alias("new_role")
+    out = out.select(
+        "id", (F.col("before") + F.col("k")).alias("at"), F.col("total").alias("n_turns"), "role", "text", F.col("d.action").alias("action"), F.element_at(F.array(*map(F.lit, ROLES)), F.col("d.state")).alias("new_role")
     )
+    return named(told.unionByName(out))
 
 
 def render(repaired: DataFrame, *, id_col: str = "conv_id", opening: str = "<|{}|>\n", closing: str = "<|end|>\n") -> DataFrame:
     """(id, part, n_turns, n_kept, n_merged, n_inserted, n_relabelled, cost, rendered): the repaired
     conversations as text, part k of those with more than SEGMENT turns having turns k * SEGMENT on.
-    Parts put together give the whole. A merged text follows a line break; an inserted turn is empty."""
+    Parts put together give the whole. A merged text follows a line break; an inserted turn is empty.
+
+    `repaired` is what repair_roles gives: at numbers a conversation's turns without gaps or
+    ties, action and new_role aren't null. A null text or role counts as it does there, an
+    empty text is an empty turn; rows with a null id are one conversation; repeated turns
+    stand as often as they are given; an empty table gives an empty result."""
     before, after = opening.split("{}")
     begin = lambda r: F.concat(F.lit(before), r, F.lit(after))
     end = F.when(F.col("at") > 0, F.lit(closing)).otherwise("")

@@ -121,6 +121,41 @@ def role_repair_cost(roles: list) -> int:
     return ways(0, None)
 
 
+def role_repair(roles: list) -> list[tuple[str, str]]:
+    """[(action, new role)] of the cheapest way, all ways listed; ties as documented."""
+    states = [None, "system", "user", "assistant"]
+    after = {None: ("system", "user"), "system": ("user",), "user": ("assistant",), "assistant": ("user",)}
+    ways: list = [[]]
+    for given in roles:
+        own = given if given in states[1:] else None
+        longer = []
+        for way in ways:
+            last = way[-1][3] if way else None
+            for role in after[last]:
+                longer.append([*way, (last, 0 if role == own else 2 if own else 1, "keep" if role == own else "relabel", role)])
+                if own in after[role]:
+                    longer.append([*way, (last, 2, f"insert {role}", own)])
+            if last is not None:
+                longer.append([*way, (last, 1 if own == last else 3, "merge", last)])
+        ways = longer
+    least = min(sum(m[1] for m in w) for w in ways)
+    rank = ["keep", "merge", "insert", "relabel"]
+    key = lambda w: (states.index(w[-1][3]), [(states.index(q), cost, rank.index(action.split()[0])) for q, cost, action, _ in reversed(w)])
+    return [(m[2], m[3]) for m in min((w for w in ways if sum(m[1] for m in w) == least), key=key)]
+
+
+def rendered_chat(texts: list, repair: list[tuple[str, str]]) -> str:
+    out = []
+    for text, (action, role) in zip(texts, repair, strict=True):
+        if action == "merge":
+            out[-1][1] += "\n" + text
+            continue
+        if action.startswith("insert"):
+            out.append([action.split()[1], ""])
+        out.append([role, text])
+    return "".join(f"<|{role}|>\n{text}<|end|>\n" for role, text in out)
+
+
 EDGES = ".,;:!?\"'()[]{}<>"
 
 

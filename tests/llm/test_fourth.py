@@ -16,7 +16,7 @@ import pytest
 from test_first import DOCS, HARD
 from tokenizers import Tokenizer
 
-from loomatrix.llm import common, decontaminate, fill_in_middle, filter_audit, minhash, pii, registry, secret_scan, simhash, word_bpe
+from loomatrix.llm import chat, common, decontaminate, fill_in_middle, filter_audit, minhash, pii, registry, secret_scan, simhash, word_bpe
 
 SMALL = "/root/testdata/sf0.001"
 WORD = re.compile(r"[^\x20\x09-\x0D]+")
@@ -157,6 +157,32 @@ def test_op12_table(spark):
     assert len(got) == len(rows)
 
 
+# ---- 2: which of equal repairs
+
+
+def test_rendered_repairs(spark):
+    """Actions and texts against the best of all ways, one conversation of more than SEGMENT turns beside."""
+    dice = random.Random(12)
+    roles = ["system", "user", "assistant", "tool", None]
+    talks = [list(x) for n in (1, 2, 3) for x in itertools.product(roles, repeat=n)] + [[dice.choice(roles) for _ in range(dice.choice([4, 5]))] for _ in range(60)]
+    rows = [(k, t, r, f"text {k} {t}") for k, talk in enumerate(talks) for t, r in enumerate(talk)]
+    rows += [(5000, t, ("user", "assistant")[t % 2], f"long {t}") for t in range(2 * chat.SEGMENT + 5)]
+    dice.shuffle(rows)
+    df = spark.createDataFrame(rows, "conv_id bigint, turn bigint, role string, text string")
+    repaired = chat.repair_roles(df).collect()
+    said = {}
+    for r in sorted(repaired, key=lambda r: (r.conv_id, r.at)):
+        said.setdefault(r.conv_id, []).append((r.action, r.new_role))
+    text = {}
+    for r in sorted(chat.render(chat.repair_roles(df)).collect(), key=lambda r: (r.conv_id, r.part)):
+        text[r.conv_id] = text.get(r.conv_id, "") + r.rendered
+    for k, talk in enumerate(talks):
+        want = brute.role_repair(talk)
+        assert said[k] == want, talk
+        assert text[k] == brute.rendered_chat([f"text {k} {t}" for t in range(len(talk))], want)
+    assert said[5000] == [("keep", ("user", "assistant")[t % 2]) for t in range(2 * chat.SEGMENT + 5)] and text[5000].count("<|end|>") == len(said[5000])
+
+
 # ---- 4: patterns in linear time, bounds
 
 
