@@ -106,11 +106,12 @@ def spread(df: DataFrame) -> DataFrame:
     """The table in as many partitions as there are cores, if it stands in fewer.
 
     Tasks can't share a row group, so a table of few row groups would leave most cores
-    idle: its rows are dealt out evenly and written once. Tables of as many files as
-    cores, or in as many partitions with rows (told by the files' footers), stay as they are.
+    idle: its rows are dealt out evenly and written once. Tables read in many times as many
+    partitions as there are cores, or in as many that have rows (told by the files'
+    footers), stay as they are.
     """
     cores = df.sparkSession.sparkContext.defaultParallelism
-    if len(df.inputFiles()) >= cores or df.select(F.spark_partition_id().alias("p")).distinct().count() >= cores:
+    if df.rdd.getNumPartitions() >= 4 * cores or df.select(F.spark_partition_id().alias("p")).distinct().count() >= cores:
         return df
     return written(df.repartition(cores))
 
