@@ -15,7 +15,7 @@ from .config import SpmvConfig
 from .plans import matrix
 from .plans.matrix import SparseMatrix, constant
 from .plans.tables import new_path, written
-from .sources import generate, matrix_market, stored, tables
+from .sources import generate, matrix_market, mtx_source, stored, tables
 from .streaming import deltas
 
 Query = Callable[[SparkSession, str], DataFrame]
@@ -274,6 +274,14 @@ def matrix_market_round_trip(spark, sf_dir):
     return spmv.spmv(matrix_market.read_matrix(spark, folder, square=False), seven)
 
 
+@query(product(SEVEN))
+def mtx_source_round_trip(spark, sf_dir):
+    """Written and read by the mtx data source, each file in byte ranges."""
+    folder = new_path(spark, "mtx")
+    mtx_source.save(_ps(spark, sf_dir), folder)
+    return spmv.spmv(mtx_source.load(spark, folder, split=1 << 20), seven)
+
+
 @query("WITH A AS (SELECT l_partkey AS i, l_suppkey AS j, l_quantity AS v FROM lineitem) SELECT i, sum(v * 5.0) AS y FROM A GROUP BY 1")
 def streaming_product(spark, sf_dir):
     """The whole table as a stream of entries; what the last batch leaves."""

@@ -4,11 +4,12 @@ from __future__ import annotations
 
 from dataclasses import dataclass
 
-from pyspark.sql import DataFrame, SparkSession, Window
+from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from ..operators.scale import expand_symmetric
 from ..plans.matrix import SparseMatrix
+from ..plans.tables import ranked
 
 #: The value of entries in files that only give places.
 PATTERN_VALUE = 0.01
@@ -50,7 +51,7 @@ def _lines(spark: SparkSession, path: str) -> DataFrame:
     file and offset.
     """
     lines = spark.read.text(path).select("value", F.col("_metadata.file_path").alias("file"), F.col("_metadata.file_block_start").alias("block"), (F.monotonically_increasing_id() % F.lit(1 << 33)).alias("line"))
-    splits = lines.select("file", "block").distinct().withColumn("split", F.row_number().over(Window.orderBy("file", "block")).cast("long"))
+    splits = ranked(lines.select("file", "block").distinct(), [], ["file", "block"], F.col("file"), "split")
     return lines.join(splits, ["file", "block"]).select("value", (F.col("split") * F.lit(1 << 33) + F.col("line")).alias("at"))
 
 
