@@ -227,7 +227,7 @@ def test_stages_keep_columns(spark):
 
 def test_registry():
     names = list(registry.queries())
-    assert [n.split("_")[0] for n in names] == [f"op{k}" for k in range(1, 11)]
+    assert [n.split("_")[0] for n in names] == [f"op{k}" for k in range(1, 14)]
     assert set(oracles.oracle_sql()) <= set(names)
 
 
