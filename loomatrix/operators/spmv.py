@@ -52,3 +52,26 @@ def spmmv_expression(a: SparseMatrix, x: list[Column], width: int) -> DataFrame:
     products = a.entries.select("i", *[(F.col("v") * x[k]).alias(f"y{k}") for k in range(width)])
     summed = over_domain(products, a.n_rows, "i", [f"y{k}" for k in range(width)])
     return summed.select("i", F.array(*[f"y{k}" for k in range(width)]).alias("ys"))
+
+
+def spmmv_tiled(a: SparseMatrix, x: DataFrame, width: int, tile: int = 16) -> DataFrame:
+    """Y = A X of any width with X as (i, vec, x): (i, vec, y), 0.0 where there is no entry.
+
+    X is cut into blocks of `tile` vectors; an entry meets a row of each block and makes
+    `tile` products in place. So a task's row holds `tile` sums however wide X is, and
+    there are width / tile times as many rows as entries instead of width times: entries
+    and index are repeated once for a block. Sums are by (row, block), which also spreads
+    a row with very many entries over as many tasks as there are blocks. Places of X that
+    aren't given count as 0.
+    """
+    if width < 1 or tile < 1:
+        raise ValueError("width and tile must be 1 at least")
+    tile = min(tile, width)
+    names, blocks = [f"y{k}" for k in range(tile)], -(-width // tile)
+    value = [F.coalesce(F.sum(F.when(F.col("vec") % tile == k, F.col("x"))), F.lit(0.0)).alias(f"x{k}") for k in range(tile)]
+    xs = x.where(F.col("vec").between(0, width - 1)).groupBy(F.col("i").alias("j"), F.expr(f"cast(vec div {tile} as int)").alias("block")).agg(*value)
+    products = a.entries.select("i", "j", "v").join(xs, "j").select("i", "block", *[(F.col("v") * F.col(f"x{k}")).alias(n) for k, n in enumerate(names)])
+    zeros = a.rows().select("i", F.explode(F.sequence(F.lit(0), F.lit(blocks - 1))).alias("block"), *[F.lit(0.0).alias(n) for n in names])
+    sums = products.unionByName(zeros).groupBy("i", "block").agg(*[F.sum(n).alias(n) for n in names])
+    each = sums.select("i", "block", F.posexplode(F.array(*names)).alias("k", "y"))
+    return each.select("i", (F.col("block") * tile + F.col("k")).cast("int").alias("vec"), "y").where(F.col("vec") < width)

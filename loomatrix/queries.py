@@ -226,6 +226,14 @@ def spmmv_colwise_b4(spark, sf_dir):
     return spmv.spmmv_colwise(a, x.withColumn("x", (F.col("i") * (F.col("vec") + 1) % 7 + 1).cast("double")), 4)
 
 
+@query(f"WITH {A}, {R}, V AS (SELECT CAST(unnest(range(40)) AS INTEGER) AS vec), E AS (SELECT i, vec, sum(v * ((j * (vec + 1)) % 7 + 1)) AS y FROM A, V GROUP BY 1, 2) SELECT R.i, V.vec, coalesce(y, 0.0) AS y FROM R CROSS JOIN V LEFT JOIN E ON E.i = R.i AND E.vec = V.vec")
+def spmmv_tiled_b40(spark, sf_dir):
+    """Forty vectors in blocks of sixteen, the last one narrower."""
+    a = _ps(spark, sf_dir)
+    x = spark.range(a.n_cols).select(F.col("id").alias("i"), F.explode(F.sequence(F.lit(0), F.lit(39))).alias("vec"))
+    return spmv.spmmv_tiled(a, x.withColumn("x", (F.col("i") * (F.col("vec") + 1) % 7 + 1).cast("double")), 40)
+
+
 NSQ = "greatest((SELECT max(p_partkey) + 1 FROM part), (SELECT max(s_suppkey) + 1 FROM supplier))"
 RSQ = f"R AS (SELECT CAST(unnest(range({NSQ})) AS BIGINT) AS i)"
 

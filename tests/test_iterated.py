@@ -5,12 +5,13 @@ import random
 import re
 from fractions import Fraction
 
+import numpy as np
 import pytest
 from pyspark.sql import functions as F
 
 from loomatrix import __main__ as command
 from loomatrix.config import SpmvConfig
-from loomatrix.operators import copartition, exact, iterate
+from loomatrix.operators import copartition, exact, iterate, spmv
 from loomatrix.plans.matrix import SparseMatrix, constant
 
 
@@ -99,3 +100,21 @@ def test_solve_mode_compares_with_exact_products(spark, monkeypatch):
     assert right.n == 3
     monkeypatch.setattr(iterate, "spmv", lambda a, x, *_: exact.spmv_exact(a, x).withColumn("y", F.col("y") * 2))
     assert command.run(spark, SpmvConfig(mode="solve", repetitions=2, format="coo")).first().errors == 3
+
+
+@pytest.mark.parametrize("width, tile", [(1, 16), (5, 2), (16, 16), (33, 16), (512, 16)])
+def test_wide_blocks(spark, width, tile):
+    """As many vectors as wanted, no row with more than `tile` sums; places of X may lack."""
+    rnd = np.random.default_rng(width)
+    entries = [(int(i), int(j), float(v)) for i, j, v in zip(rnd.integers(0, 6, 30), rnd.integers(0, 8, 30), rnd.integers(-9, 9, 30), strict=True)]
+    x = rnd.integers(-9, 9, (8, width)).astype(float)
+    x[3, :] = x[:, width - 1] = 0
+    given = spark.createDataFrame([(j, k, float(x[j, k])) for j in range(8) for k in range(width) if x[j, k]], "i bigint, vec int, x double")
+    a = SparseMatrix(spark.createDataFrame(entries, "i bigint, j bigint, v double"), 7, 8)
+    want = np.zeros((7, 8))
+    for i, j, v in entries:
+        want[i, j] += v
+    y = spmv.spmmv_tiled(a, given, width, tile)
+    got = {(r.i, r.vec): r.y for r in y.collect()}
+    assert got == {(i, k): float(want[i] @ x[:, k]) for i in range(7) for k in range(width)}
+    assert f"y{min(tile, width)}" not in y._jdf.queryExecution().optimizedPlan().toString()
