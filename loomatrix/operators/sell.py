@@ -14,7 +14,7 @@ from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
 from ..plans.matrix import SparseMatrix, Vector, meet, over_domain
-from ..plans.tables import bucket_width, ranked, running_sum
+from ..plans.tables import bucket_width, ranked, running_sum, written
 from .precision import BUCKETS, STORED
 from .spmv import CASTS
 
@@ -275,6 +275,7 @@ def permute_columns(entries: DataFrame, perm: DataFrame, n_rows: int) -> DataFra
 
 
 def permute(a: SparseMatrix, perm: DataFrame) -> SparseMatrix:
-    """P A P': rows and columns by the same permutation."""
+    """P A P': rows and columns by the same permutation, which is written once for both."""
+    perm = written(perm.select("i_old", "i_new"))
     rows = a.entries.join(perm.select(F.col("i_old").alias("i"), F.col("i_new").alias("__i")), "i").withColumn("i", F.col("__i")).drop("__i").select(*a.entries.columns)
     return a.with_entries(permute_columns(rows, perm, a.n_rows))

@@ -14,7 +14,7 @@ from .operators.iterate import execute, power
 from .config import SpmvConfig
 from .plans import matrix
 from .plans.matrix import SparseMatrix, constant
-from .plans.tables import new_path, written
+from .plans.tables import new_path
 from .sources import generate, matrix_market, mtx_source, stored, tables
 from .streaming import deltas
 
@@ -643,7 +643,7 @@ def rcm_permutation(spark, sf_dir):
 def rcm_bandwidth(spark, sf_dir):
     """Of parts and suppliers as given, and in the order of the search."""
     a = _ps(spark, sf_dir, square=True)
-    after = sell.permute(a, written(ordering.cuthill_mckee(a)))
+    after = sell.permute(a, ordering.cuthill_mckee(a))
     named = lambda m, when: stats.bandwidth(m).select(F.lit(when).alias("order"), "lower", "upper", "bandwidth")
     return named(a, "as given").unionByName(named(after, "reverse Cuthill-McKee"))
 
