@@ -33,7 +33,7 @@ def slices(batches: Iterator[pa.RecordBatch], text: str, chars: int = SLICE_CHAR
         pa.default_memory_pool().release_unused()
 
 
-def words_of(texts: pa.Array) -> tuple[np.ndarray, list[str], np.ndarray]:
+def coded_words(texts: pa.Array) -> tuple[np.ndarray, pa.Array, np.ndarray]:
     """(codes, distinct, offsets): words between ASCII white space (space, 9 to 13), coded by a
     dictionary of the slice; text k has codes[offsets[k]:offsets[k + 1]]. Null: no words."""
     parts = pc.ascii_split_whitespace(pc.fill_null(texts.cast(pa.large_string()), ""))
@@ -45,7 +45,13 @@ def words_of(texts: pa.Array) -> tuple[np.ndarray, list[str], np.ndarray]:
     coded = flat.filter(pa.array(full)).dictionary_encode()
     if isinstance(coded, pa.ChunkedArray):
         coded = coded.combine_chunks()
-    return coded.indices.to_numpy().astype(np.int64), coded.dictionary.to_numpy(zero_copy_only=False).tolist(), kept[bounds]
+    return coded.indices.to_numpy().astype(np.int64), coded.dictionary, kept[bounds]
+
+
+def words_of(texts: pa.Array) -> tuple[np.ndarray, list[str], np.ndarray]:
+    """coded_words with the distinct words as a list."""
+    codes, words, offsets = coded_words(texts)
+    return codes, words.to_numpy(zero_copy_only=False).tolist(), offsets
 
 
 def raw_bytes(texts: pa.Array) -> tuple[np.ndarray, np.ndarray]:
@@ -77,6 +83,18 @@ def mixed(values: np.ndarray) -> np.ndarray:
     return x ^ (x >> np.uint64(31))
 
 
+def edge_hashes(words: pa.Array) -> np.ndarray:
+    """A 64-bit number for each word, from its length, its first and its last eight bytes. Equal words
+    have equal numbers; different ones may have too."""
+    data, bounds = raw_bytes(pc.fill_null(words.cast(pa.large_string()), ""))
+    padded = np.concatenate([np.zeros(8, np.uint8), data, np.zeros(8, np.uint8)])
+    eight = np.ndarray(len(padded) - 7, "<u8", padded, strides=(1,))
+    size = np.diff(bounds).astype(np.uint64)
+    outside = np.uint64(8) * (np.uint64(8) - np.minimum(np.maximum(size, np.uint64(1)), np.uint64(8)))
+    head, tail = eight[bounds[:-1] + 8] << outside, eight[bounds[1:]] >> outside
+    return mixed(head) ^ mixed(tail + size * np.uint64(0x9E3779B97F4A7C15))
+
+
 def window_hashes(values: np.ndarray, length: int, base: int) -> np.ndarray:
     """For each window of `length` values an order-sensitive 64-bit hash.
 
