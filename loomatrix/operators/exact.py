@@ -12,7 +12,7 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from ..plans.matrix import SparseMatrix, Vector, meet
+from ..plans.matrix import SparseMatrix, Vector, by_rows, meet
 from ..plans.tables import written
 
 #: Bits between two places.
@@ -88,9 +88,12 @@ def sum_exactly(terms: DataFrame, keys: list[str], values: list[str], into: str)
 
 
 def spmv_exact(a: SparseMatrix, x: Vector) -> DataFrame:
-    """A x as (i, y), each row's sum of products exact and rounded once, 0.0 for rows without entries."""
+    """A x as (i, y), each row's sum of products exact and rounded once, 0.0 for rows without entries.
+
+    A row has sums at several places, so entries are dealt out by row: a task holds those of few rows.
+    """
     p, e = product_parts(F.col("v"), F.col("x"))
-    products = meet(a.entries.select("i", "j", F.col("v").cast("double").alias("v")), x).select("i", p.alias("p"), e.alias("e"))
+    products = meet(by_rows(a.entries.select("i", "j", F.col("v").cast("double").alias("v"))), x).select("i", p.alias("p"), e.alias("e"))
     zeros = a.rows().select("i", F.lit(0.0).alias("p"), F.lit(0.0).alias("e"))
     return sum_exactly(products.unionByName(zeros), ["i"], ["p", "e"], "y")
 
