@@ -9,7 +9,7 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from ..functions.scalar import to_half, to_single
-from ..plans.matrix import SparseMatrix, Vector, meet, over_domain
+from ..plans.matrix import SparseMatrix, Vector, by_rows, meet, over_domain
 
 CASTS = {"dp": lambda c: c.cast("double"), "sp": to_single, "hp": to_half}
 
@@ -40,8 +40,8 @@ def spmmv_rowwise(a: SparseMatrix, xs: DataFrame, width: int) -> DataFrame:
 
 
 def spmmv_colwise(a: SparseMatrix, x: DataFrame, width: int) -> DataFrame:
-    """Y = A X with X as (i, vec, x): (i, vec, y)."""
-    met = a.entries.join(x.select(F.col("i").alias("j"), "vec", "x"), "j")
+    """Y = A X with X as (i, vec, x): (i, vec, y). A task sums up all vectors of a few rows."""
+    met = by_rows(a.entries.select("i", "j", "v")).join(x.select(F.col("i").alias("j"), "vec", "x"), "j")
     products = met.select("i", "vec", (F.col("v") * F.col("x")).alias("y"))
     zeros = a.rows().select("i", F.explode(F.sequence(F.lit(0), F.lit(width - 1))).alias("vec")).withColumn("y", F.lit(0.0))
     return products.select("i", F.col("vec").cast("int").alias("vec"), "y").unionByName(zeros).groupBy("i", "vec").agg(F.sum("y").alias("y"))
@@ -60,7 +60,8 @@ def spmmv_tiled(a: SparseMatrix, x: DataFrame, width: int, tile: int = 16) -> Da
     X is cut into blocks of `tile` vectors; an entry meets a row of each block and makes
     `tile` products in place. So a task's row holds `tile` sums however wide X is, and
     there are width / tile times as many rows as entries instead of width times: entries
-    and index are repeated once for a block. Sums are by (row, block), which also spreads
+    and index are repeated once for a block. Entries are dealt out by row first, so that a
+    task holds the sums of few rows. Sums are by (row, block), which also spreads
     a row with very many entries over as many tasks as there are blocks. Places of X that
     aren't given count as 0.
     """
@@ -70,7 +71,7 @@ def spmmv_tiled(a: SparseMatrix, x: DataFrame, width: int, tile: int = 16) -> Da
     names, blocks = [f"y{k}" for k in range(tile)], -(-width // tile)
     value = [F.coalesce(F.sum(F.when(F.col("vec") % tile == k, F.col("x"))), F.lit(0.0)).alias(f"x{k}") for k in range(tile)]
     xs = x.where(F.col("vec").between(0, width - 1)).groupBy(F.col("i").alias("j"), F.expr(f"cast(vec div {tile} as int)").alias("block")).agg(*value)
-    products = a.entries.select("i", "j", "v").join(xs, "j").select("i", "block", *[(F.col("v") * F.col(f"x{k}")).alias(n) for k, n in enumerate(names)])
+    products = by_rows(a.entries.select("i", "j", "v")).join(xs, "j").select("i", "block", *[(F.col("v") * F.col(f"x{k}")).alias(n) for k, n in enumerate(names)])
     zeros = a.rows().select("i", F.explode(F.sequence(F.lit(0), F.lit(blocks - 1))).alias("block"), *[F.lit(0.0).alias(n) for n in names])
     sums = products.unionByName(zeros).groupBy("i", "block").agg(*[F.sum(n).alias(n) for n in names])
     each = sums.select("i", "block", F.posexplode(F.array(*names)).alias("k", "y"))
