@@ -6,7 +6,8 @@ from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
 from ..plans.matrix import SparseMatrix
-from ..plans.tables import bucket_width, ranked, running_sum, written
+from ..plans.tables import bucket_width, dealt, ranked, running_sum, written
+from .ordering import links_of
 from .sell import permute, row_lengths
 
 #: Boundaries are a table that is broadcast; more parts than this are refused.
@@ -118,11 +119,13 @@ def graph_parts(a: SparseMatrix, parts: int, rounds: int = 4) -> DataFrame:
     _checked(parts)
     if not a.square:
         raise ValueError("graph parts need a square matrix")
-    links = written(a.entries.where("i <> j").select("i", "j").union(a.entries.where("i <> j").select(F.col("j").alias("i"), F.col("i").alias("j"))).distinct())
+    links = links_of(a)
+    n_heard = links.count() + a.n_rows
     labels = a.rows().withColumn("label", F.col("i"))
     for _ in range(rounds):
         heard = links.join(labels.select(F.col("i").alias("j"), "label"), "j").select("i", "label").unionByName(labels)
-        votes = heard.groupBy("i", "label").agg(F.count("*").alias("n"))
+        # most votes are for groups of their own at first, so they are dealt out before they are counted
+        votes = dealt(heard, n_heard, "i", "label").groupBy("i", "label").agg(F.count("*").alias("n"))
         labels = written(votes.groupBy("i").agg(F.max(F.struct("n", (-F.col("label")).alias("label"))).alias("b")).select("i", (-F.col("b.label")).alias("label")))
     sizes = running_sum(labels.groupBy("label").agg(F.count("*").alias("n")), "label", F.col("n"), a.n_rows, "ahead").select("label", "ahead")
     placed = ranked(labels, ["label"], ["i"], F.expr(f"i div {bucket_width(a.n_rows)}"), "among").join(sizes, "label")
@@ -131,7 +134,8 @@ def graph_parts(a: SparseMatrix, parts: int, rounds: int = 4) -> DataFrame:
 
 def edge_cut(a: SparseMatrix, parts: DataFrame) -> DataFrame:
     """One row (links, cut): pairs of different rows that an entry links, and those in different parts."""
-    links = a.entries.where("i <> j").select(F.least("i", "j").alias("i"), F.greatest("i", "j").alias("j")).distinct()
+    links = a.entries.where("i <> j").select(F.least("i", "j").alias("i"), F.greatest("i", "j").alias("j"))
+    links = dealt(links, a.entries.count(), "i", "j").distinct()
     of = lambda end: parts.select(F.col("i").alias(end), F.col("part").alias(f"part_{end}"))
     met = links.join(of("i"), "i").join(of("j"), "j")
     return met.agg(F.count("*").alias("links"), F.count_if(F.col("part_i") != F.col("part_j")).alias("cut"))

@@ -5,7 +5,8 @@ from __future__ import annotations
 import pytest
 from pyspark.sql import functions as F
 
-from loomatrix.operators import exact, spmv
+from loomatrix.operators import exact, ordering, spmv
+from loomatrix.plans import tables
 from loomatrix.plans.matrix import SparseMatrix
 
 WAYS = {
@@ -28,3 +29,13 @@ def test_sums_are_dealt_by_row(spark, way):
         for vec in range(5):
             want[i, vec] += v * (3 * j + vec)
     assert {(r.i, r.vec if "vec" in r else 0): r.y for r in got.collect()} == {k: y for k, y in want.items() if way != "exact" or k[1] == 0}
+
+
+def test_links_are_dealt_by_their_number(spark, monkeypatch):
+    """More links make more tasks, not larger ones, also where Spark's own number of partitions is small."""
+    monkeypatch.setattr(tables, "DEALT_ROWS", 100)
+    a = SparseMatrix(spark.createDataFrame([(k, (7 * k + 1) % 1000, 1.0) for k in range(1000)] * 2, "i bigint, j bigint, v double"), 1000, 1000)
+    links = ordering.links_of(a)
+    assert links.select(F.input_file_name()).distinct().count() >= 30
+    pairs = {(k, (7 * k + 1) % 1000) for k in range(1000)}
+    assert sorted(map(tuple, links.collect())) == sorted({(x, y) for i, j in pairs if i != j for x, y in ((i, j), (j, i))})
