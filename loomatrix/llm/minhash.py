@@ -136,7 +136,7 @@ def _cells(rows: DataFrame, key: str) -> DataFrame:
     met = met.withColumn("side", F.when(F.col("minor"), mine).otherwise(F.col("few") + mine))
     meets = F.sequence(F.lit(0), F.when(F.col("minor"), F.col("few") + F.col("others")).otherwise(F.col("few")) - 1)
     met = met.withColumn("o", F.explode(meets)).withColumns({"c1": F.least("side", "o"), "c2": F.greatest("side", "o")})
-    return met.drop("most", "few", "others", "minor", "o").repartition(key, "c1", "c2").sortWithinPartitions(key, "c1", "c2")
+    return met.drop("most", "few", "others", "minor", "o").repartition(key, "c1", "c2").sortWithinPartitions(key, "c1", "c2", "node")
 
 
 def _whole_cells(batches: Iterator[pa.RecordBatch], key: str, least: int) -> Iterator[tuple[pa.Table, np.ndarray]]:
@@ -197,11 +197,12 @@ def _close_pairs(table: pa.Table, cell: np.ndarray, similarity: int, bins: int)
 
 
 def _edges(table: pa.Table, x: np.ndarray, y: np.ndarray) -> pa.RecordBatch:
-    """Pairs of nodes that connect what the links between these rows connect."""
-    reached = _forest(np.arange(table.num_rows), x, y)
+    """Pairs of nodes that connect what the links between these rows connect; a node's rows, in whatever cells, are one."""
+    named = table.column("node").combine_chunks().dictionary_encode()
+    code, node = named.indices.to_numpy(), named.dictionary
+    reached = _forest(np.arange(len(node)), code[x], code[y])
     moved = np.flatnonzero(reached != np.arange(len(reached)))
-    node = table.column("node")
-    return pa.RecordBatch.from_arrays([node.take(pa.array(moved)).combine_chunks(), node.take(pa.array(reached[moved])).combine_chunks()], ["a", "b"])
+    return pa.RecordBatch.from_arrays([node.take(pa.array(moved)), node.take(pa.array(reached[moved]))], ["a", "b"])
 
 
 def _candidate_edges(similarity: int, bins: int):

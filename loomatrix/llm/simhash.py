@@ -223,6 +223,8 @@ def components(edges: DataFrame) -> DataFrame:
         # the smallest label in each node's neighbourhood
         seen = both.join(labels.select(F.col("node").alias("b"), "root"), "b").select(F.col("a").alias("node"), F.col("root").alias("low"))
         near = labels.select("node", F.col("root").alias("low"), F.col("root").alias("old")).unionByName(seen, allowMissingColumns=True).groupBy("node").agg(F.min("low").alias("low"), F.max("old").alias("old"))
+        # written, as it is read four times, for each of which Spark may join all edges again
+        near = written(near)
         # the old label learns it too, then every node takes its label's label
         hooks = near.select(F.col("old").alias("node"), "low").unionByName(near, allowMissingColumns=True).groupBy("node").agg(F.min("low").alias("low"), F.max("old").alias("old"))
         jumped = hooks.join(hooks.select(F.col("node").alias("low"), F.col("low").alias("lower")), "low", "left")
