@@ -39,3 +39,12 @@ def test_links_are_dealt_by_their_number(spark, monkeypatch):
     assert links.select(F.input_file_name()).distinct().count() >= 30
     pairs = {(k, (7 * k + 1) % 1000) for k in range(1000)}
     assert sorted(map(tuple, links.collect())) == sorted({(x, y) for i, j in pairs if i != j for x, y in ((i, j), (j, i))})
+
+
+def test_links_are_joined_once(spark, monkeypatch):
+    """What a round makes of the links is written before it is read again, else each reading may join all links."""
+    plans, real = [], ordering.written
+    monkeypatch.setattr(ordering, "written", lambda df: (plans.append(df._jdf.queryExecution().optimizedPlan().toString()), real(df))[1])
+    links = spark.createDataFrame([(k, k + 1) for k in range(9)] + [(k + 1, k) for k in range(9)], "i bigint, j bigint")
+    assert {r.i: r.component for r in ordering.connected(links).collect()} == {k: 0 for k in range(10)}
+    assert max(p.count("Join Inner") for p in plans) <= 1
