@@ -5,7 +5,7 @@ from __future__ import annotations
 import pytest
 from pyspark.sql import functions as F
 
-from loomatrix.operators import exact, ordering, spmv
+from loomatrix.operators import exact, multilevel, ordering, spmv
 from loomatrix.plans import tables
 from loomatrix.plans.matrix import SparseMatrix
 
@@ -48,3 +48,15 @@ def test_links_are_joined_once(spark, monkeypatch):
     links = spark.createDataFrame([(k, k + 1) for k in range(9)] + [(k + 1, k) for k in range(9)], "i bigint, j bigint")
     assert {r.i: r.component for r in ordering.connected(links).collect()} == {k: 0 for k in range(10)}
     assert max(p.count("Join Inner") for p in plans) <= 1
+
+
+def test_graph_tables_are_not_broadcast(spark, monkeypatch):
+    """Tables with a row for each row of the graph don't go through the driver, however small they are."""
+    plans, real = [], multilevel.written
+    monkeypatch.setattr(multilevel, "written", lambda df: (plans.append(df._jdf.queryExecution().executedPlan().toString()), real(df))[1])
+    nodes = spark.createDataFrame([(k, 1) for k in range(8)], "i bigint, w bigint")
+    edges = spark.createDataFrame([(k, k ^ 1, 1) for k in range(8)], "i bigint, j bigint, e bigint")
+    merged = multilevel._matching(nodes, edges, 4, rounds=1)
+    multilevel._coarser(nodes, edges, merged)
+    assert {r.i: r.into for r in merged.collect()} == {k: k & ~1 for k in range(8)}
+    assert any("SortMergeJoin" in p for p in plans) and not any("BroadcastHashJoin" in p for p in plans)
